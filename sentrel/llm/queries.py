@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sentrel.llm import automaton_dedup, jaccard_join, suffix_dedup
+from sentrel.llm import automaton_dedup, decontaminate, jaccard_join, mixing, quality_rules, quotation, suffix_dedup
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -13,6 +13,23 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/documents.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, d: str) -> DataFrame:
+    return decontaminate.find_leaks(_documents(spark, d).select("doc_id", "text"), spark.read.parquet(f"{d}/benchmark.parquet"))
+
+
+def op4_mix_sources(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(_documents(spark, d)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_quotation_linking(spark: SparkSession, d: str) -> DataFrame:
+    return quotation.link_quotes(spark.read.parquet(f"{d}/conversations.parquet"))
+
+
+def op10_quality_rules(spark: SparkSession, d: str) -> DataFrame:
+    out = quality_rules.apply_rules(_documents(spark, d).select("doc_id", "text"), with_text=False)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op6_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
     out = suffix_dedup.dedup_substrings(_documents(spark, d).select("doc_id", "text"))
     return out.select("doc_id", F.col("n_symbols").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -27,9 +44,42 @@ def op9_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", F.col("n_symbols").alias("n_words"), "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op6_suffix_dedup, op8_jaccard_join, op9_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op4_mix_sources, op6_suffix_dedup, op7_quotation_linking, op8_jaccard_join, op9_substring_dedup, op10_quality_rules)}
 
 ORACLES: dict[str, str] = {
+    "op7_quotation_linking": r"""
+WITH l AS (SELECT conv_id, turn, role, k, s, length(regexp_replace(pre, '[^>]', '', 'g')) AS level, substr(s, length(pre) + 1) AS content FROM (
+  SELECT *, regexp_extract(s, '^((?:[ \t]*>)+)[ \t]?') AS pre FROM (SELECT conv_id, turn, role, unnest(string_split(coalesce(text, ''), chr(10))) AS s, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS k FROM conversations))),
+m AS (SELECT conv_id, turn, role, coalesce(string_agg(content, chr(10) ORDER BY k) FILTER (level = 0), '') AS own_text, max(level) AS max_level FROM l GROUP BY ALL),
+p AS (SELECT conv_id, turn, level, string_agg(content, chr(10) ORDER BY k) AS p FROM (SELECT *, k - row_number() OVER (PARTITION BY conv_id, turn, level ORDER BY k) AS run FROM l WHERE level > 0) GROUP BY conv_id, turn, level, run),
+q AS (SELECT DISTINCT conv_id, turn, level, trim(regexp_replace(lower(p), '[^\p{L}\p{N}]+', ' ', 'g')) AS h FROM p WHERE h <> ''),
+t AS (SELECT DISTINCT conv_id AS oc, turn AS ot, trim(regexp_replace(lower(x), '[^\p{L}\p{N}]+', ' ', 'g')) AS h FROM (SELECT conv_id, turn, unnest(list_append(string_split(own_text, chr(10)), own_text)) AS x FROM m) WHERE h <> ''),
+f AS (SELECT h, min((oc, ot)) AS o FROM t GROUP BY h),
+n AS (SELECT q.conv_id, q.turn, q.level, q.h, max(ot) AS near FROM q LEFT JOIN t ON t.h = q.h AND t.oc = q.conv_id AND t.ot < q.turn GROUP BY ALL),
+k AS (SELECT conv_id, turn, count(*) AS nq, count(*) FILTER (near IS NOT NULL OR far IS NOT NULL) AS nl, max(near) AS near, min(far) AS far FROM (
+  SELECT n.*, CASE WHEN near IS NULL AND (o[1] <> conv_id OR o[2] < turn) THEN o END AS far FROM n LEFT JOIN f USING (h)) GROUP BY ALL)
+SELECT m.conv_id, m.turn, m.role, own_text, CAST(max_level AS INT) AS max_level, coalesce(nq, 0) AS n_quotes, coalesce(nl, 0) AS n_linked,
+  CASE WHEN near IS NULL AND far IS NOT NULL THEN far[1] WHEN near IS NOT NULL OR e.turn IS NOT NULL THEN m.conv_id END AS reply_conv,
+  CAST(CASE WHEN near IS NULL AND far IS NOT NULL THEN far[2] WHEN near IS NOT NULL THEN near WHEN e.turn IS NOT NULL THEN m.turn - 1 END AS BIGINT) AS reply_to,
+  CAST(coalesce(near, m.turn) AS BIGINT) AS anchor
+FROM m LEFT JOIN k ON k.conv_id = m.conv_id AND k.turn = m.turn LEFT JOIN (SELECT DISTINCT conv_id, turn FROM conversations) e ON e.conv_id = m.conv_id AND e.turn = m.turn - 1""",
+    "op10_quality_rules": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 7), ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d)),
+c AS (SELECT doc_id, s FROM g GROUP BY doc_id, s HAVING count(*) > 1),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT g.doc_id, unnest(range(i, i + 8)) AS p FROM g JOIN c USING (doc_id, s)) GROUP BY doc_id),
+l AS (SELECT doc_id, k, s, w, len(w) AS n, row_number() OVER (PARTITION BY doc_id, s ORDER BY k) > 1 AS dup FROM (
+  SELECT doc_id, s, k, regexp_extract_all(s, '[^\x20\x09-\x0D]+') AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, unnest(range(len(string_split(text, chr(10))))) AS k FROM d)) WHERE len(w) > 0),
+j AS (SELECT *, 4 * len(list_filter(w, lambda x: x IN ('|', '>', '»', '•'))) >= n
+    OR 10 * (strlen(s) - strlen(regexp_replace(s, '[#*$%&|<>]', '', 'g'))) > strlen(s)
+    OR (length(regexp_replace(s, '[^A-Za-z]', '', 'g')) >= 20 AND length(regexp_replace(s, '[^A-Z]', '', 'g')) > length(regexp_replace(s, '[^a-z]', '', 'g')))
+    OR (n >= 12 AND NOT regexp_matches(s, '[.!?:;,…]')) OR (n >= 10 AND 3 * len(list_distinct(w)) < n) AS junk,
+  n < 40 AND regexp_matches(s, 'all rights reserved|released under the|licensed under|terms of service|privacy policy|cookie policy|click here|sign up|subscribe to|share this', 'i') AS boiler FROM l),
+a AS (SELECT doc_id, count(*) FILTER (dup) AS dups, coalesce(sum(n) FILTER (dup OR junk), 0) AS lost, coalesce(sum(n) FILTER (NOT dup AND NOT junk AND NOT boiler), 0) AS kept FROM j GROUP BY doc_id),
+b AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(coalesce(dups, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, coalesce(lost, 0) AS lost, coalesce(kept, 0) AS kw FROM d LEFT JOIN r USING (doc_id) LEFT JOIN a USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND kw > 0 AND 100 * lost <= 50 * n_words AS kept FROM b""",
     "op8_jaccard_join": r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END AS l FROM d), unnest(l) AS u(sh)),
