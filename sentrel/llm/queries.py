@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sentrel.llm import automaton_dedup, decontaminate, jaccard_join, mixing, quality_rules, quotation, suffix_dedup
+from sentrel.llm import automaton_dedup, decontaminate, importance, jaccard_join, language_id, lm_score, mixing, quality_rules, quotation, suffix_dedup
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,6 +17,18 @@ def op1_decontaminate(spark: SparkSession, d: str) -> DataFrame:
     return decontaminate.find_leaks(_documents(spark, d).select("doc_id", "text"), spark.read.parquet(f"{d}/benchmark.parquet"))
 
 
+def op2_lm_score(spark: SparkSession, d: str) -> DataFrame:
+    return lm_score.score_texts(_documents(spark, d).select("doc_id", "text"))
+
+
+def op3_language_id(spark: SparkSession, d: str) -> DataFrame:
+    return language_id.identify(_documents(spark, d).select("doc_id", "text", "lang"))
+
+
+def op5_importance_resampling(spark: SparkSession, d: str) -> DataFrame:
+    return importance.resample(_documents(spark, d).select("doc_id", "text"), spark.read.parquet(f"{d}/labels.parquet"))
+
+
 def op4_mix_sources(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(_documents(spark, d)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -44,7 +56,7 @@ def op9_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", F.col("n_symbols").alias("n_words"), "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op4_mix_sources, op6_suffix_dedup, op7_quotation_linking, op8_jaccard_join, op9_substring_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_lm_score, op3_language_id, op4_mix_sources, op5_importance_resampling, op6_suffix_dedup, op7_quotation_linking, op8_jaccard_join, op9_substring_dedup, op10_quality_rules)}
 
 ORACLES: dict[str, str] = {
     "op7_quotation_linking": r"""
