@@ -102,6 +102,23 @@ def _keep(ctx, so: np.ndarray, gone: np.ndarray) -> list[str]:
     return out
 
 
+def _keep_layout(ctx, so: np.ndarray, gone: np.ndarray) -> list[str]:
+    """As _keep, but white space stays: a removed word goes with what follows it, up
+    to the next word of its text."""
+    buf, offs = ctx
+    w = seq.Words(buf, offs)
+    step = np.zeros(len(buf) + 1, dtype=np.int32)
+    if gone.any():
+        last = np.append(w.starts[1:], len(buf))
+        text_end = offs[1:][np.searchsorted(w.offs, np.arange(len(w.starts)), "right") - 1]
+        step += np.bincount(w.starts[gone], minlength=len(step)).astype(np.int32)
+        step -= np.bincount(np.minimum(last, text_end)[gone], minlength=len(step)).astype(np.int32)
+    stay = np.cumsum(step[:-1]) <= 0
+    cut = np.concatenate(([0], np.cumsum(stay)))[offs].tolist()
+    data = buf[stay].tobytes()
+    return [data[i:j].decode("utf-8", "replace") for i, j in zip(cut[:-1], cut[1:])]
+
+
 def _settle(size: int):
     def f(a, r, n, v, c, raw) -> np.ndarray:
         lengths = n + size - 1
@@ -126,10 +143,13 @@ def _settle(size: int):
     return f
 
 
-def rule(size: int = 13, gram: int = 5) -> repeats.Rule:
-    return repeats.Rule(size, min(gram, size), np.uint64, True, _symbols, _settle(size), _keep, "string")
+def rule(size: int = 13, gram: int | None = None, layout: bool = False) -> repeats.Rule:
+    """``gram``: words of an anchor, by default about a third of a window."""
+    gram = gram or max(1, min(5 + (size - 13) // 4, size))
+    return repeats.Rule(size, min(gram, size), np.uint64, True, _symbols, _settle(size), _keep_layout if layout else _keep, "string")
 
 
-def dedup_passages(docs: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
-    """See repeats.remove_repeats; ``kept``: the words left, joined by one space."""
-    return repeats.remove_repeats(docs, rule(size), id_col, text_col, carry)
+def dedup_passages(docs: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, layout: bool = False) -> DataFrame:
+    """See repeats.remove_repeats; ``kept``: the words left, joined by one space, or
+    with ``layout`` with their own white space."""
+    return repeats.remove_repeats(docs, rule(size, layout=layout), id_col, text_col, carry)
