@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sentrel.llm import seq
 
 BUCKETS = 1 << 13
+SALTS = 32
 
 
 def _letters_only() -> np.ndarray:
@@ -110,27 +111,39 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], dim: int = 12, epochs:
     return model
 
 
-def _sample(batches):
-    for b in batches:
-        ids, counts = [None] * b.num_rows, [None] * b.num_rows
-        for i, j, buf, offs in seq.batches(b.column("_text")):
-            o = offs.tolist()
-            for k in range(j - i):
-                u, n = np.unique(buckets(buf[o[k] : o[k + 1]]), return_counts=True)
-                ids[i + k], counts[i + k] = u.astype(np.uint16).tobytes(), np.minimum(n, 65535).astype(np.uint16).tobytes()
-        yield pa.RecordBatch.from_pydict({"_id": b.column("_id"), "lang": b.column("lang"), "b": pa.array(ids, pa.binary()), "n": pa.array(counts, pa.binary())})
+def _sample(drawn: np.ndarray):
+    """Trigram counts of the texts with the ids ``drawn`` (sorted)."""
+
+    def f(batches):
+        for b in batches:
+            ids = b.column("_id").fill_null(-1).to_numpy(zero_copy_only=False)
+            m = drawn[np.minimum(np.searchsorted(drawn, ids), len(drawn) - 1)] == ids if len(drawn) else np.zeros(len(ids), bool)
+            b = b.filter(pa.array(m))
+            at, counts = [], []
+            for i, j, buf, offs in seq.batches(b.column("_text")):
+                for s, e in zip(offs[:-1].tolist(), offs[1:].tolist()):
+                    u, n = np.unique(buckets(buf[s:e]), return_counts=True)
+                    at.append(u.astype(np.uint16).tobytes())
+                    counts.append(np.minimum(n, 65535).astype(np.uint16).tobytes())
+            yield pa.RecordBatch.from_pydict({"_id": b.column("_id"), "lang": b.column("lang"), "b": pa.array(at, pa.binary()), "n": pa.array(counts, pa.binary())})
+
+    return f
 
 
 def fit(labelled: DataFrame, per_language: int = 400, max_train: int = 2400, seed: int = 11, **options) -> Model | None:
     """``labelled``: _id, _text, lang. Reads counts by language, then the sample."""
-    d = labelled.filter("lang IS NOT NULL AND _text IS NOT NULL AND _text <> ''")
+    d = labelled.filter("lang IS NOT NULL")
     n = d.groupBy("lang").agg(F.count("*").alias("_n"))
     langs = max(1, n.count())
     share = F.least(F.lit(1.0), F.lit(float(min(per_language, max(20, max_train // langs)))) / F.col("_n"))
     u = F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = d.join(n.select(F.col("lang").alias("_l"), share.alias("_share")), F.col("lang") == F.col("_l")).filter(u < F.col("_share"))
-    got = rows.select("_id", "_text", "lang").mapInArrow(_sample, "_id long, lang string, b binary, n binary").collect()
-    got = sorted(((r["_id"] if r["_id"] is not None else -1, r["lang"], bytes(r["b"]), bytes(r["n"])) for r in got))
+    # ids are drawn without their texts; a language may hold most rows, so the join is salted
+    shares = n.select(F.col("lang").alias("_l"), share.alias("_share"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_s"))
+    ids = d.select("_id", "lang", u.alias("_u"), F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(SALTS)).cast("int").alias("_salt"))
+    ids = ids.join(shares, (F.col("lang") == F.col("_l")) & (F.col("_salt") == F.col("_s"))).filter("_u < _share AND _id IS NOT NULL").select("_id").distinct()
+    drawn = np.array(sorted(r[0] for r in ids.collect()), dtype=np.int64)
+    got = d.filter("_text IS NOT NULL").select("_id", "_text", "lang").mapInArrow(_sample(drawn), "_id long, lang string, b binary, n binary").collect()
+    got = sorted(((r["_id"], r["lang"], bytes(r["b"]), bytes(r["n"])) for r in got))
     data = [(x[1], np.frombuffer(x[2], np.uint16).astype(np.int64), np.frombuffer(x[3], np.uint16).astype(np.float64)) for x in got if x[2]]
     return train(data, **options) if data else None
 
