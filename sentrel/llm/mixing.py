@@ -19,6 +19,7 @@ from sentrel.llm import graph
 WORD = r"[^\x20\x09-\x0D]+"
 #: Fixed values of the contract.
 WEIGHTS = (5, 2, 1)
+SALTS = 32
 
 
 def word_count(text: Column) -> Column:
@@ -66,7 +67,9 @@ def mix(docs: DataFrame, block: int = 256, shard_docs: int = 4000, seed: int = 1
     one = t.withColumns({"_g": F.lit(0), "_t": F.sum("target").over(W.partitionBy())})
     per_source = apportion(one, F.floor(F.col("_t") / block), "target", "_t", ["_g"], ["source"]).drop("_g", "_t").withColumnRenamed("quota", "_seats")
     per_source = per_source.withColumn("_shards", F.ceil(F.col("n_docs") / shard_docs).cast("int"))
-    d = s.alias("s").join(per_source.alias("p"), F.col("s.source").eqNullSafe(F.col("p.source"))).select("s._id", "s.source", "s.size", "p.source_size", "p.target", "p._seats", "p._shards")
+    # a source may hold a third of all rows: both sides of this join are salted
+    salted = per_source.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    d = s.withColumn("_salt", F.pmod(F.xxhash64("_id", "size"), F.lit(SALTS)).cast("int")).alias("s").join(salted.alias("p"), F.col("s.source").eqNullSafe(F.col("p.source")) & (F.col("s._salt") == F.col("p._salt"))).select("s._id", "s.source", "s.size", "p.source_size", "p.target", "p._seats", "p._shards")
     d = d.withColumns({"_h": F.xxhash64("_id", F.lit(seed)), "_shard": F.pmod(F.xxhash64("_id", F.lit(seed + 1)), F.col("_shards"))})
     cells = d.groupBy("source", "_shard").agg(F.sum("size").alias("_line"), F.first("_seats").alias("_seats"), F.first("source_size").alias("source_size"))
     cells = apportion(cells, F.col("_seats"), "_line", "source_size", ["source"], ["_shard"]).select("source", "_shard", "_line", "quota")
