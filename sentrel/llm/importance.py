@@ -134,6 +134,7 @@ def resample(docs: DataFrame, labels: DataFrame, keep: float | None = None, max_
     ratio, mean = log_ratios(raw, tgt, prior)
     table = docs.sparkSession.sparkContext.broadcast(ratio)
     w = d.mapInArrow(lambda it: _weights(table.value, mean, length, bits, orders)(it), "_id long, log_weight double")
+    w = graph.written(w)  # ranges are found by a pass of their own
     w = w.withColumn("key", F.col("log_weight") + gumbel(F.col("_id"), seed))
     k = round(keep * docs.count())
     return ranked(w, "key", "_id").withColumn("kept", F.col("rank") <= k).withColumnRenamed("_id", id_col)
