@@ -52,9 +52,9 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     parts = F.array_distinct(F.array_append(F.split("own_text", "\n"), F.col("own_text")))
     targets = m.select(F.col("conv_id").alias("o_conv"), F.col("turn").alias("o_turn"), F.explode(parts).alias("p")).select("o_conv", "o_turn", _hash(F.col("p")).alias("h")).filter("h IS NOT NULL")
     targets = targets.join(quotes.select("h").distinct(), "h", "left_semi")
-    first = targets.groupBy("h").agg(F.min(F.struct("o_conv", "o_turn")).alias("o"))
-    salted = first.select("h", "o", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     here = targets.groupBy("h", "o_conv").agg(F.array_sort(F.collect_set("o_turn")).alias("o_turns"))
+    first = here.groupBy("h").agg(F.min(F.struct("o_conv", F.col("o_turns")[0].alias("o_turn"))).alias("o"))
+    salted = first.select("h", "o", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     q = quotes.withColumn("salt", F.pmod(F.xxhash64("conv_id", "turn"), F.lit(SALTS)).cast("int"))
     q = q.join(salted, ["h", "salt"], "left").join(here.withColumnRenamed("o_conv", "conv_id"), ["h", "conv_id"], "left")
     near = F.array_max(F.filter("o_turns", lambda t: t < F.col("turn")))
