@@ -29,7 +29,7 @@ from sentrel.llm.seq import U
 
 BITS = 2048
 FANOUT = 16
-TILE = 1500
+TILE = 256
 
 
 def shingle_sets(texts, k: int):
