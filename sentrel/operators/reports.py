@@ -159,3 +159,9 @@ def sar_document(al: DataFrame) -> DataFrame:
 
 def token_hash(df: DataFrame, column: str) -> DataFrame:
     return df.select(column, F.sha2(F.col(column), 256).alias("token_hash"))
+
+
+def system_overview(performance: DataFrame, precision: DataFrame, best: DataFrame) -> DataFrame:
+    """The three one-row metrics side by side."""
+    p = performance.select(F.col("avg").alias("latency_avg"), F.col("p95").alias("latency_p95"), F.col("p99").alias("latency_p99"))
+    return p.crossJoin(F.broadcast(precision)).crossJoin(F.broadcast(best.select(F.col("threshold").alias("optimal_threshold"))))

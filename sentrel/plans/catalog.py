@@ -392,3 +392,24 @@ def train_challenger(spark, d):
     parts = ml.split(rows)
     model = ml.train(parts.filter("split = 'train'"), trees=10)
     return ml.evaluate(model, parts.filter("split = 'test'"))
+
+
+@query
+def impossible_travel_60m(spark, d):
+    return _text(features.impossible_travel_60m(ad.transactions(spark, d)), "window_start").select("window_start", "user_id", "g_dist")
+
+
+@query
+def system_overview(spark, d):
+    return reports.system_overview(latency_percentiles(spark, d), metrics.feedback_precision(ad.feedback(spark, d)), optimal_threshold(spark, d))
+
+
+@query
+def alert_payload(spark, d):
+    return routing.alert_payload(ad.alerts(spark, d)).select("transaction_id", "user_id", "branch_id", "timestamp", "sar_report", "amount_tnd", "ml_probability", "alert_type")
+
+
+@query
+def seed_corpus(spark, d):
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
+    return retrieval.seed_corpus(b.filter("id % 3 = 0"), b)

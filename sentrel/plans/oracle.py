@@ -169,3 +169,11 @@ SQL: dict[str, str] = {
     "wallet_24h_limit": _with("SELECT transaction_id, round(s, 4) AS amount_24h FROM (SELECT transaction_id, sum(amount_tnd) OVER (PARTITION BY user_id ORDER BY event_time RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS s FROM transactions) WHERE s > 1500", *TX),
     "stream_sliding_features": _with(f"SELECT {WIN_COLS} FROM ({_windows(300, 60)}) WHERE window_end <= (SELECT epoch(max(event_time)) - 600 FROM good)", *TX),
 }
+
+SQL["impossible_travel_60m"] = _with(f"SELECT {_t('window_start')}, user_id, g_dist FROM ({_windows(3600, 300, 'transactions')}) WHERE g_dist > 2", *TX)
+SQL["system_overview"] = _with(
+    f"SELECT l.avg AS latency_avg, l.p95 AS latency_p95, l.p99 AS latency_p99, p.*, t.threshold AS optimal_threshold FROM ({SQL['latency_percentiles']}) l, "
+    f"(SELECT *, round({_ratio('confirmed', 'total')}, 3) AS precision FROM (SELECT count(*) FILTER (analyst_label = 'Confirmed Fraud') AS confirmed, count(*) FILTER (analyst_label = 'False Positive') AS false_positives, count(*) AS total FROM feedback)) p, "
+    f"(SELECT threshold FROM ({SWEEP}) ORDER BY f1 DESC, threshold LIMIT 1) t", *AF)
+SQL["alert_payload"] = _with("SELECT transaction_id, user_id, coalesce(branch_id, 'unknown') AS branch_id, 'unknown' AS timestamp, 'unknown' AS sar_report, coalesce(amount_tnd, 0.0) AS amount_tnd, ml_probability, coalesce(alert_type, 'high_risk') AS alert_type FROM alerts", "alerts")
+SQL["seed_corpus"] = "SELECT item_id AS id, text FROM benchmark"
