@@ -59,6 +59,16 @@ def op9_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_lm_score, op3_language_id, op4_mix_sources, op5_importance_resampling, op6_suffix_dedup, op7_quotation_linking, op8_jaccard_join, op9_substring_dedup, op10_quality_rules)}
 
 ORACLES: dict[str, str] = {
+    "op6_suffix_dedup": r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+e AS (SELECT doc_id, CAST(len(h) / 2 AS BIGINT) AS n, o, substr(h, 2 * o + 1, 1200) AS g FROM (SELECT doc_id, h, unnest(range(0, CAST(len(h) / 2 AS BIGINT), 400)) AS o FROM d)),
+b AS (SELECT doc_id, n, o, g, unnest(range(least(400, n - o))) AS q FROM e),
+s AS (SELECT doc_id, o + q AS p, n, substr(g, 2 * q + 1, 2) AS x, CASE WHEN o + q + 200 <= n THEN hash(substr(g, 2 * q + 1, 400), 7) END AS k FROM b),
+t AS (SELECT k FROM s WHERE k IS NOT NULL GROUP BY k HAVING count(*) > 1),
+m AS (SELECT s.doc_id, p, x, max(CASE WHEN t.k IS NOT NULL THEN p END) OVER (PARTITION BY s.doc_id ORDER BY p ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone FROM s LEFT JOIN t ON s.k = t.k),
+c AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS opens FROM m),
+a AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, coalesce(string_agg(x, '' ORDER BY p) FILTER (NOT gone), '') AS kept FROM c GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(h) / 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN a USING (doc_id)""",
     "op7_quotation_linking": r"""
 WITH l AS (SELECT conv_id, turn, role, k, s, length(regexp_replace(pre, '[^>]', '', 'g')) AS level, substr(s, length(pre) + 1) AS content FROM (
   SELECT *, regexp_extract(s, '^((?:[ \t]*>)+)[ \t]?') AS pre FROM (SELECT conv_id, turn, role, unnest(string_split(coalesce(text, ''), chr(10))) AS s, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS k FROM conversations))),
