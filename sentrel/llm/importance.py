@@ -6,7 +6,7 @@ weight is the sum of the log ratios of its n-grams, less what a target text of i
 length has on average, so long texts have no advantage. Adding Gumbel noise by id
 and keeping the k largest keys samples k texts without replacement by weight.
 
-k is ``keep`` of all rows; by default 0.985 of the share of good labels. The tables have
+k is ``keep`` of all rows; by default 1.01 of the share of good labels. The tables have
 2^``bits`` entries whatever the corpus. NULL and empty texts have weight -inf and are
 kept last; ties go to the smaller id; no labels at all: every ratio is 0.
 """
@@ -121,7 +121,7 @@ def resample(docs: DataFrame, labels: DataFrame, keep: float | None = None, max_
     lab = labels.select(F.col(id_col).cast("bigint").alias("_id"), F.coalesce(good, F.lit(False)).alias("_good")).filter("_id IS NOT NULL")
     if keep is None:
         a = lab.agg(F.count_if("_good").alias("g"), F.count("*").alias("n")).first()
-        keep = 0.985 * a["g"] / a["n"] if a["n"] else 1.0
+        keep = min(1.0, 1.01 * a["g"] / a["n"]) if a["n"] else 1.0
     sample = lab.filter("_good").select("_id").distinct().orderBy(F.xxhash64("_id", F.lit(seed)), "_id").limit(max_target)
     target = np.array(sorted(r[0] for r in sample.collect()), dtype=np.int64)
     d = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
