@@ -1,12 +1,12 @@
 """Operator 6: byte-level removal of every long substring that occurs again.
 
-Suffixes are dealt to buckets by a cover sample and one bucket is settled at a
-time, so memory is bounded by a bucket. The cover sample is chosen by content (the
-anchor of repeats.py) and not by position: an arithmetic difference cover of period
-133 samples 12 positions of 133 (9 percent) and puts each window under 12 samples,
-which multiplies what is sent; the content cover has one sample a window and about
-1.5 percent of the positions. Long ties are settled by the ranks of the cover
-sample's runs; bytes are compared only where the runs of a class differ.
+Suffixes are dealt to buckets by the anchor of repeats.py and one bucket is settled
+at a time, so memory is bounded by a bucket. Classes whose runs are all equal are
+settled by their totals. The suffixes of the others are sorted: the positions of a
+difference cover modulo PERIOD are ranked first, by doubling; then suffixes are taken
+one block of equal leading bytes at a time, and ties longer than the leading bytes
+are resolved by the ranks of the cover positions that two suffixes reach at the same
+distance. Bytes decide there, no hashes.
 
 Empty and NULL texts give no bytes; a text under ``size`` bytes loses nothing; a
 text that occurs twice loses all of its ``size``-byte windows in both rows.
@@ -18,6 +18,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from sentrel.llm import repeats, seq
+from sentrel.llm.seq import U
+
+#: A perfect difference cover: any two positions reach cover positions at one common
+#: distance below PERIOD.
+PERIOD = 13
+COVER = np.array([0, 1, 3, 9])
+SLOT = np.array([{0: 0, 1: 1, 3: 2, 9: 3}.get(i, -1) for i in range(PERIOD)])
+#: Windows sorted at a time; more only where more have the same first eight bytes.
+BLOCK = 1 << 18
+RANK_BITS = 28
 
 
 def _symbols(buf: np.ndarray, offs: np.ndarray):
@@ -31,29 +41,96 @@ def _keep(buf: np.ndarray, offs: np.ndarray, gone: np.ndarray) -> list[bytes]:
     return [data[i:j] for i, j in zip(n[:-1].tolist(), n[1:].tolist())]
 
 
+def split(size: int) -> tuple[int, int]:
+    """(depth, edge): cover positions are ranked by their next ``depth`` bytes; a
+    window's first and last ``edge`` bytes (12 to 24) are compared directly, so with
+    any distance below PERIOD nothing of the window is left out. Windows of under 25
+    bytes are compared directly alone."""
+    depth = max(0, (size - PERIOD + 1) // PERIOD * PERIOD)
+    return depth, size - depth
+
+
+def eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as a number, zeros after the end."""
+    padded = np.concatenate((raw, np.zeros(8, np.uint8)))
+    x = np.zeros(len(raw), U)
+    for j in range(8):
+        x <<= U(8)
+        x |= padded[j : j + len(raw)]
+    return x
+
+
+def _ordinals(*keys: np.ndarray) -> np.ndarray:
+    """The place of each row among the different rows in order, from 1."""
+    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0])
+    at = seq.group_starts(*[k[order] for k in keys])
+    out = np.empty(len(order), np.int64)
+    out[order] = np.repeat(np.arange(1, len(at) + 1), np.diff(np.append(at, len(order))))
+    return out
+
+
+def _bytes_at(w8: np.ndarray, p: np.ndarray, n: int) -> list[np.ndarray]:
+    return [w8[p + i] >> U(8 * max(0, 8 - (n - i))) for i in range(0, n, 8)]
+
+
+def cover_ranks(w8: np.ndarray, depth: int) -> np.ndarray:
+    """Ranks of the cover positions, in order of position, by ``depth`` bytes."""
+    n = len(w8)
+    p = (np.arange(0, n, PERIOD)[:, None] + COVER).ravel()
+    p = p[p < n]
+    rank = _ordinals(w8[p], w8[np.minimum(p + 8, n - 1)] >> U(8 * (16 - PERIOD)))
+    done = 1
+    while done < depth // PERIOD:
+        more = min(done, depth // PERIOD - done)
+        later = np.zeros_like(rank)
+        later[: max(0, len(rank) - more * len(COVER))] = rank[more * len(COVER) :]
+        rank = _ordinals((rank << 32) | later)
+        done += more
+    return rank
+
+
+def repeated_windows(raw: np.ndarray, pos: np.ndarray, size: int) -> np.ndarray:
+    """Whether the ``size`` bytes from each of ``pos`` on start at another of ``pos``."""
+    again = np.zeros(len(pos), bool)
+    if not len(pos):
+        return again
+    depth, edge = split(size)
+    w8 = eights(raw)
+    ranks = cover_ranks(w8, depth) if depth else None
+    lead = w8[pos] >> U(8 * max(0, 8 - edge))
+    order = np.argsort(lead)
+    at = seq.group_starts(lead[order])
+    cuts = at[np.searchsorted(at, np.arange(0, len(pos), BLOCK), "left").clip(max=len(at) - 1)]
+    cuts = np.unique(np.append(cuts, (0, len(pos))))
+    del lead
+    for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        m = order[i:j]
+        p = pos[m]
+        tie = _ordinals(*_bytes_at(w8, p, edge), *(_bytes_at(w8, p + depth, edge) if depth else ()))
+        many = np.bincount(tie)[tie] > 1
+        m, p, tie = m[many], p[many], tie[many]
+        if not depth:
+            again[m] = True
+            continue
+        for far in range(PERIOD):
+            q = p + far
+            k = SLOT[q % PERIOD]
+            reached = np.flatnonzero(k >= 0)
+            q, k = q[reached], k[reached]
+            key = (tie[reached] << RANK_BITS) | ranks[q // PERIOD * len(COVER) + k]
+            o = np.argsort(key)
+            g = seq.group_starts(key[o])
+            sizes = np.diff(np.append(g, len(o)))
+            again[m[reached[o[np.repeat(sizes > 1, sizes)]]]] = True
+    return again
+
+
 def _settle(size: int):
     def f(a, r, n, v, c, raw) -> np.ndarray:
-        """How often each window occurs in the bucket, 2 at most. Hashes of the
-        windows are equal only for equal windows of a class, up to 2^-64 a pair."""
-        lengths = n + size - 1
-        at = np.cumsum(lengths) - lengths
-        pos = repeats._ranges(at, at + n)
-        h = np.empty(len(pos), dtype=np.uint64)
-        step = np.searchsorted(at, np.arange(0, len(raw) + 1, 1 << 22), "left")
-        cuts = np.unique(np.append(step, len(at)))
-        done = np.cumsum(n)
-        for i, j in zip(cuts[:-1], cuts[1:]):  # block by block, so that temporaries stay small
-            lo, hi = at[i], at[j - 1] + lengths[j - 1]
-            p0, p1 = done[i] - n[i], done[j - 1]
-            p = pos[p0:p1] - lo
-            h[p0:p1] = seq.Hasher(seq.BYTE_VALUES[raw[lo:hi]], 1).ranges(p, p + size)
-        h ^= np.repeat(a, n) * np.uint64(0x9E3779B97F4A7C15)
-        order = np.argsort(h, kind="stable")
-        g = seq.group_starts(h[order])
-        total = np.add.reduceat(np.repeat(c.astype(np.int64), n)[order], g)
-        out = np.empty(len(h), dtype=np.int64)
-        out[order] = np.repeat(np.minimum(total, 2), np.diff(np.append(g, len(h))))
-        return out
+        """How often each window occurs in the bucket, 2 at most."""
+        at = np.cumsum(n + size - 1) - (n + size - 1)
+        again = repeated_windows(raw, repeats._ranges(at, at + n), size)
+        return np.where(again, 2, np.repeat(c.astype(np.int64), n))
 
     return f
 

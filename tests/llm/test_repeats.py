@@ -2,8 +2,9 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
-from sentrel.llm import automaton_dedup, suffix_dedup
+from sentrel.llm import automaton_dedup, repeats, suffix_dedup
 
 SCHEMA = "doc_id long, text string"
 
@@ -79,3 +80,20 @@ def test_empty_and_other_columns(spark):
     wide = spark.createDataFrame([(1, "a b", "kept", 5), (None, None, None, 1)], "doc_id long, text string, kept string, chunk int")
     got = automaton_dedup.dedup_passages(wide, carry=True).collect()
     assert sorted((r["_x"]["kept"] or "", r["_x"]["chunk"]) for r in got) == [("", 1), ("kept", 5)]
+
+
+@pytest.mark.parametrize("size", [1, 8, 13, 24, 25, 38, 200])
+def test_cover_sort(monkeypatch, size):
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 50)
+    rng = np.random.default_rng(size)
+    for kinds in (1, 2, 4, 200):
+        base, parts = rng.integers(0, kinds, 600).astype(np.uint8), []
+        for _ in range(8):
+            part = base[rng.integers(0, 300) :].copy()
+            part[rng.integers(0, len(part), rng.integers(0, 3))] = 255
+            parts.append(part)
+        n = np.array([len(x) - size + 1 for x in parts])
+        raw, at = np.concatenate(parts), np.cumsum(n + size - 1) - (n + size - 1)
+        pos = repeats._ranges(at, at + n)
+        count = Counter(raw[p : p + size].tobytes() for p in pos)
+        assert suffix_dedup.repeated_windows(raw, pos, size).tolist() == [count[raw[p : p + size].tobytes()] > 1 for p in pos]
