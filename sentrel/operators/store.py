@@ -28,15 +28,33 @@ def feedback_branch_backfill(fb: DataFrame, al: DataFrame) -> DataFrame:
     return fb.join(a, "transaction_id", "left").withColumn("branch_id", F.coalesce(F.nullif(F.col("branch_id"), F.lit("")), F.col("_alert_branch"))).drop("_alert_branch")
 
 
-def audit_trail(fb: DataFrame) -> DataFrame:
+def append_feedback(fb: DataFrame, new: DataFrame, al: DataFrame) -> DataFrame:
+    """``fb`` and all rows of ``new``, whose missing branches come from their alerts."""
+    return fb.unionByName(feedback_branch_backfill(new, al), allowMissingColumns=True)
+
+
+def audit_trail(fb: DataFrame, user_id: str = "unknown") -> DataFrame:
     """One row per review: the label before and after, also as JSON states."""
+    fb = fb.withColumns({c: F.lit(None).cast("string") for c in ("analyst_comment", "branch_id") if c not in fb.columns})
     w = W.partitionBy("transaction_id").orderBy("timestamp", "feedback_id")
-    out = fb.withColumn("previous_label", F.lag("analyst_label").over(w)).withColumn("_n", F.row_number().over(w))
+    before = F.lag(F.struct("analyst_label", "analyst_comment")).over(w)
+    out = fb.withColumn("_before", before)
     return out.select(
-        F.lit("alert").alias("entity_type"), F.col("transaction_id").alias("entity_id"), F.lit("classify").alias("action"), "timestamp", "feedback_id",
-        "previous_label", F.col("analyst_label").alias("new_label"),
-        F.when(F.col("_n") > 1, F.to_json(F.struct(F.col("previous_label").alias("analyst_label")), {"ignoreNullFields": "false"})).alias("previous_state"),
-        F.to_json(F.struct("analyst_label"), {"ignoreNullFields": "false"}).alias("new_state"),
+        F.lit("ALERT").alias("entity_type"), F.col("transaction_id").alias("entity_id"), F.lit("CLASSIFY").alias("action"), F.lit(user_id).alias("user_id"), "timestamp", "feedback_id",
+        F.col("_before.analyst_label").alias("previous_label"), F.col("analyst_label").alias("new_label"),
+        F.to_json("_before", {"ignoreNullFields": "false"}).alias("previous_state"),
+        F.to_json(F.struct("analyst_label", "analyst_comment", "branch_id"), {"ignoreNullFields": "false"}).alias("new_state"),
+    )
+
+
+def promotion_audit(reg: DataFrame, new: DataFrame, user_id: str = "system") -> DataFrame:
+    """One audit row per promoted version of ``new``: the champion before it as JSON
+    (NULL if there was none) and the new one's path and scores."""
+    champ = current_champion(reg).agg(F.first(F.struct("*")).alias("_c"))
+    state = F.to_json(F.struct(*[F.col(c) for c in ("version_id", "model_path", "f1_score", "auc") if c in new.columns]), {"ignoreNullFields": "false"})
+    return new.crossJoin(F.broadcast(champ)).select(
+        F.lit("MODEL").alias("entity_type"), F.col("version_id").alias("entity_id"), F.lit("PROMOTE").alias("action"), F.lit(user_id).alias("user_id"), F.col("promoted_at").alias("timestamp"),
+        F.col("_c.version_id").alias("previous_version"), F.to_json("_c", {"ignoreNullFields": "false"}).alias("previous_state"), state.alias("new_state"),
     )
 
 

@@ -9,7 +9,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sentrel.operators import drift, features, metrics, ml, quality, reports, retrieval, routing, scoring, store
+from sentrel.operators import delivery, drift, features, metrics, ml, quality, reports, retrieval, routing, scoring, store
 from sentrel.sources import adapters as ad
 from sentrel.sources.readers import parse_json, synthetic_transactions, table
 from sentrel.schemas import T
@@ -220,7 +220,7 @@ def latest_feedback(spark, d):
 
 @query
 def audit_trail(spark, d):
-    return _text(store.audit_trail(ad.feedback(spark, d)), "timestamp").select("entity_type", "entity_id", "action", "timestamp", "feedback_id", "previous_label", "new_label")
+    return _text(store.audit_trail(ad.feedback(spark, d)), "timestamp").select("entity_type", "entity_id", "action", "user_id", "timestamp", "feedback_id", "previous_label", "new_label")
 
 
 @query
@@ -413,3 +413,33 @@ def alert_payload(spark, d):
 def seed_corpus(spark, d):
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
     return retrieval.seed_corpus(b.filter("id % 3 = 0"), b)
+
+
+@query
+def append_feedback(spark, d):
+    fb = ad.feedback(spark, d)
+    again = F.col("feedback_id") >= 1_000_000
+    return store.append_feedback(fb.filter(~again), fb.filter(again), ad.alerts(spark, d)).select("transaction_id", "feedback_id", "analyst_label", "branch_id")
+
+
+@query
+def promotion_audit(spark, d):
+    reg = ad.registry(spark)
+    return _text(store.promotion_audit(reg, reg.filter("version_id = 'v4'")), "timestamp").select("entity_type", "entity_id", "action", "user_id", "timestamp", "previous_version")
+
+
+def _failures(spark, d):
+    k = F.col("transaction_id").cast("bigint") % 5
+    return delivery.delivery_failures(ad.alerts(spark, d).withColumns({
+        "http_status": F.when(k == 0, 200).when(k == 1, 503), "failure": F.when(k == 3, "connection").when(k == 4, "processing"), "detail": F.concat(F.lit("detail "), F.col("transaction_id")),
+    }))
+
+
+@query
+def delivery_failures(spark, d):
+    return _failures(spark, d).select("transaction_id", "error_code", "error_message", "attempts", "status")
+
+
+@query
+def retry_payload(spark, d):
+    return delivery.retry_payload(_failures(spark, d)).select("transaction_id", "user_id", "amount_tnd", "governorate", "payment_method", "ml_probability", "sar_report")

