@@ -54,6 +54,22 @@ def test_each_id_is_scored_once_and_causally():
     assert abs(total.sum() - 1) < 1e-3
 
 
+def test_lm_trains_on_a_share_that_grows(spark, docs, monkeypatch):
+    seen, real = [], lm.train_parts
+
+    def spy(drawn, model, *a, **b):
+        out = real(drawn, model, *a, **b)
+        seen.append((drawn.count(), float(np.abs(out.p["E"] - model.p["E"]).max())))
+        return out
+
+    monkeypatch.setattr(lm, "train_parts", spy)
+    monkeypatch.setattr(lm, "PART_TEXTS", 30)
+    for n in (100, 800):
+        lm.score_texts(docs.limit(n).select("doc_id", "text"), sample=20, share=0.3, steps=20)
+    small, large = seen[: lm.ROUNDS], seen[lm.ROUNDS :]
+    assert all(a > 10 and b > 4 * a for (a, _), (b, _) in zip(small, large)) and all(moved > 0 for _, moved in seen)
+
+
 def test_lm_empty(spark):
     assert lm.score_texts(spark.createDataFrame([], "doc_id long, text string"), steps=2).count() == 0
 
