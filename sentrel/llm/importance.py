@@ -2,8 +2,8 @@
 
 Two generative models over hashed word unigrams and bigrams: one of target texts
 (good labels, a sample of at most ``max_target`` ids), one of all texts. A text's log
-weight is the sum of the log ratios of its n-grams, less what a target text of its
-length has on average, so long texts have no advantage. Adding Gumbel noise by id
+weight is the mean log ratio of its n-grams, less that of target text, times ``length``
+for every text (None: the plain sum of the differences), so long texts have no advantage. Adding Gumbel noise by id
 and keeping the k largest keys samples k texts without replacement by weight.
 
 k is ``keep`` of all rows; by default 1.01 of the share of good labels. The tables have
@@ -85,7 +85,7 @@ def log_ratios(raw: np.ndarray, target: np.ndarray, prior: float = 5.0) -> tuple
     return ratio.astype(np.float32), float((ratio * target).sum() / max(1, target.sum()))
 
 
-def _weights(ratio: np.ndarray, mean: float, length: float, bits: int, orders: tuple[int, ...]):
+def _weights(ratio: np.ndarray, mean: float, length: float | None, bits: int, orders: tuple[int, ...]):
     def f(batches):
         for b in batches:
             out = np.full(b.num_rows, -np.inf)
@@ -93,7 +93,7 @@ def _weights(ratio: np.ndarray, mean: float, length: float, bits: int, orders: t
                 x, t = features(buf, offs, bits, orders)
                 n = np.bincount(t, minlength=j - i)
                 s = np.bincount(t, weights=ratio[x] - mean, minlength=j - i)
-                out[i:j] = np.where(n > 0, s * length / np.maximum(n, 1), -np.inf)
+                out[i:j] = np.where(n > 0, s if length is None else s * length / np.maximum(n, 1), -np.inf)
             yield pa.RecordBatch.from_pydict({"_id": b.column("_id"), "log_weight": out})
 
     return f
@@ -114,7 +114,7 @@ def ranked(df: DataFrame, key: str, tie: str) -> DataFrame:
     return parts.withColumn("_i", inside).join(F.broadcast(before.select("_p", "_before")), "_p").withColumn("rank", F.col("_i") + F.col("_before")).drop("_p", "_i", "_before")
 
 
-def resample(docs: DataFrame, labels: DataFrame, keep: float | None = None, max_target: int = 50_000, bits: int = 20, orders: tuple[int, ...] = (1,), prior: float = 5.0, length: float = 1000.0, seed: int = 29, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, keep: float | None = None, max_target: int = 50_000, bits: int = 20, orders: tuple[int, ...] = (1, 2), prior: float = 5.0, length: float | None = 1000.0, seed: int = 29, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, log_weight, key, rank, kept: one row per input row. ``labels``: doc_id,
     quality, toxic. Runs the two counts over all texts first."""
     good = (F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)

@@ -102,5 +102,9 @@ def test_importance_separates(spark, docs):
     k = {r.good: r.k for r in j}
     assert k[True] > 0.9 and k[False] < 0.4
     assert importance.resample(df.limit(0), lab.limit(0)).count() == 0
+    x = "alpha beta gamma delta"  # the same words in another order weigh less
+    rows = [(i, x if i < 40 else "delta gamma beta alpha") for i in range(80)]
+    w = importance.resample(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i < 40), 0) for i in range(80)], "doc_id long, quality int, toxic int")).collect()
+    assert min(r.log_weight for r in w if r.doc_id < 40) > max(r.log_weight for r in w if r.doc_id >= 40)
     ratio, mean = importance.log_ratios(np.array([10, 0, 90]), np.array([0, 0, 0]))
     assert np.isfinite(ratio).all() and mean == 0
