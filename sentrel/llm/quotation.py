@@ -1,16 +1,16 @@
 """Operator 7: conversations in reply order, without their quotations.
 
 Lines that begin with ">" are quoted, once for each ">". Consecutive lines of one
-level make a passage; its normalised text is looked up among the own lines and the
-whole own texts of all messages: first in the same conversation before this turn,
-else the first message anywhere. DataFrame functions only.
+level make a passage; its normalised text is looked up among the runs of consecutive
+own lines and the whole own texts of all messages: first in the same conversation
+before this turn, else the first message of another one. DataFrame functions only.
 
 A message answers the latest earlier message of its conversation that it quotes,
 else the turn before it, if there is one. ``anchor`` is that quoted turn, else the
 message's own turn: (conv_id, anchor, turn) sorts each answer behind what it answers.
 NULL texts have no lines; empty passages link with nothing; equal (conv_id, turn) are
 kept as separate rows and are one message as a target. Very common passages are
-reduced to one target before the join and the quoting side is salted.
+reduced to two targets before the join and the quoting side is salted.
 """
 
 from __future__ import annotations
@@ -37,28 +37,43 @@ def parse(messages: DataFrame) -> DataFrame:
     return messages.withColumn("_lines", F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), line))
 
 
+def _runs(lines: Column, lengths: Column) -> Column:
+    """Every run of consecutive lines that is as long as one of ``lengths``."""
+    run = lambda k: F.transform(F.sequence(F.lit(1), F.size(lines) - k + 1), lambda i: F.array_join(F.slice(lines, i, k), " "))
+    return F.flatten(F.transform(F.filter(lengths, lambda k: k <= F.size(lines)), run))
+
+
 def link_quotes(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, own_text, max_level, n_quotes, n_linked, reply_conv,
     reply_to, anchor: one row per message."""
-    m = parse(messages.select("conv_id", "turn", "role", "text"))
     own = F.array_join(F.transform(F.filter("_lines", lambda x: x["level"] == 0), lambda x: x["content"]), "\n")
-    m = m.select("conv_id", "turn", "role", "_lines", own.alias("own_text"), F.array_max(F.transform("_lines", lambda x: x["level"])).alias("max_level"))
-    quoting = m.filter("max_level > 0").withColumn("_m", F.xxhash64("conv_id", "turn", "role", "own_text", F.to_json("_lines")))
+
+    def parsed(x: DataFrame) -> DataFrame:
+        return parse(x).select("conv_id", "turn", "role", "_lines", own.alias("own_text"), F.array_max(F.transform("_lines", lambda x: x["level"])).alias("max_level"))
+
+    messages = messages.select("conv_id", "turn", "role", "text")
+    m = parsed(messages)
+    quoting = parsed(messages.filter(F.col("text").contains(">"))).filter("max_level > 0").withColumn("_m", F.xxhash64("conv_id", "turn", "role", "own_text", F.to_json("_lines")))
     lines = quoting.select("conv_id", "turn", "_m", F.posexplode("_lines").alias("pos", "x")).select("conv_id", "turn", "_m", "pos", F.col("x.level").alias("level"), F.col("x.content").alias("content")).filter("level > 0")
     run = F.col("pos") - F.row_number().over(W.partitionBy("conv_id", "turn", "_m", "level").orderBy("pos"))
-    passages = lines.withColumn("run", run).groupBy("conv_id", "turn", "_m", "level", "run").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "content"))), lambda x: x["content"]), "\n").alias("p"))
+    passages = lines.withColumn("run", run).groupBy("conv_id", "turn", "_m", "level", "run").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "content"))), lambda x: x["content"]), "\n").alias("p"), F.count_if(normalised(F.col("content")) != "").cast("int").alias("k"))
     quotes = passages.select("conv_id", "turn", "level", _hash(F.col("p")).alias("h")).filter("h IS NOT NULL").distinct()
-    # targets: each own line and each whole own text that is quoted somewhere
-    parts = F.array_distinct(F.array_append(F.split("own_text", "\n"), F.col("own_text")))
-    targets = m.select(F.col("conv_id").alias("o_conv"), F.col("turn").alias("o_turn"), F.explode(parts).alias("p")).select("o_conv", "o_turn", _hash(F.col("p")).alias("h")).filter("h IS NOT NULL")
+    # targets: each own line, run of own lines and whole own text that is quoted somewhere
+    lengths = passages.filter("k > 1").agg(F.collect_set("k").alias("_ks"))
+    spoken = F.filter(F.transform(F.split("own_text", "\n"), normalised), lambda x: x != "")
+    runs = F.when(F.size("_ks") > 0, _runs(spoken, F.col("_ks"))).otherwise(F.array().cast("array<string>"))
+    parts = F.array_distinct(F.concat(F.array_append(F.split("own_text", "\n"), F.col("own_text")), runs))
+    targets = m.crossJoin(F.broadcast(lengths)).select(F.col("conv_id").alias("o_conv"), F.col("turn").alias("o_turn"), F.explode(parts).alias("p")).select("o_conv", "o_turn", _hash(F.col("p")).alias("h")).filter("h IS NOT NULL")
     targets = targets.join(quotes.select("h").distinct(), "h", "left_semi")
     here = targets.groupBy("h", "o_conv").agg(F.array_sort(F.collect_set("o_turn")).alias("o_turns"))
-    first = here.groupBy("h").agg(F.min(F.struct("o_conv", F.col("o_turns")[0].alias("o_turn"))).alias("o"))
-    salted = first.select("h", "o", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    # the second is for those who quote within the first one's conversation
+    least = here.withColumn("_r", F.row_number().over(W.partitionBy("h").orderBy("o_conv"))).filter("_r <= 2")
+    first = least.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("o_conv", F.col("o_turns")[0].alias("o_turn")))).alias("os"))
+    salted = first.select("h", "os", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     q = quotes.withColumn("salt", F.pmod(F.xxhash64("conv_id", "turn"), F.lit(SALTS)).cast("int"))
     q = q.join(salted, ["h", "salt"], "left").join(here.withColumnRenamed("o_conv", "conv_id"), ["h", "conv_id"], "left")
     near = F.array_max(F.filter("o_turns", lambda t: t < F.col("turn")))
-    far = F.when((F.col("o.o_conv") != F.col("conv_id")) | (F.col("o.o_turn") < F.col("turn")), F.col("o"))
+    far = F.get(F.filter("os", lambda o: o["o_conv"] != F.col("conv_id")), F.lit(0))
     q = q.select("conv_id", "turn", near.alias("near"), F.when(near.isNull(), far).alias("far"))
     linked = q.groupBy("conv_id", "turn").agg(F.count("*").alias("n_quotes"), F.count_if(F.col("near").isNotNull() | F.col("far").isNotNull()).alias("n_linked"), F.max("near").alias("near"), F.min("far").alias("far"))
     earlier = m.select("conv_id", (F.col("turn") + 1).alias("turn"), F.lit(True).alias("_has")).distinct()

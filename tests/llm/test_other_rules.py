@@ -100,4 +100,12 @@ def test_quotation(spark):
     assert (got[1, 3].own_text, got[1, 3].n_linked, got[1, 3].reply_to) == ("Well.", 2, 2)
     assert (got[2, 0].reply_conv, got[2, 0].reply_to, got[2, 0].anchor) == (1, 1, 0)
     assert got[1, 1].reply_to == 0 and got[2, 5].reply_to is None and got[3, 1].n_quotes == 0
+    rows = [
+        (1, 0, "user", "Aa\nBb\n\nCc\nDd"), (1, 1, "assistant", "ok"), (1, 2, "user", "> bb\n> cc\nyes"), (1, 3, "assistant", "> bb\n> dd\nno"),
+        (2, 0, "user", "> shared line\nShared line"), (3, 0, "user", "x"), (3, 4, "user", "shared line"),
+    ]
+    got = {(r.conv_id, r.turn): r for r in quotation.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert (got[1, 2].n_quotes, got[1, 2].n_linked, got[1, 2].reply_to) == (1, 1, 0)  # some lines of a message
+    assert (got[1, 3].n_linked, got[1, 3].reply_to) == (0, 2)  # not consecutive ones
+    assert (got[2, 0].n_linked, got[2, 0].reply_conv, got[2, 0].reply_to) == (1, 3, 4)  # first own occurrence is this message
     assert quotation.link_quotes(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
