@@ -390,7 +390,7 @@ def stream_sliding_features(spark, d):
 def train_challenger(spark, d):
     rows = scoring.rule_label(scoring.ml_features(daily(spark, d))).withColumn("transaction_id", F.concat_ws("@", "user_id", F.col("window_start").cast("string")))
     parts = ml.split(rows)
-    model = ml.train(parts.filter("split = 'train'"), trees=10)
+    model = ml.train(parts.filter("split = 'train'"))
     return ml.evaluate(model, parts.filter("split = 'test'"))
 
 

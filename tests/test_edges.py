@@ -119,6 +119,21 @@ def test_training(spark):
     assert {n for n, _ in ml.importance(first.model)} == set(ml.CANDIDATES)
 
 
+def test_registered_training_is_whole(spark, monkeypatch):
+    from sentrel.plans import catalog
+
+    class Stop(Exception):
+        pass
+
+    def spy(**params):
+        assert params["maxIter"] == 100
+        raise Stop
+
+    monkeypatch.setattr(ml, "GBTClassifier", spy)
+    with pytest.raises(Stop):
+        catalog.REGISTRY["train_challenger"](spark, "/root/testdata/sf0.001")
+
+
 def test_importance_text(spark):
     from sentrel.operators.reports import parse_importance
 
