@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Spark takes spark.checkpoint.dir itself; where it is unset (tests on one
-    machine) a local folder serves."""
+    """Spark takes spark.checkpoint.dir itself. Where it is unset, a folder of this
+    machine serves if everything runs on this machine; a cluster must name a shared one."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sentrel-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    import tempfile
+
+    return tempfile.mkdtemp(prefix="sentrel-")
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -20,6 +29,34 @@ def written(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def numbered(df: DataFrame, order: list[Column], sums: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``rank`` (from 1, in ``order``) and, for each of ``sums``, the running sum
+    ``cum_<name>``, without bringing all rows to one task: written ranges, numbered
+    within, plus what the ranges before hold (one row a range)."""
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = written(df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()))
+    adds = {"rank": F.count("*"), **{f"cum_{c}": F.sum(c) for c in sums}}
+    before = parts.groupBy("_p").agg(*[x.alias(f"_b_{c}") for c, x in adds.items()])
+    earlier = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    before = before.select("_p", *[F.coalesce(F.sum(f"_b_{c}").over(earlier), F.lit(0)).alias(f"_b_{c}") for c in adds])
+    inside = W.partitionBy("_p").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    out = parts.withColumns({f"_i_{c}": x.over(inside) for c, x in adds.items()}).join(F.broadcast(before), "_p")
+    return out.withColumns({c: F.col(f"_i_{c}") + F.col(f"_b_{c}") for c in adds}).drop("_p", *[f"_{k}_{c}" for c in adds for k in "ib"])
+
+
+def free_names(wanted: list[str], used: list[str]) -> dict[str, str]:
+    """For each of ``used`` that is also ``wanted`` by a result: a name that is free."""
+    low, out = {c.lower() for c in used} | {c.lower() for c in wanted}, {}
+    for c in used:
+        if c.lower() in {w.lower() for w in wanted}:
+            x = f"{c}_in"
+            while x.lower() in low:
+                x += "_in"
+            low.add(x.lower())
+            out[c] = x
+    return out
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, component) of the nodes in ``edges`` (src, dst long); component: the
     least node reachable. Star contraction: a few rounds even for long paths."""

@@ -2,20 +2,25 @@
 
 Two generative models over hashed word unigrams and bigrams: one of target texts
 (good labels, a sample of at most ``max_target`` ids), one of all texts. A text's log
-weight is the mean log ratio of its n-grams, less that of target text, times ``length``
-for every text (None: the plain sum of the differences), so long texts have no advantage. Adding Gumbel noise by id
-and keeping the k largest keys samples k texts without replacement by weight.
-
-k is ``keep`` of all rows; by default 1.01 of the share of good labels. The tables have
-2^``bits`` entries whatever the corpus. NULL and empty texts have weight -inf and are
-kept last; ties go to the smaller id; no labels at all: every ratio is 0.
+weight is ``length`` times the mean log ratio of its n-grams, less that of target text:
+the sum over ``length`` typical n-grams (``length=None``: over all its own, so that
+long texts have the largest weights). ``length`` is a temperature: adding Gumbel noise
+by row and keeping the k largest keys samples k texts without replacement, each draw
+in proportion to exp(log weight), and at the default the noise decides between texts
+of like quality.
+
+k is ``keep`` of all rows; by default the share of good ones among the labels. The
+tables have 2^``bits`` entries whatever the corpus. NULL and empty texts have weight
+-inf and are kept last; ties go to the smaller id, NULL last; no labels at all: every
+ratio is 0. Rows with equal ids are weighed and drawn one by one, and all count as
+target text where their id is a good one. Ids must be numbers.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sentrel.llm import graph, seq
 from sentrel.llm.repeats import LAST
@@ -94,37 +99,28 @@ def _weights(ratio: np.ndarray, mean: float, length: float | None, bits: int, or
                 n = np.bincount(t, minlength=j - i)
                 s = np.bincount(t, weights=ratio[x] - mean, minlength=j - i)
                 out[i:j] = np.where(n > 0, s if length is None else s * length / np.maximum(n, 1), -np.inf)
-            yield pa.RecordBatch.from_pydict({"_id": b.column("_id"), "log_weight": out})
+            yield pa.RecordBatch.from_pydict({"_id": b.column("_id"), "_h": b.column("_h"), "log_weight": out})
 
     return f
 
 
-def gumbel(key: Column, seed: int) -> Column:
-    u = (F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
+def gumbel(seed: int, *key: Column) -> Column:
+    u = (F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
     return -F.log(-F.log(u))
 
 
-def ranked(df: DataFrame, key: str, tie: str) -> DataFrame:
-    """Adds ``rank`` (1: largest key) without bringing all rows to one task: sorted
-    ranges, numbered within, plus the sizes of the ranges before (one row a range)."""
-    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    parts = graph.written(df.repartitionByRange(n, F.col(key).desc(), F.col(tie).asc()).withColumn("_p", F.spark_partition_id()))
-    before = parts.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    inside = F.row_number().over(W.partitionBy("_p").orderBy(F.col(key).desc(), F.col(tie).asc()))
-    return parts.withColumn("_i", inside).join(F.broadcast(before.select("_p", "_before")), "_p").withColumn("rank", F.col("_i") + F.col("_before")).drop("_p", "_i", "_before")
-
-
-def resample(docs: DataFrame, labels: DataFrame, keep: float | None = None, max_target: int = 50_000, bits: int = 20, orders: tuple[int, ...] = (1, 2), prior: float = 5.0, length: float | None = 1000.0, seed: int = 29, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, keep: float | None = None, max_target: int = 50_000, bits: int = 20, orders: tuple[int, ...] = (1, 2), prior: float = 5.0, length: float | None = 30.0, seed: int = 29, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, log_weight, key, rank, kept: one row per input row. ``labels``: doc_id,
     quality, toxic. Runs the two counts over all texts first."""
     good = (F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)
     lab = labels.select(F.col(id_col).cast("bigint").alias("_id"), F.coalesce(good, F.lit(False)).alias("_good")).filter("_id IS NOT NULL")
     if keep is None:
         a = lab.agg(F.count_if("_good").alias("g"), F.count("*").alias("n")).first()
-        keep = min(1.0, 1.01 * a["g"] / a["n"]) if a["n"] else 1.0
+        keep = a["g"] / a["n"] if a["n"] else 1.0
     sample = lab.filter("_good").select("_id").distinct().orderBy(F.xxhash64("_id", F.lit(seed)), "_id").limit(max_target)
     target = np.array(sorted(r[0] for r in sample.collect()), dtype=np.int64)
     d = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
+    d = d.withColumn("_h", F.xxhash64("_id", "_text"))
     parts = d.mapInArrow(_counts(target, bits, orders), "slice long, i binary, r binary, t binary")
     size = (1 << bits) // SLICES
     raw, tgt = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
@@ -133,8 +129,9 @@ def resample(docs: DataFrame, labels: DataFrame, keep: float | None = None, max_
         raw[at], tgt[at] = np.frombuffer(r["r"], np.int64), np.frombuffer(r["t"], np.int64)
     ratio, mean = log_ratios(raw, tgt, prior)
     table = docs.sparkSession.sparkContext.broadcast(ratio)
-    w = d.mapInArrow(lambda it: _weights(table.value, mean, length, bits, orders)(it), "_id long, log_weight double")
+    w = d.mapInArrow(lambda it: _weights(table.value, mean, length, bits, orders)(it), "_id long, _h long, log_weight double")
     w = graph.written(w)  # ranges are found by a pass of their own
-    w = w.withColumn("key", F.col("log_weight") + gumbel(F.col("_id"), seed))
-    k = round(keep * docs.count())
-    return ranked(w, "key", "_id").withColumn("kept", F.col("rank") <= k).withColumnRenamed("_id", id_col)
+    w = w.withColumn("key", F.col("log_weight") + gumbel(seed, F.col("_id"), F.col("_h")))
+    k = round(keep * w.count())
+    out = graph.numbered(w, [F.col("key").desc(), F.col("_id").asc_nulls_last(), F.col("_h").asc()])
+    return out.withColumn("kept", F.col("rank") <= k).select(F.col("_id").alias(id_col), "log_weight", "key", "rank", "kept")

@@ -13,7 +13,10 @@ the groups they make.
    grows with a block; what tiles find is joined again by connected components.
 
 No pair is sent anywhere; results do not depend on chance or order. Documents with
-no words link with nothing. NULL text is empty. Rows with one id are one document.
+no words link with nothing; NULL text is empty. Each row is a document of its own,
+also where ids are equal or NULL: such rows link only by their texts. A group is named
+by its least id that is not NULL, and NULL where all are. Ids must be numbers below
+2^63 - 1.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ from sentrel.llm.seq import U
 BITS = 2048
 FANOUT = 16
 TILE = 256
+SALTS = 32
 
 
 def shingle_sets(texts, k: int):
@@ -62,28 +66,26 @@ def _shapes(k: int):
             for row, s in shingle_sets(b.column("_text"), k):
                 n[row] = len(s)
                 a[row], c[row] = _key(s)
-            yield pa.RecordBatch.from_pydict({"_id": b.column("_id"), "n": n, "k1": a, "k2": c, "chunk": b.column("chunk")})
+            yield pa.RecordBatch.from_pydict({"_id": b.column("_id"), "n": n, "k1": a, "k2": c, **{x: b.column(x) for x in ("chunk", "h1", "h2")}})
 
     return f
 
 
 def _rep_sets(t: pa.Table, reps: pa.Table, k: int):
-    """(id, set) of the texts of a chunk that stand for their sets."""
-    want = set(zip(reps.column("rep").to_pylist(), reps.column("k1").to_pylist()))
+    """(node, set) of the different sets of a chunk that it stands for; their rows are
+    found by id and told apart by the keys of the sets."""
+    want = {(a, b): n for a, b, n in zip(*(reps.column(c).to_pylist() for c in ("k1", "k2", "node")))}
     if not want or not t.num_rows:
         return
-    ids = _ids(t)
-    m = np.isin(ids, np.array([x[0] for x in want], dtype=np.int64))
-    rows = np.flatnonzero(m)
+    rows = np.flatnonzero(np.isin(_ids(t), reps.column("rep").to_numpy()))
     for row, s in shingle_sets(t.column("_text").take(pa.array(rows)), k):
-        x = (int(ids[rows[row]]), _key(s)[0])
-        if x in want:
-            want.remove(x)
-            yield x[0], s
+        node = want.pop(_key(s), None)
+        if node is not None:
+            yield node, s
 
 
 TOKENS = "bucket long, chunk long, h binary"
-COUNTS = "chunk long, bucket long, df binary, rep long, k1 long"
+COUNTS = "chunk long, bucket long, df binary, rep long, k1 long, k2 long, node long"
 
 
 def _chunk_tokens(sets: list[np.ndarray], buckets: int):
@@ -113,7 +115,7 @@ def _count(t):
     cuts = np.cumsum(per)
     blobs = [df[c - p : c].tobytes() for c, p in zip(cuts.tolist(), per.tolist())]
     null = pa.nulls(t.num_rows, pa.int64())
-    return pa.table({"chunk": t.column("chunk"), "bucket": t.column("bucket"), "df": pa.array(blobs, pa.binary()), "rep": null, "k1": null})
+    return pa.table({"chunk": t.column("chunk"), "bucket": t.column("bucket"), "df": pa.array(blobs, pa.binary()), "rep": null, "k1": null, "k2": null, "node": null})
 
 
 PREFIXES = "bucket long, h binary, id binary, n binary"
@@ -177,7 +179,7 @@ BLOCKS = "block long, tile_a int, tile_b int, id long, n long, s binary"
 
 def _blocks(k: int):
     def f(t, nodes):
-        block = dict(zip(nodes.column("rep").to_pylist(), zip(nodes.column("component").to_pylist(), nodes.column("tiles").to_pylist(), nodes.column("tile").to_pylist())))
+        block = dict(zip(nodes.column("node").to_pylist(), zip(nodes.column("component").to_pylist(), nodes.column("tiles").to_pylist(), nodes.column("tile").to_pylist())))
         out: list[tuple] = []
         for i, s in _rep_sets(t, nodes, k):
             c, tiles, mine = block[i]
@@ -273,31 +275,58 @@ def _test(num: int, den: int):
     return f
 
 
-def similar_groups(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id: one row per input row. Documents link when
-    den * |A and B| >= num * |A or B|. Runs jobs and writes intermediate results."""
-    chunks = chunk_count(docs)
+def _grouped(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """One row per input row: _id, h1, h2 (hashes of the row), n, group (the least
+    node its set is linked to; NULL without words), least (the group's least id,
+    LAST where all are NULL)."""
+    d = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
+    chunks, _ = chunk_count(d)
     buckets = max(1, chunks // 4)
-    d = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(LAST)).alias("_id"), F.col(f"`{text_col}`").alias("_text"))
-    cut = d.withColumn("chunk", F.pmod(F.xxhash64("_id"), F.lit(chunks)))
-    shapes = graph.written(cut.mapInArrow(_shapes(k), "_id long, n long, k1 long, k2 long, chunk long"))
-    # the least id of each set: copies are first joined within a chunk
-    local = shapes.filter("n > 0").groupBy("k1", "k2", "chunk").agg(F.min("_id").alias("local"))
-    local = local.withColumn("rep", F.min("local").over(W.partitionBy("k1", "k2")))
-    local = graph.written(local)
-    reps = local.filter("local = rep").select("rep", "k1", "k2", "chunk")
+    cut = d.withColumns({"h1": F.xxhash64("_id", "_text"), "h2": F.xxhash64("_text", F.lit(2))}).withColumn("chunk", F.pmod("h1", F.lit(chunks)))
+    shapes = graph.written(cut.mapInArrow(_shapes(k), "_id long, n long, k1 long, k2 long, chunk long, h1 long, h2 long"))
+    # one row stands for each set: copies are first joined within a chunk
+    local = shapes.filter("n > 0").groupBy("k1", "k2", "chunk").agg(F.min(F.coalesce("_id", F.lit(LAST))).alias("local"))
+    local = graph.written(local.withColumn("first", F.min(F.struct("local", "chunk")).over(W.partitionBy("k1", "k2"))))
+    reps = local.filter("local = first.local AND chunk = first.chunk").select(F.col("local").alias("rep"), "k1", "k2", "chunk", F.monotonically_increasing_id().alias("node"))
+    reps = graph.written(reps)
+    cut = cut.select("_id", "_text", "chunk")
     by_chunk = cut.groupBy("chunk")
     counts = by_chunk.cogroup(reps.groupBy("chunk")).applyInArrow(_send(k, buckets), TOKENS).groupBy("bucket").applyInArrow(_count, COUNTS)
-    back = counts.unionByName(reps.select("chunk", F.lit(None).cast("bigint").alias("bucket"), F.lit(None).cast("binary").alias("df"), "rep", "k1"))
+    back = counts.unionByName(reps.select("chunk", F.lit(None).cast("bigint").alias("bucket"), F.lit(None).cast("binary").alias("df"), "rep", "k1", "k2", "node"))
     prefixes = by_chunk.cogroup(back.groupBy("chunk")).applyInArrow(_prefixes(k, buckets, num, den), PREFIXES)
     ties = prefixes.groupBy("bucket").applyInArrow(_tie(num, den), "src long, dst long")
     candidate = graph.written(graph.components(ties))
     sizes = candidate.groupBy("component").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     nodes = candidate.join(sizes, "component").withColumn("tile", F.pmod(F.xxhash64("node", F.lit(7)), F.col("tiles")).cast("int"))
-    nodes = nodes.join(reps, nodes["node"] == reps["rep"]).select("rep", "k1", "component", "tiles", "tile", "chunk")
+    nodes = nodes.join(reps, "node").select("rep", "k1", "k2", "node", "component", "tiles", "tile", "chunk")
     blocks = by_chunk.cogroup(nodes.groupBy("chunk")).applyInArrow(_blocks(k), BLOCKS)
     links = blocks.groupBy("block", "tile_a", "tile_b").applyInArrow(_test(num, den), "src long, dst long")
-    groups = graph.components(links).select(F.col("node").alias("rep"), "component")
-    named = local.join(groups, "rep", "left").select("k1", "k2", "chunk", F.coalesce("component", "rep").alias("component"))
-    out = shapes.join(named, ["k1", "k2", "chunk"], "left")
-    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "_id").alias("component_id"))
+    groups = reps.join(graph.components(links), "node", "left").select("k1", "k2", "rep", F.coalesce("component", "node").alias("group"), F.pmod("k1", F.lit(SALTS)).alias("salt"))
+    # one group may hold most sets: its least id comes to them salted
+    least = groups.groupBy("group").agg(F.min("rep").alias("least"), F.count("*").alias("_n"))
+    salted = least.filter("_n > 1").select("group", "least", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
+    groups = groups.join(salted, ["group", "salt"], "left").select("k1", "k2", "group", F.coalesce("least", "rep").alias("least"))
+    named = local.select("k1", "k2", "chunk").join(groups, ["k1", "k2"])
+    return shapes.join(named, ["k1", "k2", "chunk"], "left").select("_id", "h1", "h2", "n", "group", F.coalesce("least", "_id", F.lit(LAST)).alias("least"))
+
+
+def similar_groups(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id: one row per input row. Documents link when
+    den * |A and B| >= num * |A or B|. Runs jobs and writes intermediate results."""
+    g = _grouped(docs, k, num, den, id_col, text_col)
+    return g.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.nullif("least", F.lit(LAST)).alias("component_id"))
+
+
+def drop_near_copies(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each group one row of ``docs`` with the least id (NULL last; of several the
+    one with the least hash); rows without words all stay. Columns as they are."""
+    g = _grouped(docs, k, num, den, id_col, text_col)
+    # of the rows with the group's least id one is taken, so no group meets in a task
+    least = g.filter((F.col("n") > 0) & (F.coalesce("_id", F.lit(LAST)) == F.col("least")))
+    stay = least.groupBy("group").agg(F.min(F.struct(F.coalesce("_id", F.lit(LAST)).alias("i"), "h1", "h2")).alias("r")).select("r.*", F.lit(False).alias("empty"))
+    stay = stay.unionByName(g.filter("n = 0").select(F.coalesce("_id", F.lit(LAST)).alias("i"), "h1", "h2", F.lit(True).alias("empty")).distinct())
+    i = F.col(f"`{id_col}`").cast("bigint")
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("x"), F.coalesce(i, F.lit(LAST)).alias("i"), F.xxhash64(i, F.col(f"`{text_col}`")).alias("h1"), F.xxhash64(F.col(f"`{text_col}`"), F.lit(2)).alias("h2"))
+    # rows with equal id and text are told apart by their number
+    j = d.join(stay, ["i", "h1", "h2"]).withColumn("again", F.row_number().over(W.partitionBy("i", "h1", "h2").orderBy(F.xxhash64("x"))))
+    return j.filter("empty OR again = 1").select("x.*")

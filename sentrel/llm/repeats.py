@@ -5,7 +5,7 @@ least hash (the first on ties). Equal windows have equal anchors, so occurrences
 of a window only ever meet within its anchor's class. Consecutive windows with one
 anchor form a run; only runs are sent.
 
-* Documents are dealt to chunks by id. A chunk sends each different (anchor, run)
+* Documents are dealt to chunks by id and text (equal or missing ids spread). A chunk sends each different (anchor, run)
   once, however many of its documents hold it: copies and very common passages
   are combined before the shuffle.
 * A bucket of anchors settles each class. A class whose runs are all equal is
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sentrel.llm import seq
 from sentrel.llm.seq import U
 
-DOCS_PER_CHUNK = 2000
+CHUNK_BYTES = 4 << 20
 POS_BITS = 28
 LAST = np.iinfo(np.int64).max
 
@@ -80,8 +80,12 @@ class Rule:
     kept_type: str
 
 
-def chunk_count(df: DataFrame) -> int:
-    return max(1, -(-df.count() // DOCS_PER_CHUNK))
+def chunk_count(df: DataFrame, of: Column | None = None) -> tuple[int, int]:
+    """(chunks of about CHUNK_BYTES of ``_text``, bytes of the texts where ``of``). A
+    row counts 64 bytes besides its text."""
+    n = F.octet_length("_text")
+    a = df.agg(F.sum(F.coalesce(n, F.lit(0)).cast("bigint") + 64).alias("all"), F.sum(F.when(of, n) if of is not None else n).alias("of")).first()
+    return max(1, -(-(a["all"] or 0) // CHUNK_BYTES)), a["of"] or 0
 
 
 def _ids(t: pa.Table) -> np.ndarray:
@@ -286,14 +290,15 @@ def _ranges(s: np.ndarray, e: np.ndarray) -> np.ndarray:
 def remove_repeats(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """doc_id, n_symbols, n_removed, n_spans, kept, and with ``carry`` the other
     columns of ``docs`` as struct ``_x``. One row per input row. Runs a count."""
-    chunks = chunk_count(docs)
-    buckets = max(1, chunks // 4)
     cols: list[Column] = [F.col(f"`{id_col}`").cast("bigint").alias("_id"), F.col(f"`{text_col}`").alias("_text")]
     rest = [c for c in docs.columns if c not in (id_col, text_col)]
     extra = carry and bool(rest)
     if extra:
         cols.append(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_x"))
-    cut = docs.select(*cols, F.pmod(F.xxhash64(F.col(f"`{id_col}`").cast("bigint")), F.lit(chunks)).alias("chunk"))
+    cut = docs.select(*cols)
+    chunks, _ = chunk_count(cut)
+    buckets = max(1, chunks // 4)
+    cut = cut.withColumn("chunk", F.pmod(F.xxhash64("_id", "_text"), F.lit(chunks)))
     by_chunk = cut.groupBy("chunk")
     first = by_chunk.applyInArrow(_heads(rule, buckets), HEADS).groupBy("bucket").applyInArrow(_classes(rule), VERDICTS)
     opened = by_chunk.cogroup(first.groupBy("chunk")).applyInArrow(_open(rule, buckets), HEADS)

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from sentrel.llm import graph, jaccard_join
 
 SCHEMA = "doc_id long, text string"
@@ -38,9 +39,9 @@ def brute(rows, k, num, den):
     return sorted((d, len(sets[d]), label[d]) for d in sets)
 
 
-@pytest.mark.parametrize("seed,chunk,tile,k,num", [(1, 2000, 1500, 3, 90), (2, 9, 3, 3, 90), (3, 13, 2, 5, 80)])
+@pytest.mark.parametrize("seed,chunk,tile,k,num", [(1, 1 << 20, 1500, 3, 90), (2, 4000, 3, 3, 90), (3, 6000, 2, 5, 80)])
 def test_groups(spark, monkeypatch, seed, chunk, tile, k, num):
-    monkeypatch.setattr("sentrel.llm.repeats.DOCS_PER_CHUNK", chunk)
+    monkeypatch.setattr("sentrel.llm.repeats.CHUNK_BYTES", chunk)
     monkeypatch.setattr(jaccard_join, "TILE", tile)
     rows = corpus(seed)
     got = jaccard_join.similar_groups(spark.createDataFrame(rows, SCHEMA), k, num).collect()
@@ -63,3 +64,22 @@ def test_components_of_a_path_and_empty(spark):
     assert got == {**{i: 0 for i in range(51)}, 100: 100, 101: 100}
     assert graph.components(edges.limit(0)).count() == 0
     assert jaccard_join.similar_groups(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    words = [f"w{i}" for i in range(120)]
+    near = " ".join([*words[:119], "other"])
+    far = " ".join(f"v{i}" for i in range(60))
+    rows = [(5, " ".join(words), 1), (None, near, 2), (None, far, 3), (None, far + " end", 4), (7, "one two three four", 5), (7, far + " tail", 6), (9, "one two three four", 7), (7, "one two three four", 8), (None, None, 9), (None, "", 10), (None, "  ", 11), (None, "", 12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, x long")
+    got = sorted(map(tuple, jaccard_join.similar_groups(df).collect()), key=str)
+    assert got == sorted([(5, 118, 5), (None, 118, 5), (None, 58, 7), (None, 59, 7), (7, 2, 7), (7, 59, 7), (9, 2, 7), (7, 2, 7), *[(None, 0, None)] * 4], key=str)
+    kept = jaccard_join.drop_near_copies(df, 3, 90)
+    assert kept.columns == df.columns
+    xs = {r.x for r in kept.collect()}
+    assert {1, 6, 9, 10, 11, 12} <= xs and len(xs & {5, 8}) == 1 and len(xs) == 7
+    none = spark.createDataFrame([(None, "a b c d", 1), (None, "a b c d", 2), (None, "x y z", 3)], df.schema)
+    assert [r.component_id for r in jaccard_join.similar_groups(none).collect()] == [None] * 3
+    assert len({1, 2} & {r.x for r in jaccard_join.drop_near_copies(none).collect()}) == 1
+    odd = df.select("doc_id", "text", *[F.col("x").alias(c) for c in ("i", "h1", "h2", "empty", "again", "_stay", "group", "least", "n", "_id", "chunk", "X_1")])
+    assert jaccard_join.drop_near_copies(odd, 3, 90).columns == odd.columns and jaccard_join.drop_near_copies(odd, 3, 90).count() == 7

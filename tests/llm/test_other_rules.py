@@ -1,6 +1,11 @@
+import heapq
 import random
+import re
+import tracemalloc
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from sentrel.llm import decontaminate as dc, mixing, quality_rules, quotation
 
 
@@ -14,28 +19,91 @@ def semi_global(item, text):
     return min(row)
 
 
-def test_leaks_against_alignment(spark):
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        new = [i + 1]
+        for j, y in enumerate(b):
+            new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return row[-1]
+
+
+def as_compared(t):
+    return re.sub("[ \t-\r]+", " ", "".join(c.lower() if "A" <= c <= "Z" else c for c in t))
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_leaks_against_alignment(spark, monkeypatch, small):
+    if small:  # several shards, slices and segments
+        for name, x in (("SHARD_BYTES", 300), ("SLICE", 40), ("SEGMENT", 64)):
+            monkeypatch.setattr(dc, name, x)
     rnd = random.Random(3)
-    word = lambda: "".join(rnd.choice("abcdefg") for _ in range(rnd.randint(2, 7)))
+    word = lambda: "".join(rnd.choice("abcdéfg") for _ in range(rnd.randint(2, 7)))
     items = [(i, " ".join(word() for _ in range(rnd.randint(12, 30)))) for i in range(8)] + [(90, None), (91, ""), (92, "short")]
-    docs = [(0, None), (1, ""), (2, "x " * 3000)]
+    docs = [(0, None), (1, ""), (2, "x " * 3000), (None, items[0][1].replace(" ", "\n\t "))]
     for d in range(3, 60):
         parts = [" ".join(word() for _ in range(rnd.randint(0, 40)))]
         t = list(rnd.choice(items[:8])[1])
         for _ in range(rnd.randint(0, 12)):
             p = rnd.randrange(len(t))
-            t[p] = rnd.choice(["", "Z", t[p] + "y", t[p].upper()])
+            t[p] = rnd.choice(["", "Z", t[p] + "y", t[p].upper(), "ü"])
         docs.append((d, " ".join([*parts, "".join(t), word()])))
-    got = {(r.doc_id, r.item_id) for r in dc.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
-    want = set()
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = dc.find_leaks(df, bench).collect()
+    text, item = dict(docs), {i: as_compared(t or "") for i, t in items}
+    want = {}
     for i, t in items[:8]:
         e = dc.edit_budget(len(t), 0.05, 16)
-        want |= {(d, i) for d, x in docs if x and semi_global(t.lower(), x.lower()) <= e}
-    assert got == want and len(want) > 5
-    left = dc.drop_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+        want |= {(d, i): n for d, x in docs if x and (n := semi_global(as_compared(t), as_compared(x))) <= e}
+    assert {(r.doc_id, r.item_id): r.edits for r in got} == want and len(want) > 5 and len(got) == len(want)
+    assert all(distance(item[r.item_id], as_compared(text[r.doc_id][r.start_char : r.end_char])) == r.edits for r in got)
+    left = dc.drop_leaks(df, bench)
     assert {r.doc_id for r in left.collect()} == {d for d, _ in docs} - {d for d, _ in want}
     none = spark.createDataFrame([], "item_id long, text string")
-    assert dc.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), none).count() == 0
+    assert dc.find_leaks(df, none).count() == 0 and dc.drop_leaks(df, none).count() == len(docs)
+    odd = df.select("doc_id", "text", *[F.lit(1).alias(c) for c in ("_leak", "_text", "_id", "_x", "_h1", "item_id")])
+    assert dc.drop_leaks(odd, bench).columns == odd.columns and dc.drop_leaks(odd, bench).count() == left.count()
+
+
+def test_places_of_a_repeating_text():
+    phrase = "the same phrase comes again, "
+    index = dc.Index([(1, phrase * 10), (2, "nothing like it is there at all, not once")], 16, 0.05)
+    buf = np.frombuffer((phrase * 40_000).encode(), np.uint8)
+    tracemalloc.start()
+    chars, offs, _ = dc.plain(buf, np.array([0, len(buf)]))
+    n, last = 0, 0
+    for t, i, s, e, edits in dc.places(index, chars, offs):
+        assert (t, i, edits) == (0, 0, 0) and s >= last
+        n, last = n + 1, e
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 3800 < n <= 4000 and peak < 150 << 20, (n, peak >> 20)
+
+
+def sainte_lague(weights, seats):
+    heap = [(-w, i, 0) for i, w in enumerate(weights) if w > 0]
+    heapq.heapify(heap)
+    quota = [0] * len(weights)
+    for _ in range(seats if heap else 0):
+        _, i, k = heapq.heappop(heap)
+        quota[i] += 1
+        heapq.heappush(heap, (-(weights[i] / (2 * k + 3)), i, k + 1))
+    return quota
+
+
+def test_quotas_against_a_heap(spark):
+    rnd = random.Random(8)
+    cases = [([500] + [0.49] * 600, 794), ([500] + [0.52] * 600, 812), ([600] + [0.4] * 1000, 1000), ([1.0] * 7, 10), ([0.0, 0.0], 3), ([0.0, 2.0], 0), ([3.0], 5)]
+    cases += [([float(rnd.choice([0, 1, rnd.random(), rnd.randint(1, 10) ** rnd.randint(1, 6)])) for _ in range(rnd.randint(1, 30))], rnd.randint(0, 200)) for _ in range(200)]
+    rows = [(g, i, float(w), s) for g, (ws, s) in enumerate(cases) for i, w in enumerate(ws)]
+    df = spark.createDataFrame(rows, "g int, i int, w double, seats int")
+    got = {(r.g, r.i): r.quota for r in mixing.apportion_within(df, "seats", "w", "g", "i").collect()}
+    for g, (ws, s) in enumerate(cases):
+        assert [got[g, i] for i in range(len(ws))] == sainte_lague(ws, s), (ws, s)
+    for g in (0, 1, 2, 3, 4, 5, 20, 21):
+        one = mixing.apportion(df.filter(F.col("g") == g), cases[g][1], "w", "i").orderBy("i").collect()
+        assert [r.quota for r in one] == sainte_lague(*cases[g])
 
 
 def fill(sizes, share=1.5, cap=2.0):
@@ -74,6 +142,15 @@ def test_mix(spark, shard_docs):
         assert abs(sum(r.taken for r in mine) - t) <= 16 * (shards + 1)
 
 
+def test_mix_ties_and_repeated_rows(spark):
+    rows = [(1, "a b c d e f", "s")] * 50 + [(None, "a b c d e f", "s"), (None, "g h", "s"), (2, "a b c d e f", "t"), (2, "x y z", "t"), (None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df, block=4).collect()
+    assert len(got) == len(rows) and len({r.taken for r in got if r.doc_id == 1}) == 1
+    assert all(0 <= r.taken <= 2 * r.size for r in got)
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(df.repartition(7), block=4).collect()))
+
+
 def test_mix_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix(df).count() == 0

@@ -58,17 +58,17 @@ def brute_words(rows, size):
     return sorted(out)
 
 
-@pytest.mark.parametrize("seed,chunk", [(1, 2000), (2, 25), (3, 7)])
+@pytest.mark.parametrize("seed,chunk", [(1, 1 << 20), (2, 12_000), (3, 4000)])
 def test_bytes(spark, monkeypatch, seed, chunk):
-    monkeypatch.setattr("sentrel.llm.repeats.DOCS_PER_CHUNK", chunk)
+    monkeypatch.setattr("sentrel.llm.repeats.CHUNK_BYTES", chunk)
     rows = corpus(seed)
     got = suffix_dedup.dedup_substrings(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted((r.doc_id, r.n_symbols, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in got) == brute_bytes(rows, 200)
 
 
-@pytest.mark.parametrize("seed,chunk", [(1, 2000), (2, 25), (3, 7)])
+@pytest.mark.parametrize("seed,chunk", [(1, 1 << 20), (2, 12_000), (3, 4000)])
 def test_words(spark, monkeypatch, seed, chunk):
-    monkeypatch.setattr("sentrel.llm.repeats.DOCS_PER_CHUNK", chunk)
+    monkeypatch.setattr("sentrel.llm.repeats.CHUNK_BYTES", chunk)
     rows = corpus(seed)
     got = automaton_dedup.dedup_passages(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted((r.doc_id, r.n_symbols, r.n_removed, r.kept) for r in got) == brute_words(rows, 13)
