@@ -214,7 +214,7 @@ def test_importance_draws_by_weight(spark):
         keyed = w.withColumn("key", F.col("w") + importance.gumbel(seed, F.col("id")))
         hits.update(r.id for r in keyed.orderBy(F.desc("key")).limit(k).collect())
     odd, even = (sum(v for i, v in hits.items() if i % 2 == m) for m in (1, 0))
-    assert 2.0 < odd / even < 3.2 and max(hits.values()) < 36 and len(hits) == n
+    assert 2.0 < odd / even < 3.2 and max(hits.values()) < 36 and len(hits) > 0.95 * n
 
 
 def test_language_by_hand(spark):
