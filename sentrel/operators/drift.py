@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from sentrel.config import DEFAULTS, Settings
-from sentrel.operators.metrics import _running
+from sentrel.operators.metrics import running
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -39,11 +39,26 @@ def drift_mean_std(current: DataFrame, reference: DataFrame, s: Settings = DEFAU
     return j.select("column_name", F.round("mean_change", 4).alias("mean_change"), F.round("std_change", 4).alias("std_change"), ((F.col("mean_change") > s.drift_threshold) | (F.col("std_change") > s.drift_threshold)).alias("drifted"))
 
 
+def save_reference(df: DataFrame, path: str, version: str, columns: list[str] | None = None) -> None:
+    """Adds the statistics of ``df`` to the reference table at ``path`` as ``version``
+    (written in a folder of its own, so saving it again replaces it)."""
+    column_statistics(df, columns).write.mode("overwrite").parquet(f"{path.rstrip('/')}/version={version}")
+
+
+def load_reference(spark: SparkSession, path: str, version: str | None = None) -> DataFrame:
+    """Statistics of ``version``, by default the last in order of name."""
+    t = spark.read.schema("column_name string, mean double, std double, n long, version string").parquet(path)
+    if version is not None:
+        return t.filter(F.col("version") == version).drop("version")
+    last = t.agg(F.max("version").alias("_v"))
+    return t.join(F.broadcast(last), F.col("version") == F.col("_v")).drop("version", "_v")
+
+
 def ks_statistic(a: DataFrame, b: DataFrame, column: str, s: Settings = DEFAULTS) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov: D, sizes, the asymptotic p-value, the verdict."""
     u = a.select(F.col(column).alias("v"), F.lit(1).alias("i"), F.lit(0).alias("j")).unionByName(b.select(F.col(column).alias("v"), F.lit(0).alias("i"), F.lit(1).alias("j")))
     by = u.filter(F.col("v").isNotNull()).groupBy("v").agg(F.sum("i").alias("na"), F.sum("j").alias("nb"))
-    c = _running(by, "v", ["na", "nb"])
+    c = running(by, "v", ["na", "nb"])
     sizes = by.agg(F.sum("na").alias("n1"), F.sum("nb").alias("n2"))
     d = c.crossJoin(F.broadcast(sizes)).agg(F.max(F.abs(F.col("cum_na") / F.nullif(F.col("n1"), F.lit(0)) - F.col("cum_nb") / F.nullif(F.col("n2"), F.lit(0)))).alias("d"), F.first("n1").alias("n1"), F.first("n2").alias("n2"))
     en = F.sqrt(F.col("n1") * F.col("n2") / (F.col("n1") + F.col("n2")))

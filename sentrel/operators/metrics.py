@@ -76,13 +76,19 @@ def confusion_metrics(df: DataFrame) -> DataFrame:
     return c.withColumns({"p": pr, "r": re}).select("tp", "fp", "tn", "fn", F.round("p", 4).alias("precision"), F.round("r", 4).alias("recall"), F.round(ratio(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r")), 4).alias("f1"))
 
 
-def _running(df: DataFrame, value: str, sums: list[str]) -> DataFrame:
-    """Exact running sums over the sort order of ``value`` without a single-task
-    window: range partitions, then the totals of earlier partitions are added.
-
-    The partition totals are as many rows as partitions, so they are broadcast."""
-    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    parts = df.repartitionByRange(n, value).withColumn("_p", F.spark_partition_id())
+RANGES = 256
+
+
+def running(df: DataFrame, value: str, sums: list[str]) -> DataFrame:
+    """Exact running sums over the order of the numeric column ``value`` without a
+    single-task window: rows are dealt to ranges by fixed bounds (about equal parts,
+    found by a job of their own), summed within, and the totals of the ranges before
+    are added. Bounds are constants of the plan, so wherever Spark evaluates a branch
+    again, a row is in the same range. At most RANGES totals are broadcast."""
+    n = max(1, min(RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    found = df.agg(F.percentile_approx(F.col(value).cast("double"), [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0]
+    bounds = F.array(*[F.lit(float(x)) for x in sorted(set(found or []))]).cast("array<double>")
+    parts = df.withColumn("_p", F.size(F.filter(bounds, lambda x: x <= F.col(value).cast("double"))))
     totals = parts.groupBy("_p").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     before = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
     heads = totals.select("_p", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_h_{c}") for c in sums])
@@ -95,6 +101,6 @@ def auc_rank(df: DataFrame, score: str = "ml_probability") -> DataFrame:
     """Area under ROC as the Mann-Whitney statistic with mid-ranks; NULL when one
     class is missing."""
     by = df.filter(F.col(score).isNotNull()).groupBy(score).agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
-    c = _running(by, score, ["neg"])
+    c = running(by, score, ["neg"])
     out = c.agg(F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") / 2)).alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return out.select(F.round(F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("u") / (F.col("p") * F.col("n"))), 6).alias("auc"))

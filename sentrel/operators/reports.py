@@ -50,12 +50,12 @@ def list_branches(al: DataFrame) -> DataFrame:
     return al.filter(F.col("branch_id").isNotNull() & (F.col("branch_id") != "")).select("branch_id").distinct().orderBy("branch_id")
 
 
-def feedback_breakdown(fb: DataFrame) -> DataFrame:
-    return fb.groupBy("analyst_label").agg(F.count("*").alias("n"))
+def feedback_breakdown(fb: DataFrame, branch_id: str | None = None) -> DataFrame:
+    return for_branch(fb, branch_id).groupBy("analyst_label").agg(F.count("*").alias("n"))
 
 
-def feedback_breakdown_by_type(fb: DataFrame, al: DataFrame) -> DataFrame:
-    joined = fb.filter(F.col("analyst_label").isNotNull()).join(al.select("transaction_id", "alert_type"), "transaction_id", "left")
+def feedback_breakdown_by_type(fb: DataFrame, al: DataFrame, branch_id: str | None = None) -> DataFrame:
+    joined = for_branch(fb, branch_id).filter(F.col("analyst_label").isNotNull()).join(al.select("transaction_id", "alert_type"), "transaction_id", "left")
     return joined.groupBy(F.coalesce("alert_type", F.lit("unknown")).alias("alert_type"), "analyst_label").agg(F.count("*").alias("n"))
 
 
@@ -63,9 +63,11 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
 
-def system_stats(al: DataFrame, fb: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    """Counts over alerts and over reviewed alerts: each table is read once."""
-    a = al.agg(
+def system_stats(al: DataFrame, fb: DataFrame, s: Settings = DEFAULTS, branch_id: str | None = None) -> DataFrame:
+    """Counts over alerts and over reviewed alerts. With a branch: the alerts of the
+    branch, and its reviews, whatever branch their alerts have."""
+    fb = for_branch(fb, branch_id)
+    a = for_branch(al, branch_id).agg(
         F.count_if((kind() == "high_risk") & (F.col("ml_probability") > s.high_risk)).alias("high_risk_alerts"),
         F.count_if(kind() == "random_sample").alias("random_samples"),
         F.count_if(kind() == "uncertainty_sample").alias("uncertainty_samples"),
@@ -116,7 +118,21 @@ def alert_feedback_join(al: DataFrame, fb: DataFrame) -> DataFrame:
     return al.join(f, "transaction_id")
 
 
-def alert_export(al: DataFrame, fb: DataFrame) -> DataFrame:
+def one_alert(df: DataFrame, transaction_id: str) -> DataFrame:
+    """Point lookup; the filter reaches the scan. No row where there is no such id."""
+    return df.filter(F.col("transaction_id") == transaction_id)
+
+
+def explain_alert(al: DataFrame, reg: DataFrame, transaction_id: str, k: int = 3) -> DataFrame:
+    """transaction_id, alert_type and one row per leading factor of the champion; a
+    single row without a factor where none are registered."""
+    a = one_alert(al, transaction_id).select("transaction_id", kind().alias("alert_type"))
+    return a.join(F.broadcast(top_risk_factors(reg, k)), F.lit(True), "left")
+
+
+def alert_export(al: DataFrame, fb: DataFrame, transaction_id: str | None = None) -> DataFrame:
+    if transaction_id is not None:
+        al, fb = one_alert(al, transaction_id), one_alert(fb, transaction_id)
     last = latest_feedback(fb).select("transaction_id", "analyst_label", F.col("timestamp").alias("analyst_timestamp"))
     return al.join(last, "transaction_id", "left").select("transaction_id", "user_id", "amount_tnd", "governorate", "payment_method", "branch_id", "ml_probability", "alert_type", "analyst_label", "analyst_timestamp")
 

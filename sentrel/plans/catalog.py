@@ -41,11 +41,20 @@ def _money(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, or a local one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sentrel-")
+    """A new folder below spark.checkpoint.dir. Where that is unset, a folder of this
+    machine serves if everything runs on this machine; a cluster must set it."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="sentrel-")
     return f"{base.rstrip('/')}/sentrel-{uuid.uuid4().hex}"
 
 
+#: The alert that is looked up by id.
+ONE_ALERT = "7"
+
+
 def daily(spark, d):
     return features.sliding_features(quality.gate_pass(ad.transactions(spark, d)), "1 day", "6 hours")
 
@@ -188,6 +197,41 @@ def system_stats(spark, d):
     return reports.system_stats(ad.alerts(spark, d), ad.feedback(spark, d))
 
 
+@query
+def system_stats_branch(spark, d):
+    return reports.system_stats(ad.alerts(spark, d), ad.feedback(spark, d), branch_id="src1")
+
+
+@query
+def feedback_breakdown_branch(spark, d):
+    return reports.feedback_breakdown_by_type(ad.feedback(spark, d), ad.alerts(spark, d), "src1")
+
+
+@query
+def alert_export_one(spark, d):
+    return _text(reports.alert_export(ad.alerts(spark, d), ad.feedback(spark, d), ONE_ALERT), "analyst_timestamp")
+
+
+@query
+def explain_alert(spark, d):
+    return reports.explain_alert(ad.alerts(spark, d), ad.registry(spark), ONE_ALERT)
+
+
+@query
+def alert_insert_ignore_all(spark, d):
+    """As alert_insert_ignore, with every alert in one input at least."""
+    al, n = ad.alerts(spark, d), F.col("transaction_id").cast("bigint")
+    late = al.filter(n >= 100).withColumns({"user_id": F.lit("second"), "created_at": F.col("created_at") + F.expr("INTERVAL 1 DAY")})
+    return store.insert_ignore(al.filter(n < 300), al.filter((n >= 200) & (n < 600)).unionByName(late)).select("transaction_id", "user_id")
+
+
+@query
+def promote(spark, d):
+    reg = ad.registry(spark)
+    new = reg.filter("version_id = 'v1'").withColumn("version_id", F.lit("v9"))
+    return store.promote(reg, new).select("version_id", "is_champion", F.col("f1_score").cast("double").alias("f1_score"))
+
+
 @query
 def model_performance(spark, d):
     return metrics.model_performance(ad.alerts(spark, d), ad.feedback(spark, d))
@@ -314,6 +358,12 @@ def drift_ks_statistic(spark, d):
     return drift.ks_statistic(a, b, "amount_tnd").select("ks_statistic", "n1", "n2")
 
 
+@query
+def drift_ks_verdict(spark, d):
+    a, b = _halves(spark, d)
+    return drift.ks_statistic(a, b, "amount_tnd").select(F.round("p_value", 4).alias("p_value"), "drifted")
+
+
 @query
 def distribution_comparison(spark, d):
     al = ad.alerts(spark, d).withColumn("created_at", F.timestamp_seconds(F.unix_timestamp("created_at") * 60 - 59 * F.unix_timestamp(F.lit(ad.EPOCH))))
@@ -389,7 +439,7 @@ def stream_sliding_features(spark, d):
 @query
 def train_challenger(spark, d):
     rows = scoring.rule_label(scoring.ml_features(daily(spark, d))).withColumn("transaction_id", F.concat_ws("@", "user_id", F.col("window_start").cast("string")))
-    parts = ml.split(rows)
+    parts = ml.split(rows).persist()
     model = ml.train(parts.filter("split = 'train'"))
     return ml.evaluate(model, parts.filter("split = 'test'"))
 

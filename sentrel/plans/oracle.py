@@ -184,3 +184,18 @@ FAILURES = """SELECT *, CASE k WHEN 1 THEN '503' WHEN 2 THEN 'NO_RESPONSE' WHEN
     FROM (SELECT *, CAST(transaction_id AS BIGINT) % 5 AS k FROM alerts) WHERE k <> 0"""
 SQL["delivery_failures"] = _with(f"SELECT transaction_id, error_code, error_message, CAST(0 AS INT) AS attempts, 'PENDING' AS status FROM ({FAILURES})", "alerts")
 SQL["retry_payload"] = _with(f"SELECT transaction_id, user_id, amount_tnd, governorate, payment_method, ml_probability, error_message AS sar_report FROM ({FAILURES})", "alerts")
+
+#: Lookups by id, one branch, and the verdict of the drift test.
+SQL["alert_export_one"] = f"SELECT * FROM ({SQL['alert_export']}) WHERE transaction_id = '7'"
+SQL["explain_alert"] = _with(f"SELECT transaction_id, {KIND} AS alert_type, CAST(rank AS INT) AS rank, feature, {DESCRIBE} AS description, round(score, 4) AS score FROM alerts LEFT JOIN factors ON true WHERE transaction_id = '7'", "alerts", *REG)
+SQL["feedback_breakdown_branch"] = _with("SELECT coalesce(a.alert_type, 'unknown') AS alert_type, f.analyst_label, count(*) AS n FROM feedback f LEFT JOIN alerts a USING (transaction_id) WHERE f.analyst_label IS NOT NULL AND f.branch_id = 'src1' GROUP BY 1, 2", *AF)
+SQL["system_stats_branch"] = _with(f"""SELECT total_feedback, feedback_available, high_risk_alerts, random_samples, uncertainty_samples, queue_total, round({_ratio("tp", "(tp+fp)")}, 3) AS high_risk_precision, round({_ratio("rc", "(rc+rf)")}, 3) AS random_fraud_rate FROM
+    (SELECT count(*) AS total_feedback, count(analyst_label) AS feedback_available FROM feedback WHERE branch_id = 'src1'),
+    (SELECT count(*) FILTER ({KIND} = 'high_risk' AND ml_probability > 0.85) AS high_risk_alerts, count(*) FILTER ({KIND} = 'random_sample') AS random_samples, count(*) FILTER ({KIND} = 'uncertainty_sample') AS uncertainty_samples, count(*) AS queue_total FROM alerts WHERE branch_id = 'src1'),
+    (SELECT count(*) FILTER ({KIND} = 'high_risk' AND f.analyst_label = 'Confirmed Fraud') AS tp, count(*) FILTER ({KIND} = 'high_risk' AND f.analyst_label = 'False Positive') AS fp, count(*) FILTER ({KIND} = 'random_sample' AND f.analyst_label = 'Confirmed Fraud') AS rc, count(*) FILTER ({KIND} = 'random_sample' AND f.analyst_label = 'False Positive') AS rf FROM feedback f JOIN alerts a USING (transaction_id) WHERE f.branch_id = 'src1')""", *AF)
+SQL["alert_insert_ignore_all"] = _with("SELECT transaction_id, CASE WHEN CAST(transaction_id AS BIGINT) < 600 THEN user_id ELSE 'second' END AS user_id FROM alerts", "alerts")
+SQL["promote"] = _with("SELECT version_id, false AS is_champion, CAST(f1_score AS DOUBLE) AS f1_score FROM registry UNION ALL SELECT 'v9', true, CAST(f1_score AS DOUBLE) FROM registry WHERE version_id = 'v1'", "registry")
+SQL["drift_ks_verdict"] = f"""WITH k AS ({SQL["drift_ks_statistic"]}),
+l AS (SELECT n1, n2, (sqrt(n1 * n2 / (n1 + n2)::DOUBLE) + 0.12 + 0.11 / sqrt(n1 * n2 / (n1 + n2)::DOUBLE)) * ks_statistic AS lam FROM k),
+p AS (SELECT n1, n2, CASE WHEN lam < 0.2 THEN 1.0::DOUBLE ELSE least(greatest((SELECT sum(CASE WHEN i % 2 = 1 THEN 2.0 ELSE -2.0 END * exp(-2.0 * i * i * lam * lam)) FROM range(1, 101) r(i)), 0.0), 1.0) END AS p FROM l)
+SELECT round(p, 4) AS p_value, n1 > 10 AND n2 > 10 AND p < 0.05 AS drifted FROM p"""

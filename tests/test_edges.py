@@ -173,3 +173,45 @@ def test_append_feedback(spark):
     new = spark.createDataFrame([("a", "y", None), ("a", "y", None), ("zz", None, "")], fb.schema)
     al = spark.createDataFrame([("a", "b2")], "transaction_id string, branch_id string")
     assert sorted(map(tuple, store.append_feedback(fb, new, al).fillna("-").collect())) == [("a", "x", "b1"), ("a", "y", "b2"), ("a", "y", "b2"), ("zz", "-", "-")]
+
+
+def test_auc_and_ks_over_many_values(spark):
+    """Three runs alike and equal to rank sums, with far more scores than ranges."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    score, label = rng.random(200_000), (rng.random(200_000) < 0.3).astype(int)
+    score = np.where(label == 1, score**0.5, score)
+    rank = pd.Series(score).rank().to_numpy()
+    p, n = label.sum(), (1 - label).sum()
+    want = round((rank[label == 1].sum() - p * (p + 1) / 2) / (p * n), 6)
+    df = spark.createDataFrame(pd.DataFrame({"ml_probability": score, "label": label})).repartition(6)
+    assert {metrics.auc_rank(df).first()["auc"] for _ in range(3)} == {want}
+    a, b = df.filter("label = 1"), df.filter("label = 0")
+    x, y = np.sort(score[label == 1]), np.sort(score[label == 0])
+    d = np.abs(np.searchsorted(x, score, "right") / p - np.searchsorted(y, score, "right") / n).max()
+    assert {drift.ks_statistic(a, b, "ml_probability").first()["ks_statistic"] for _ in range(2)} == {round(float(d), 6)}
+    assert metrics.auc_rank(df.limit(0)).first()["auc"] is None
+
+
+def test_saved_model_and_reference(spark, tmp_path):
+    rows = readers.mock_training_set(spark, 400)
+    model = ml.train(rows, trees=3)
+    ml.save(model, str(tmp_path / "champion"))
+    again = ml.load(str(tmp_path / "champion"))
+    want, got = (sorted(scoring.score(rows, m).select("ml_probability").collect()) for m in (model, again))
+    assert want == got and ml.importance(again) == ml.importance(model)
+    path = str(tmp_path / "reference")
+    drift.save_reference(rows, path, "20240101", ["avg_amount"])
+    drift.save_reference(rows.filter("avg_amount > 5000"), path, "20240201", ["avg_amount"])
+    now = drift.column_statistics(rows, ["avg_amount"])
+    assert [r.drifted for r in drift.drift_mean_std(now, drift.load_reference(spark, path)).collect()] == [True]
+    assert [r.drifted for r in drift.drift_mean_std(now, drift.load_reference(spark, path, "20240101")).collect()] == [False]
+
+
+def test_lookup_of_one_alert(spark):
+    al = spark.createDataFrame([("a", None), ("b", "random_sample")], "transaction_id string, alert_type string")
+    reg = spark.createDataFrame([("v1", True, None, "[]")], "version_id string, is_champion boolean, promoted_at timestamp, feature_importance string")
+    assert [tuple(r)[:3] for r in reports.explain_alert(al, reg, "a").collect()] == [("a", "high_risk", None)]
+    assert reports.explain_alert(al, reg, "zz").count() == 0
