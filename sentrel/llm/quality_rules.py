@@ -1,11 +1,14 @@
 """Operator 10: line-first cleaning.
 
 Rules look at one line at a time; lines that break one are removed, then documents
-that are too short, repeat themselves or lose too many words are rejected. All rules
-work on whole texts; texts are processed in Arrow batches without any shuffle.
-
-NULL and empty texts have no words and are rejected; lines without words count for
-nothing; a line equal to an earlier one of its text is removed.
+that are too short, repeat themselves or lose too many words are rejected. Words of
+every removed line count as lost, whichever rule removed it. All rules work on whole
+texts; texts are processed in Arrow batches without any shuffle.
+
+Boilerplate is known by fixed phrases in English, German, French and Spanish, in any
+case of A-Z. NULL and empty texts have no words and are rejected; lines without words
+count for nothing; a line equal to an earlier one of its text is removed. Rows with
+equal ids, or none, are judged one by one; ids come back as they are.
 """
 
 from __future__ import annotations
@@ -20,7 +23,12 @@ from pyspark.sql import DataFrame, functions as F
 from sentrel.llm import seq
 
 SYMBOLS = b"#*$%&|<>"
-BOILERPLATE = ("all rights reserved", "released under the", "licensed under", "terms of service", "privacy policy", "cookie policy", "click here", "sign up", "subscribe to", "share this")
+BOILERPLATE = (
+    "all rights reserved", "released under the", "licensed under", "terms of service", "privacy policy", "cookie policy", "click here", "sign up", "subscribe to", "share this",
+    "alle rechte vorbehalten", "allgemeine geschäftsbedingungen", "datenschutzerklärung", "hier klicken", "jetzt anmelden", "newsletter abonnieren", "lizenziert unter",
+    "tous droits réservés", "conditions générales", "politique de confidentialité", "cliquez ici", "inscrivez-vous", "abonnez-vous", "sous licence",
+    "todos los derechos reservados", "términos y condiciones", "política de privacidad", "haga clic aquí", "regístrese", "suscríbase", "bajo licencia",
+)
 ENDS = ".!?:;,…"
 _UPPER, _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
 _NAV = re.compile(rb"(?<![^\x20\x09-\x0D])(?:[|>]|\xc2\xbb|\xe2\x80\xa2)(?![^\x20\x09-\x0D])")
@@ -33,7 +41,7 @@ class Rules:
     window: int = 8
     min_words: int = 20
     max_repeat_percent: int = 30
-    max_lost_percent: int = 50  # words in lines removed for anything but boilerplate
+    max_lost_percent: int = 50  # words in removed lines
 
 
 def line_is_junk(line: bytes, words: list[bytes]) -> bool:
@@ -56,8 +64,7 @@ def line_is_boilerplate(line: bytes, words: list[bytes]) -> bool:
 
 
 def _clean(data: bytes) -> tuple[int, int, int, bytes]:
-    """(equal lines, words lost, words kept, text kept). Boilerplate is removed but
-    says nothing against the rest: its words do not count as lost."""
+    """(equal lines, words lost, words kept, text kept)."""
     seen: set[bytes] = set()
     dup = lost = kept = 0
     out = []
@@ -70,9 +77,9 @@ def _clean(data: bytes) -> tuple[int, int, int, bytes]:
             lost += len(words)
             continue
         seen.add(line)
-        if line_is_junk(line, words):
+        if line_is_junk(line, words) or line_is_boilerplate(line, words):
             lost += len(words)
-        elif not line_is_boilerplate(line, words):
+        else:
             out.append(line)
             kept += len(words)
     return dup, lost, kept, b"\n".join(out)

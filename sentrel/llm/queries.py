@@ -59,6 +59,22 @@ def op9_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_lm_score, op3_language_id, op4_mix_sources, op5_importance_resampling, op6_suffix_dedup, op7_quotation_linking, op8_jaccard_join, op9_substring_dedup, op10_quality_rules)}
 
 ORACLES: dict[str, str] = {
+    "op4_mix_sources": r"""
+WITH r AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(concat_ws('|', '13', coalesce(CAST(doc_id AS VARCHAR), '~'), coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT *, list_extract([5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE], CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)) AS w, 2.0::DOUBLE * source_size AS cap FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n_docs FROM r GROUP BY source)),
+v AS (SELECT *, row_number() OVER o AS k, (1.5::DOUBLE * sum(source_size) OVER () - (sum(cap) OVER o - cap)) / (sum(w) OVER () - sum(w) OVER o + w) AS l FROM s WINDOW o AS (ORDER BY cap / w, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+t AS (SELECT source, source_size, n_docs, CASE WHEN level IS NULL THEN cap ELSE least(cap, level * w) END AS target FROM v, (SELECT min_by(l, k) AS level FROM v WHERE cap > l * w)),
+q AS (SELECT source, count(*) AS seats FROM (SELECT source, target / (2 * k + 1) AS x, k FROM (SELECT source, target, unnest(range(CAST(floor((SELECT sum(target) FROM t) / 256) AS BIGINT))) AS k FROM t WHERE target > 0)
+  QUALIFY row_number() OVER (ORDER BY x DESC, source NULLS LAST, k) <= (SELECT floor(sum(target) / 256) FROM t)) GROUP BY source),
+d AS (SELECT r.source, h, any_value(size) * count(*) AS long, count(*) AS same, any_value(CAST('0x' || substr(h, 1, 8) AS BIGINT) % CAST(ceil(n_docs / 4000.0) AS BIGINT)) AS shard FROM r JOIN t ON t.source IS NOT DISTINCT FROM r.source GROUP BY r.source, h),
+c AS (SELECT d.source, shard, CAST(sum(long) AS BIGINT) AS line, any_value(coalesce(q.seats, 0)) AS seats FROM d LEFT JOIN q ON q.source IS NOT DISTINCT FROM d.source GROUP BY d.source, shard),
+p AS (SELECT source, shard, count(*) AS quota FROM (SELECT source, shard, seats, line / (2 * k + 1) AS x, k FROM (SELECT *, unnest(range(seats)) AS k FROM c WHERE line > 0)
+  QUALIFY row_number() OVER (PARTITION BY source ORDER BY x DESC, shard, k) <= seats) GROUP BY source, shard),
+w AS (SELECT c.source, c.shard, line, least(coalesce(quota, 0) * 256, 2 * line) AS words,
+  CASE WHEN line > 0 THEN CAST('0x' || substr(md5(concat_ws('|', '13', coalesce(c.source, '~'), CAST(c.shard AS VARCHAR))), 1, 8) AS BIGINT) % CAST(ceil(line / 256.0) AS BIGINT) * 256 ELSE 0 END AS o FROM c LEFT JOIN p ON p.source IS NOT DISTINCT FROM c.source AND p.shard = c.shard),
+x AS (SELECT d.*, line, CASE WHEN line > 0 THEN words // line ELSE 0 END AS rounds, CASE WHEN line > 0 THEN words % line ELSE 0 END AS part, o, CAST(sum(long) OVER (PARTITION BY d.source, d.shard ORDER BY h ROWS UNBOUNDED PRECEDING) AS BIGINT) - long AS a FROM d JOIN w ON w.source IS NOT DISTINCT FROM d.source AND w.shard = d.shard),
+y AS (SELECT source, h, (rounds * long + greatest(0, least(a + long, least(o + part, line)) - greatest(a, o)) + greatest(0, least(a + long, o + part - line) - greatest(a, 0))) // same AS taken FROM x)
+SELECT r.doc_id, r.size, t.source_size, t.target, CAST(y.taken AS BIGINT) AS taken FROM r JOIN t ON t.source IS NOT DISTINCT FROM r.source JOIN y ON y.source IS NOT DISTINCT FROM r.source AND y.h = r.h""",
     "op6_suffix_dedup": r"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 e AS (SELECT doc_id, CAST(len(h) / 2 AS BIGINT) AS n, o, substr(h, 2 * o + 1, 1200) AS g FROM (SELECT doc_id, h, unnest(range(0, CAST(len(h) / 2 AS BIGINT), 400)) AS o FROM d)),
@@ -83,7 +99,8 @@ k AS (SELECT conv_id, turn, count(*) AS nq, count(*) FILTER (near IS NOT NULL OR
 SELECT m.conv_id, m.turn, m.role, own_text, CAST(max_level AS INT) AS max_level, coalesce(nq, 0) AS n_quotes, coalesce(nl, 0) AS n_linked,
   CASE WHEN near IS NULL AND far IS NOT NULL THEN far[1] WHEN near IS NOT NULL OR e.turn IS NOT NULL THEN m.conv_id END AS reply_conv,
   CAST(CASE WHEN near IS NULL AND far IS NOT NULL THEN far[2] WHEN near IS NOT NULL THEN near WHEN e.turn IS NOT NULL THEN m.turn - 1 END AS BIGINT) AS reply_to,
-  CAST(coalesce(near, m.turn) AS BIGINT) AS anchor
+  CAST(coalesce(near, m.turn) AS BIGINT) AS anchor,
+  row_number() OVER (PARTITION BY m.conv_id ORDER BY coalesce(near, m.turn), m.turn, md5(coalesce(m.role, '~') || '|' || own_text)) AS position
 FROM m LEFT JOIN k ON k.conv_id = m.conv_id AND k.turn = m.turn LEFT JOIN (SELECT DISTINCT conv_id, turn FROM conversations) e ON e.conv_id = m.conv_id AND e.turn = m.turn - 1""",
     "op10_quality_rules": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -96,8 +113,8 @@ j AS (SELECT *, 4 * len(list_filter(w, lambda x: x IN ('|', '>', '»', '•')))
     OR 10 * (strlen(s) - strlen(regexp_replace(s, '[#*$%&|<>]', '', 'g'))) > strlen(s)
     OR (length(regexp_replace(s, '[^A-Za-z]', '', 'g')) >= 20 AND length(regexp_replace(s, '[^A-Z]', '', 'g')) > length(regexp_replace(s, '[^a-z]', '', 'g')))
     OR (n >= 12 AND NOT regexp_matches(s, '[.!?:;,…]')) OR (n >= 10 AND 3 * len(list_distinct(w)) < n) AS junk,
-  n < 40 AND regexp_matches(s, 'all rights reserved|released under the|licensed under|terms of service|privacy policy|cookie policy|click here|sign up|subscribe to|share this', 'i') AS boiler FROM l),
-a AS (SELECT doc_id, count(*) FILTER (dup) AS dups, coalesce(sum(n) FILTER (dup OR junk), 0) AS lost, coalesce(sum(n) FILTER (NOT dup AND NOT junk AND NOT boiler), 0) AS kept FROM j GROUP BY doc_id),
+  n < 40 AND regexp_matches(translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'all rights reserved|released under the|licensed under|terms of service|privacy policy|cookie policy|click here|sign up|subscribe to|share this|alle rechte vorbehalten|allgemeine geschäftsbedingungen|datenschutzerklärung|hier klicken|jetzt anmelden|newsletter abonnieren|lizenziert unter|tous droits réservés|conditions générales|politique de confidentialité|cliquez ici|inscrivez-vous|abonnez-vous|sous licence|todos los derechos reservados|términos y condiciones|política de privacidad|haga clic aquí|regístrese|suscríbase|bajo licencia') AS boiler FROM l),
+a AS (SELECT doc_id, count(*) FILTER (dup) AS dups, coalesce(sum(n) FILTER (dup OR junk OR boiler), 0) AS lost, coalesce(sum(n) FILTER (NOT dup AND NOT junk AND NOT boiler), 0) AS kept FROM j GROUP BY doc_id),
 b AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
   CAST(coalesce(dups, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, coalesce(lost, 0) AS lost, coalesce(kept, 0) AS kw FROM d LEFT JOIN r USING (doc_id) LEFT JOIN a USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,

@@ -7,34 +7,58 @@ before this turn, else the first message of another one. DataFrame functions onl
 
 A message answers the latest earlier message of its conversation that it quotes,
 else the turn before it, if there is one. ``anchor`` is that quoted turn, else the
-message's own turn: (conv_id, anchor, turn) sorts each answer behind what it answers.
-NULL texts have no lines; empty passages link with nothing; equal (conv_id, turn) are
-kept as separate rows and are one message as a target. Very common passages are
-reduced to two targets before the join and the quoting side is salted.
+message's own turn. ``position`` numbers a conversation's messages from 1 in reply
+order, by (anchor, turn, hash of the message): each answer comes behind what it
+answers. It is found in sorted ranges, so no task sees a whole conversation.
+
+Messages are parsed once and written. NULL texts have no lines; empty passages link
+with nothing; equal (conv_id, turn) are separate rows and one message as a target;
+equal rows follow each other. Rows with a NULL conv_id or turn answer nothing; a NULL
+turn has no anchor and comes first. Very common passages are reduced to two targets
+before the join, the quoting side is salted, and of the turns that hold a passage only
+those next before a quoting turn are kept.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from sentrel.llm import graph
+
 MARK = r"^((?:[ \t]*>)+)[ \t]?"
 SALTS = 16
+#: Turns that are looked through at a time.
+BLOCK = 1024
+#: Messages of one row of an assembled conversation.
+PART = 500
+
+
+def _hash(normalised: Column) -> Column:
+    return F.when(normalised != "", F.md5(normalised))
 
 
 def normalised(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
 
 
-def _hash(c: Column) -> Column:
-    n = normalised(c)
-    return F.when(n != "", F.md5(n))
+def normal_lines(text: Column) -> Column:
+    """The normalised lines of a text, empty ones too, in one pass over it."""
+    return F.transform(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\n]+", " "), "\n"), lambda x: F.trim(x))
 
 
 def parse(messages: DataFrame) -> DataFrame:
-    """Adds ``_lines``: array of (level, content)."""
+    """Adds own_text, max_level and ``_quoted``: array of (pos, level, content). Lines
+    are only looked at in texts that hold a ">"."""
     prefix = lambda x: F.regexp_extract(x, MARK, 0)
-    line = lambda x: F.struct(F.length(F.regexp_replace(prefix(x), "[^>]", "")).alias("level"), F.substr(x, F.length(prefix(x)) + 1).alias("content"))
-    return messages.withColumn("_lines", F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), line))
+    line = lambda x, i: F.struct(i.alias("pos"), F.length(F.regexp_replace(prefix(x), "[^>]", "")).alias("level"), F.substr(x, F.length(prefix(x)) + 1).alias("content"))
+    text = F.coalesce("text", F.lit(""))
+    lines = messages.withColumn("_lines", F.when(text.contains(">"), F.transform(F.split(text, "\n"), line)))
+    own = F.array_join(F.transform(F.filter("_lines", lambda x: x["level"] == 0), lambda x: x["content"]), "\n")
+    return lines.withColumns({
+        "own_text": F.when(F.col("_lines").isNull(), text).otherwise(own),
+        "max_level": F.when(F.col("_lines").isNull(), F.lit(0)).otherwise(F.array_max(F.transform("_lines", lambda x: x["level"]))),
+        "_quoted": F.filter("_lines", lambda x: x["level"] > 0),
+    }).drop("_lines")
 
 
 def _runs(lines: Column, lengths: Column) -> Column:
@@ -45,43 +69,76 @@ def _runs(lines: Column, lengths: Column) -> Column:
 
 def link_quotes(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, own_text, max_level, n_quotes, n_linked, reply_conv,
-    reply_to, anchor: one row per message."""
-    own = F.array_join(F.transform(F.filter("_lines", lambda x: x["level"] == 0), lambda x: x["content"]), "\n")
-
-    def parsed(x: DataFrame) -> DataFrame:
-        return parse(x).select("conv_id", "turn", "role", "_lines", own.alias("own_text"), F.array_max(F.transform("_lines", lambda x: x["level"])).alias("max_level"))
-
-    messages = messages.select("conv_id", "turn", "role", "text")
-    m = parsed(messages)
-    quoting = parsed(messages.filter(F.col("text").contains(">"))).filter("max_level > 0").withColumn("_m", F.xxhash64("conv_id", "turn", "role", "own_text", F.to_json("_lines")))
-    lines = quoting.select("conv_id", "turn", "_m", F.posexplode("_lines").alias("pos", "x")).select("conv_id", "turn", "_m", "pos", F.col("x.level").alias("level"), F.col("x.content").alias("content")).filter("level > 0")
+    reply_to, anchor, position: one row per message."""
+    m = graph.written(parse(messages.select("conv_id", "turn", "role", "text")).drop("text"))
+    quoting = m.filter(F.size("_quoted") > 0).withColumn("_m", F.xxhash64("conv_id", "turn", "role", "own_text", F.to_json("_quoted")))
+    lines = quoting.select("conv_id", "turn", "_m", F.explode("_quoted").alias("x")).select("conv_id", "turn", "_m", "x.*")
     run = F.col("pos") - F.row_number().over(W.partitionBy("conv_id", "turn", "_m", "level").orderBy("pos"))
     passages = lines.withColumn("run", run).groupBy("conv_id", "turn", "_m", "level", "run").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "content"))), lambda x: x["content"]), "\n").alias("p"), F.count_if(normalised(F.col("content")) != "").cast("int").alias("k"))
-    quotes = passages.select("conv_id", "turn", "level", _hash(F.col("p")).alias("h")).filter("h IS NOT NULL").distinct()
-    # targets: each own line, run of own lines and whole own text that is quoted somewhere
-    lengths = passages.filter("k > 1").agg(F.collect_set("k").alias("_ks"))
-    spoken = F.filter(F.transform(F.split("own_text", "\n"), normalised), lambda x: x != "")
-    runs = F.when(F.size("_ks") > 0, _runs(spoken, F.col("_ks"))).otherwise(F.array().cast("array<string>"))
-    parts = F.array_distinct(F.concat(F.array_append(F.split("own_text", "\n"), F.col("own_text")), runs))
-    targets = m.crossJoin(F.broadcast(lengths)).select(F.col("conv_id").alias("o_conv"), F.col("turn").alias("o_turn"), F.explode(parts).alias("p")).select("o_conv", "o_turn", _hash(F.col("p")).alias("h")).filter("h IS NOT NULL")
-    targets = targets.join(quotes.select("h").distinct(), "h", "left_semi")
-    here = targets.groupBy("h", "o_conv").agg(F.array_sort(F.collect_set("o_turn")).alias("o_turns"))
-    # the second is for those who quote within the first one's conversation
-    least = here.withColumn("_r", F.row_number().over(W.partitionBy("h").orderBy("o_conv"))).filter("_r <= 2")
-    first = least.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("o_conv", F.col("o_turns")[0].alias("o_turn")))).alias("os"))
-    salted = first.select("h", "os", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    q = quotes.withColumn("salt", F.pmod(F.xxhash64("conv_id", "turn"), F.lit(SALTS)).cast("int"))
-    q = q.join(salted, ["h", "salt"], "left").join(here.withColumnRenamed("o_conv", "conv_id"), ["h", "conv_id"], "left")
-    near = F.array_max(F.filter("o_turns", lambda t: t < F.col("turn")))
-    far = F.get(F.filter("os", lambda o: o["o_conv"] != F.col("conv_id")), F.lit(0))
-    q = q.select("conv_id", "turn", near.alias("near"), F.when(near.isNull(), far).alias("far"))
-    linked = q.groupBy("conv_id", "turn").agg(F.count("*").alias("n_quotes"), F.count_if(F.col("near").isNotNull() | F.col("far").isNotNull()).alias("n_linked"), F.max("near").alias("near"), F.min("far").alias("far"))
-    earlier = m.select("conv_id", (F.col("turn") + 1).alias("turn"), F.lit(True).alias("_has")).distinct()
-    out = m.join(linked, ["conv_id", "turn"], "left").join(earlier, ["conv_id", "turn"], "left")
+    passages = graph.written(passages.select("conv_id", "turn", "level", _hash(normalised(F.col("p"))).alias("h"), "k"))
+    quotes = passages.filter("h IS NOT NULL").select("conv_id", "turn", "level", "h").distinct()
+    lengths = sorted(r["k"] for r in passages.filter("k > 1").select("k").distinct().collect())
+    linked = _linked(m, quotes, lengths)
+    earlier = m.filter("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", (F.col("turn") + 1).alias("turn"), F.lit(True).alias("_has")).distinct()
+    keys = m.select("conv_id", "turn", "role", "own_text", F.coalesce("max_level", F.lit(0)).alias("max_level"))
+    out = keys.join(linked, ["conv_id", "turn"], "left").join(earlier, ["conv_id", "turn"], "left")
     foreign = F.col("near").isNull() & F.col("far").isNotNull()
-    return out.select(
+    out = out.select(
         "conv_id", "turn", "role", "own_text", "max_level", F.coalesce("n_quotes", F.lit(0)).cast("bigint").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("bigint").alias("n_linked"),
         F.when(foreign, F.col("far.o_conv")).when(F.col("near").isNotNull() | F.col("_has"), F.col("conv_id")).alias("reply_conv"),
         F.when(foreign, F.col("far.o_turn")).when(F.col("near").isNotNull(), F.col("near")).when(F.col("_has"), F.col("turn") - 1).cast("bigint").alias("reply_to"),
         F.coalesce("near", "turn").cast("bigint").alias("anchor"),
     )
+    return _positions(out)
+
+
+def _linked(m: DataFrame, quotes: DataFrame, lengths: list[int]) -> DataFrame:
+    """conv_id, turn, n_quotes, n_linked, near, far of the messages that quote.
+    ``lengths``: how many lines quoted passages have, where more than one."""
+    spoken = normal_lines(F.col("own_text"))
+    said = F.filter(spoken, lambda x: x != "")
+    parts = F.array_append(spoken, F.array_join(said, " "))
+    if lengths:
+        parts = F.concat(parts, _runs(said, F.array(*[F.lit(int(k)) for k in lengths])))
+    targets = m.select(F.col("conv_id").alias("o_conv"), F.col("turn").alias("o_turn"), F.explode(F.array_distinct(parts)).alias("p")).filter("p <> '' AND o_conv IS NOT NULL AND o_turn IS NOT NULL").select("o_conv", "o_turn", F.md5("p").alias("h"))
+    targets = graph.written(targets.join(quotes.select("h").distinct(), "h", "left_semi").distinct())
+    # the second is for those who quote within the first one's conversation
+    first = targets.groupBy("h", "o_conv").agg(F.min("o_turn").alias("o_turn"))
+    two = first.withColumn("_r", F.row_number().over(W.partitionBy("h").orderBy("o_conv"))).filter("_r <= 2")
+    os = two.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("o_conv", "o_turn"))).alias("os"))
+    salted = os.select("h", "os", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    q = quotes.withColumn("salt", F.pmod(F.xxhash64("conv_id", "turn"), F.lit(SALTS)).cast("int")).join(salted, ["h", "salt"], "left")
+    # the latest turn before each quoting turn that holds the passage: in order of turn,
+    # quoting rows before targets of the same turn
+    both = q.select("conv_id", "h", "turn", F.lit(None).cast("bigint").alias("held"), "level", "os").unionByName(targets.select(F.col("o_conv").alias("conv_id"), "h", F.col("o_turn").alias("turn"), F.col("o_turn").cast("bigint").alias("held")), allowMissingColumns=True)
+    both = both.withColumn("_b", F.floor(F.col("turn") / BLOCK))
+    inside = W.partitionBy("conv_id", "h", "_b").orderBy("turn", F.col("held").asc_nulls_first()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    # one row a block: what the blocks before hold
+    blocks = both.groupBy("conv_id", "h", "_b").agg(F.max("held").alias("_held"))
+    blocks = blocks.withColumn("_earlier", F.max("_held").over(W.partitionBy("conv_id", "h").orderBy("_b").rowsBetween(W.unboundedPreceding, -1))).filter("_earlier IS NOT NULL").select("conv_id", "h", "_b", "_earlier")
+    both = both.withColumn("_near", F.last("held", ignorenulls=True).over(inside)).join(blocks, ["conv_id", "h", "_b"], "left")
+    near = F.coalesce("_near", "_earlier")
+    q = both.withColumn("near", near).filter("level IS NOT NULL").select("conv_id", "turn", "near", F.get(F.filter("os", lambda o: F.col("conv_id").isNull() | (o["o_conv"] != F.col("conv_id"))), F.lit(0)).alias("far"))
+    q = q.withColumn("far", F.when(F.col("near").isNull(), F.col("far")))
+    return q.groupBy("conv_id", "turn").agg(F.count("*").alias("n_quotes"), F.count_if(F.col("near").isNotNull() | F.col("far").isNotNull()).alias("n_linked"), F.max("near").alias("near"), F.min("far").alias("far"))
+
+
+def _positions(out: DataFrame) -> DataFrame:
+    """Adds ``position``: the rank among all messages, less the rank of the first of
+    the conversation; a conversation may span any number of ranges."""
+    order = [F.col("conv_id").asc_nulls_first(), F.col("anchor").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("_h").asc()]
+    n = graph.numbered(out.withColumn("_h", F.md5(F.concat_ws("|", F.coalesce("role", F.lit("~")), "own_text"))), order)
+    first = n.groupBy("conv_id").agg(F.min("rank").alias("_first"))
+    # a conversation may hold a third of all messages: both sides are salted
+    salted = first.select(F.col("conv_id").alias("_c"), "_first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_s"))
+    j = n.join(salted, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.pmod("rank", F.lit(SALTS)).cast("int") == F.col("_s")))
+    return j.withColumn("position", F.col("rank") - F.col("_first") + 1).drop("_c", "_s", "_first", "rank", "_h")
+
+
+def conversations(messages: DataFrame, part: int = PART) -> DataFrame:
+    """conv_id, part, messages: each conversation in reply order without quotations,
+    as arrays of (position, turn, role, text, reply_conv, reply_to); ``part`` messages
+    of a long one make a row, numbered from 0. Messages without own text are left out."""
+    m = link_quotes(messages).withColumn("part", F.floor((F.col("position") - 1) / part))
+    item = F.struct("position", "turn", "role", F.col("own_text").alias("text"), "reply_conv", "reply_to")
+    return m.groupBy("conv_id", "part").agg(F.filter(F.array_sort(F.collect_list(item)), lambda x: F.trim(x["text"]) != "").alias("messages"))

@@ -162,6 +162,10 @@ def test_rules_edges(spark):
     got = {r.doc_id: r for r in quality_rules.apply_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [d for d in got if got[d].kept] == [3, 6]
     assert got[4].n_dup_lines == 3 and got[5].n_repeat_words == 25 and "rights" not in got[6].cleaned
+    foot = "Click here to sign up for more.\n"
+    lost = spark.createDataFrame([(1, "".join(f"{i} {foot}" for i in range(100)) + "These four words stay."), (2, "Jetzt ANMELDEN, alle Rechte vorbehalten!\n" + "\n".join(f"Ein a{i} Satz b{i} mit c{i} Wörtern d{i}." for i in range(9)))], "doc_id long, text string")
+    lost = {r.doc_id: r for r in quality_rules.apply_rules(lost).collect()}
+    assert not lost[1].kept and lost[1].n_lost_words == 800 and lost[1].n_kept_words == 4 and lost[2].kept and "Rechte" not in lost[2].cleaned
     wide = spark.createDataFrame([(1, "a", 2, "y")], "doc_id long, text string, kept int, cleaned string")
     assert quality_rules.apply_rules(wide, carry=True).first()["_x"]["cleaned"] == "y"
 
@@ -186,3 +190,25 @@ def test_quotation(spark):
     assert (got[1, 3].n_linked, got[1, 3].reply_to) == (0, 2)  # not consecutive ones
     assert (got[2, 0].n_linked, got[2, 0].reply_conv, got[2, 0].reply_to) == (1, 3, 4)  # first own occurrence is this message
     assert quotation.link_quotes(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_conversations_in_reply_order(spark):
+    rows = [(1, t, "user", f"line {t} of it") for t in range(6)] + [(1, 6, "bot", "> line 1 of it\nanswer to one"), (1, 7, "bot", "> answer to one\ndeep"), (1, 7, "bot", "twin"), (1, 8, "bot", "> line 5 of it"), (None, 1, "user", "no conversation"), (2, None, "user", "> line 3 of it\nno turn"), (2, 4, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = quotation.link_quotes(df).collect()
+    one = sorted((r for r in got if r.conv_id == 1), key=lambda r: r.position)
+    assert [r.position for r in one] == list(range(1, 11)) and len(got) == len(rows)
+    assert [r.turn for r in one] == [0, 1, 6, 2, 3, 4, 5, 8, 7, 7]
+    whole = {(r.conv_id, r.part): r.messages for r in quotation.conversations(df, part=4).collect()}
+    assert [len(whole[1, p]) for p in (0, 1, 2)] == [4, 3, 2] and whole[1, 0][2].text == "answer to one" and whole[1, 0][2].reply_to == 1
+    assert whole[2, 0][0].reply_conv is None and whole[None, 0][0].text == "no conversation"
+
+
+def test_hot_conversation_and_line(spark, monkeypatch):
+    """Each quoting turn finds the latest turn before it, whatever the number of turns."""
+    monkeypatch.setattr(quotation, "BLOCK", 7)
+    rows = [(1, t, "user", "> same line\nsame line" if t % 3 == 0 else "other\nsame line" if t % 3 == 1 else f"x{t}") for t in range(300)]
+    got = {r.turn: r for r in quotation.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    for t in range(3, 300, 3):
+        assert got[t].reply_to == t - 2 and got[t].n_linked == 1
+    assert got[0].n_linked == 0
