@@ -2,11 +2,12 @@
 
 Suffixes are dealt to buckets by the anchor of repeats.py and one bucket is settled
 at a time, so memory is bounded by a bucket. Classes whose runs are all equal are
-settled by their totals. The suffixes of the others are sorted: the positions of a
+settled by their totals, hot classes by hashes of their windows. The suffixes of the
+others are sorted: the positions of a
 difference cover modulo PERIOD are ranked first, by doubling; then suffixes are taken
 one block of equal leading bytes at a time, and ties longer than the leading bytes
 are resolved by the ranks of the cover positions that two suffixes reach at the same
-distance. Bytes decide there, no hashes.
+distance. Bytes decide there.
 
 Empty and NULL texts give no bytes; a text under ``size`` bytes loses nothing; a
 text that occurs twice loses all of its ``size``-byte windows in both rows.
@@ -27,7 +28,8 @@ COVER = np.array([0, 1, 3, 9])
 SLOT = np.array([{0: 0, 1: 1, 3: 2, 9: 3}.get(i, -1) for i in range(PERIOD)])
 #: Windows sorted at a time; more only where more have the same first eight bytes.
 BLOCK = 1 << 18
-RANK_BITS = 28
+#: A bucket may have 2^32 cover positions and 2^31 ties, more than memory holds.
+RANK_BITS = 32
 
 
 def _symbols(buf: np.ndarray, offs: np.ndarray):

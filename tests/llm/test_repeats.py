@@ -3,6 +3,8 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 from sentrel.llm import automaton_dedup, repeats, suffix_dedup
 
@@ -58,16 +60,20 @@ def brute_words(rows, size):
     return sorted(out)
 
 
-@pytest.mark.parametrize("seed,chunk", [(1, 1 << 20), (2, 12_000), (3, 4000)])
-def test_bytes(spark, monkeypatch, seed, chunk):
+@pytest.mark.parametrize("seed,chunk,hot", [(1, 1 << 20, 4096), (2, 12_000, 4096), (3, 4000, 4096), (4, 12_000, 5), (5, 1 << 20, 0)])
+def test_bytes(spark, monkeypatch, seed, chunk, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "MANY", min(16, hot + 1))
     monkeypatch.setattr("sentrel.llm.repeats.CHUNK_BYTES", chunk)
     rows = corpus(seed)
     got = suffix_dedup.dedup_substrings(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted((r.doc_id, r.n_symbols, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in got) == brute_bytes(rows, 200)
 
 
-@pytest.mark.parametrize("seed,chunk", [(1, 1 << 20), (2, 12_000), (3, 4000)])
-def test_words(spark, monkeypatch, seed, chunk):
+@pytest.mark.parametrize("seed,chunk,hot", [(1, 1 << 20, 4096), (2, 12_000, 4096), (3, 4000, 4096), (4, 12_000, 5), (5, 1 << 20, 0)])
+def test_words(spark, monkeypatch, seed, chunk, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "MANY", min(16, hot + 1))
     monkeypatch.setattr("sentrel.llm.repeats.CHUNK_BYTES", chunk)
     rows = corpus(seed)
     got = automaton_dedup.dedup_passages(spark.createDataFrame(rows, SCHEMA)).collect()
@@ -97,3 +103,30 @@ def test_cover_sort(monkeypatch, size):
         pos = repeats._ranges(at, at + n)
         count = Counter(raw[p : p + size].tobytes() for p in pos)
         assert suffix_dedup.repeated_windows(raw, pos, size).tolist() == [count[raw[p : p + size].tobytes()] > 1 for p in pos]
+
+
+def test_edges_of_a_common_passage_spread():
+    """Many texts around one passage: no bucket gets much more than the others."""
+    rng = np.random.default_rng(7)
+    rule, buckets = automaton_dedup.rule(), 8
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [" ".join([*(f"w{x}" for x in rng.integers(0, 10**9, 60)), passage, *(f"w{x}" for x in rng.integers(0, 10**9, 60))]) for _ in range(10_000)]
+    chunks = [pa.table({"_id": pa.array(range(i, i + 500), pa.int64()), "_text": pa.array(texts[i : i + 500])}) for i in range(0, 10_000, 500)]
+    heads = pa.concat_tables([repeats._heads(rule, buckets)((pa.scalar(i),), t) for i, t in enumerate(chunks)])
+    by = lambda t, c, k: t.filter(pa.compute.equal(t.column(c), k))
+    seen = pa.concat_tables([repeats._classes(rule)(by(heads, "bucket", b)) for b in range(buckets)])
+    opened = pa.concat_tables([repeats._open(rule, buckets)((pa.scalar(i),), t, by(seen, "chunk", i)) for i, t in enumerate(chunks)])
+    assert 3 in seen.column("kind").to_pylist()
+    for sent in (heads, opened):
+        size = [sum(len(x.as_buffer()) for c in ("a", "r", "raw") for x in by(sent, "bucket", b).column(c) if x.is_valid) for b in range(buckets)]
+        assert max(size) < 2 * sorted(size)[buckets // 2], size
+
+
+def test_pieces_of_long_texts_have_the_same_anchors(monkeypatch):
+    rng = np.random.default_rng(2)
+    values, offs = rng.integers(0, 2**63, 3000, dtype=np.uint64), np.array([0, 5, 1700, 1700, 3000])
+    whole = repeats.runs_of(values, offs, 13, 5)
+    anchor = lambda r: {int(p): int(a) for s, e, a in zip(r.s, r.e, r.a) for p in range(s, e)}
+    monkeypatch.setattr(repeats, "POS_BITS", 9)
+    part = repeats.runs_of(values, offs, 13, 5)
+    assert anchor(part) == anchor(whole) and len(part.s) > len(whole.s)
