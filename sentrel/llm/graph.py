@@ -24,8 +24,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` computed once, its lineage cut, in the shared folder."""
+    """``df`` computed once, its lineage cut, in the shared folder. Spark removes the
+    shuffle files of earlier steps when the driver's collector finds their plans
+    unused, so it is called here rather than whenever the driver's memory is full."""
     ensure_checkpoint_dir(df.sparkSession)
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.checkpoint(eager=True)
 
 
