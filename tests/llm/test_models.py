@@ -91,7 +91,7 @@ def test_gradients_by_difference():
 
     def loss():
         model.prepare()
-        return -model.log_probs(args[0], valid, args[2])[args[3]].mean()
+        return -model.log_probs(model.hidden(args[0], valid)[-1], args[2].ravel())[args[3].ravel()].mean()
 
     got, g = at.gradients(model, *args)
     assert abs(got - loss()) < 1e-4
