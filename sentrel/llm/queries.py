@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sentrel.llm import automaton_dedup, decontaminate, importance, jaccard_join, language_id, lm_score, mixing, quality_rules, quotation, suffix_dedup
+from sentrel.llm import automaton_dedup, decontaminate, importance, jaccard_join, language_id, lm_score, mixing, point_in_time, quality_rules, quotation, suffix_dedup
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -56,9 +56,42 @@ def op9_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", F.col("n_symbols").alias("n_words"), "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_lm_score, op3_language_id, op4_mix_sources, op5_importance_resampling, op6_suffix_dedup, op7_quotation_linking, op8_jaccard_join, op9_substring_dedup, op10_quality_rules)}
+def op12_point_in_time(spark: SparkSession, d: str) -> DataFrame:
+    return point_in_time.features(*(spark.read.parquet(f"{d}/{t}.parquet") for t in ("sales", "sale_lines", "clicks")))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_lm_score, op3_language_id, op4_mix_sources, op5_importance_resampling, op6_suffix_dedup, op7_quotation_linking, op8_jaccard_join, op9_substring_dedup, op10_quality_rules, op12_point_in_time)}
+
+#: CRC-32 in SQL: the table of the reflected polynomial, and the sum of an ASCII text.
+CRC_TABLE = "(SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, CAST(n AS BIGINT)) ORDER BY n) AS crc_of FROM range(256) r(n))"
+
+
+def crc32_sql(text: str) -> str:
+    codes = f"list_transform(string_split({text}, ''), lambda x: CAST(ascii(x) AS BIGINT))"
+    return f"xor(list_reduce({codes}, lambda c, b: xor(c >> 8, crc_of[CAST(1 + (xor(c, b) & 255) AS INT)]), CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
+def _cents(x: str) -> str:
+    return f"coalesce(CAST(floor(100 * {x} + 0.5::DOUBLE) AS BIGINT), 0)"
+
+
+POINT_IN_TIME = f"""
+WITH s AS (SELECT sale_id, client_id, sold_at, arrived_at + INTERVAL 240 MINUTE AS seen, {_cents("total")} AS cents, sold_at + to_seconds(CAST({crc32_sql("CAST(sale_id AS VARCHAR)")} % 259200 AS BIGINT)) AS t
+    FROM sales, {CRC_TABLE} AS crc WHERE client_id IS NOT NULL AND sold_at IS NOT NULL),
+c AS (SELECT client_id, ts, click_id, kind, arrived_at + INTERVAL 240 MINUTE AS seen, {_cents("value")} AS cents FROM (SELECT DISTINCT * FROM clicks)),
+p AS (SELECT sale_id, client_id, t, d, t - to_days(d) AS since FROM s, (SELECT unnest([2, 14])::INT AS d)),
+pc AS (SELECT p.sale_id, p.d, count(*) AS n_clicks, count(*) FILTER (c.kind = 'purchase') AS n_purchases, CAST(sum(c.cents) AS BIGINT) AS click_cents,
+    arg_max(c.click_id, (c.ts, c.click_id)) AS last_click_id FROM p JOIN c ON c.client_id = p.client_id AND c.ts > p.since AND c.ts <= p.t AND c.seen <= p.t GROUP BY ALL),
+ps AS (SELECT p.sale_id, p.d, p.t, s.sale_id AS other, s.cents FROM p JOIN s ON s.client_id = p.client_id AND s.sold_at > p.since AND s.sold_at <= p.t AND s.seen <= p.t),
+pn AS (SELECT sale_id, d, count(*) AS n_sales, CAST(sum(cents) AS BIGINT) AS sale_cents FROM ps GROUP BY ALL),
+pl AS (SELECT ps.sale_id, ps.d, count(*) AS n_lines, count(DISTINCT l.item_id) AS n_items, CAST(sum({_cents("l.amount")}) AS BIGINT) AS line_cents FROM ps JOIN sale_lines l ON l.sale_id = ps.other AND l.shipped_at <= ps.t GROUP BY ALL),
+later AS (SELECT DISTINCT a.sale_id FROM s a JOIN s b ON b.client_id = a.client_id AND b.sold_at > a.t AND b.sold_at <= a.t + INTERVAL 7 DAY)
+SELECT p.sale_id, p.d, epoch_us(p.t) AS t_us, later.sale_id IS NOT NULL AS label, coalesce(n_clicks, 0) AS n_clicks, coalesce(n_purchases, 0) AS n_purchases, coalesce(click_cents, 0) AS click_cents, last_click_id,
+    coalesce(n_sales, 0) AS n_sales, coalesce(sale_cents, 0) AS sale_cents, coalesce(n_lines, 0) AS n_lines, coalesce(n_items, 0) AS n_items, coalesce(line_cents, 0) AS line_cents
+FROM p LEFT JOIN pc USING (sale_id, d) LEFT JOIN pn USING (sale_id, d) LEFT JOIN pl USING (sale_id, d) LEFT JOIN later USING (sale_id)"""
 
 ORACLES: dict[str, str] = {
+    "op12_point_in_time": POINT_IN_TIME,
     "op4_mix_sources": r"""
 WITH r AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(concat_ws('|', '13', coalesce(CAST(doc_id AS VARCHAR), '~'), coalesce(text, ''))) AS h FROM documents),
 s AS (SELECT *, list_extract([5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE], CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)) AS w, 2.0::DOUBLE * source_size AS cap FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n_docs FROM r GROUP BY source)),
