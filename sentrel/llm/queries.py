@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sentrel.llm import automaton_dedup, decontaminate, importance, jaccard_join, language_id, lm_score, mixing, point_in_time, quality_rules, quotation, suffix_dedup
+from sentrel.llm import automaton_dedup, decontaminate, importance, jaccard_join, language_id, lm_score, mixing, point_in_time, quality_rules, quotation, repair, suffix_dedup
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -60,7 +60,11 @@ def op12_point_in_time(spark: SparkSession, d: str) -> DataFrame:
     return point_in_time.features(*(spark.read.parquet(f"{d}/{t}.parquet") for t in ("sales", "sale_lines", "clicks")))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_lm_score, op3_language_id, op4_mix_sources, op5_importance_resampling, op6_suffix_dedup, op7_quotation_linking, op8_jaccard_join, op9_substring_dedup, op10_quality_rules, op12_point_in_time)}
+def op13_repair(spark: SparkSession, d: str) -> DataFrame:
+    return repair.audit(spark.read.parquet(f"{d}/conversations.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_lm_score, op3_language_id, op4_mix_sources, op5_importance_resampling, op6_suffix_dedup, op7_quotation_linking, op8_jaccard_join, op9_substring_dedup, op10_quality_rules, op12_point_in_time, op13_repair)}
 
 #: CRC-32 in SQL: the table of the reflected polynomial, and the sum of an ASCII text.
 CRC_TABLE = "(SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, CAST(n AS BIGINT)) ORDER BY n) AS crc_of FROM range(256) r(n))"
@@ -90,7 +94,36 @@ SELECT p.sale_id, p.d, epoch_us(p.t) AS t_us, later.sale_id IS NOT NULL AS label
     coalesce(n_sales, 0) AS n_sales, coalesce(sale_cents, 0) AS sale_cents, coalesce(n_lines, 0) AS n_lines, coalesce(n_items, 0) AS n_items, coalesce(line_cents, 0) AS line_cents
 FROM p LEFT JOIN pc USING (sale_id, d) LEFT JOIN pn USING (sale_id, d) LEFT JOIN pl USING (sale_id, d) LEFT JOIN later USING (sale_id)"""
 
+#: Shortest edits row by row: of every state the cheapest audit, then the least one.
+REPAIR = rf"""
+WITH RECURSIVE d AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {crc32_sql("(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS k FROM conversations, {CRC_TABLE} AS crc),
+r AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS c FROM d WHERE k <> 0),
+o AS (SELECT conv_id, turn, role, text, left(role, 1) AS ini, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, c) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, c) > 1 AS again, regexp_replace(text, '[ 	-]+$', '') AS kept FROM r),
+g AS (SELECT *, CASE WHEN kept = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN right(kept, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(ini) OVER (PARTITION BY conv_id ORDER BY i) || ini AS pair FROM o),
+stats AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY conv_id),
+ins(q, q2, c, e, w) AS (VALUES (0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''), (3, 3, 0, '', ''), (0, 2, 2, 'I', 'user:' || chr(10)), (1, 2, 2, 'I', 'user:' || chr(10)), (3, 2, 2, 'I', 'user:' || chr(10)),
+    (2, 3, 2, 'I', 'assistant:' || chr(10)), (0, 3, 4, 'II', 'user:' || chr(10) || 'assistant:' || chr(10)), (1, 3, 4, 'II', 'user:' || chr(10) || 'assistant:' || chr(10))),
+act(q, e, ini, q2, c) AS (VALUES (0, 'D', NULL, 0, 3), (1, 'D', NULL, 1, 3), (2, 'D', NULL, 2, 3), (3, 'D', NULL, 3, 3), (0, 'K', 's', 1, 0), (0, 'K', 'u', 2, 0), (1, 'K', 'u', 2, 0), (3, 'K', 'u', 2, 0), (2, 'K', 'a', 3, 0),
+    (0, 'R', NULL, 2, 2), (1, 'R', NULL, 2, 2), (3, 'R', NULL, 2, 2), (2, 'R', NULL, 3, 2)),
+dp AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, 0 AS q, {{'cost': CAST(0 AS BIGINT), 'audit': '', 'body': ''}} AS best FROM stats
+    UNION ALL
+    SELECT conv_id, i, q, min(best) AS best FROM (
+        SELECT dp.conv_id, g.i AS i, act.q2 AS q, {{'cost': dp.best.cost + ins.c + act.c + CASE WHEN act.e <> 'D' AND g.fault = 'truncated' THEN 1 ELSE 0 END, 'audit': dp.best.audit || ins.e || act.e,
+            'body': dp.best.body || ins.w || CASE act.e WHEN 'D' THEN '' WHEN 'K' THEN g.role || ':' || g.text || chr(10) ELSE CASE act.q2 WHEN 2 THEN 'user' ELSE 'assistant' END || ':' || g.text || chr(10) END}} AS best
+        FROM dp JOIN g ON g.conv_id IS NOT DISTINCT FROM dp.conv_id AND g.i = dp.i + 1 JOIN ins ON ins.q = dp.q JOIN act ON act.q = ins.q2
+        WHERE (act.e = 'D' OR g.fault NOT IN ('blank', 'duplicate')) AND (act.e <> 'K' OR act.ini = g.ini)) GROUP BY conv_id, i, q),
+done AS (SELECT dp.conv_id, min({{'cost': best.cost + ins.c, 'audit': best.audit || ins.e, 'body': best.body || ins.w}}) AS best FROM dp JOIN stats s ON s.conv_id IS NOT DISTINCT FROM dp.conv_id AND dp.i = s.n JOIN ins ON ins.q = dp.q WHERE ins.q2 IN (0, 3) GROUP BY dp.conv_id)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0) AS cost,
+    coalesce(best.audit, '') AS audit, sha256(coalesce(left(best.body, length(best.body) - 1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN stats s ON s.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN done ON done.conv_id IS NOT DISTINCT FROM a.conv_id"""
+
 ORACLES: dict[str, str] = {
+    "op13_repair": REPAIR,
     "op12_point_in_time": POINT_IN_TIME,
     "op4_mix_sources": r"""
 WITH r AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(concat_ws('|', '13', coalesce(CAST(doc_id AS VARCHAR), '~'), coalesce(text, ''))) AS h FROM documents),
