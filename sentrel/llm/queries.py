@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sentrel.llm import automaton_dedup, decontaminate, importance, jaccard_join, language_id, lm_score, mixing, point_in_time, quality_rules, quotation, repair, suffix_dedup
+from sentrel.llm import automaton_dedup, decontaminate, importance, jaccard_join, language_id, licenses, lm_score, mixing, point_in_time, quality_rules, quotation, repair, suffix_dedup
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -56,6 +56,10 @@ def op9_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", F.col("n_symbols").alias("n_words"), "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_license_scan(spark: SparkSession, d: str) -> DataFrame:
+    return licenses.scan_licenses(_documents(spark, d).select("doc_id", "text"))
+
+
 def op12_point_in_time(spark: SparkSession, d: str) -> DataFrame:
     return point_in_time.features(*(spark.read.parquet(f"{d}/{t}.parquet") for t in ("sales", "sale_lines", "clicks")))
 
@@ -64,7 +68,7 @@ def op13_repair(spark: SparkSession, d: str) -> DataFrame:
     return repair.audit(spark.read.parquet(f"{d}/conversations.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_lm_score, op3_language_id, op4_mix_sources, op5_importance_resampling, op6_suffix_dedup, op7_quotation_linking, op8_jaccard_join, op9_substring_dedup, op10_quality_rules, op12_point_in_time, op13_repair)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_lm_score, op3_language_id, op4_mix_sources, op5_importance_resampling, op6_suffix_dedup, op7_quotation_linking, op8_jaccard_join, op9_substring_dedup, op10_quality_rules, op11_license_scan, op12_point_in_time, op13_repair)}
 
 #: CRC-32 in SQL: the table of the reflected polynomial, and the sum of an ASCII text.
 CRC_TABLE = "(SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, CAST(n AS BIGINT)) ORDER BY n) AS crc_of FROM range(256) r(n))"
@@ -101,7 +105,8 @@ WITH RECURSIVE d AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce
 r AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
     unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS c FROM d WHERE k <> 0),
 o AS (SELECT conv_id, turn, role, text, left(role, 1) AS ini, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, c) AS i,
-    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, c) > 1 AS again, regexp_replace(text, '[ 	-]+$', '') AS kept FROM r),
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, c) > 1 AS again, regexp_replace(text, '[ 	-
+]+$', '') AS kept FROM r),
 g AS (SELECT *, CASE WHEN kept = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN right(kept, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
     lag(ini) OVER (PARTITION BY conv_id ORDER BY i) || ini AS pair FROM o),
 stats AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
@@ -123,6 +128,7 @@ SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
 FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN stats s ON s.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN done ON done.conv_id IS NOT DISTINCT FROM a.conv_id"""
 
 ORACLES: dict[str, str] = {
+    "op11_license_scan": licenses.sql(),
     "op13_repair": REPAIR,
     "op12_point_in_time": POINT_IN_TIME,
     "op4_mix_sources": r"""
