@@ -6,7 +6,7 @@ every removed line count as lost, whichever rule removed it. All rules work on w
 texts; texts are processed in Arrow batches without any shuffle.
 
 Boilerplate is known by fixed phrases in English, German, French and Spanish, in any
-case of A-Z. NULL and empty texts have no words and are rejected; lines without words
+case of A-Z, that stand between other characters than letters and digits. NULL and empty texts have no words and are rejected; lines without words
 count for nothing; a line equal to an earlier one of its text is removed. Rows with
 equal ids, or none, are judged one by one; ids come back as they are.
 """
@@ -32,7 +32,7 @@ BOILERPLATE = (
 ENDS = ".!?:;,…"
 _UPPER, _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
 _NAV = re.compile(rb"(?<![^\x20\x09-\x0D])(?:[|>]|\xc2\xbb|\xe2\x80\xa2)(?![^\x20\x09-\x0D])")
-_BOILER = re.compile("|".join(map(re.escape, BOILERPLATE)).encode())
+_BOILER = re.compile(rb"(?<![0-9a-z\x80-\xff])(?:" + "|".join(map(re.escape, BOILERPLATE)).encode() + rb")(?![0-9a-z\x80-\xff])")
 _ENDS = re.compile("|".join(map(re.escape, ENDS)).encode())
 
 

@@ -185,7 +185,7 @@ j AS (SELECT *, 4 * len(list_filter(w, lambda x: x IN ('|', '>', '»', '•')))
     OR 10 * (strlen(s) - strlen(regexp_replace(s, '[#*$%&|<>]', '', 'g'))) > strlen(s)
     OR (length(regexp_replace(s, '[^A-Za-z]', '', 'g')) >= 20 AND length(regexp_replace(s, '[^A-Z]', '', 'g')) > length(regexp_replace(s, '[^a-z]', '', 'g')))
     OR (n >= 12 AND NOT regexp_matches(s, '[.!?:;,…]')) OR (n >= 10 AND 3 * len(list_distinct(w)) < n) AS junk,
-  n < 40 AND regexp_matches(translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'all rights reserved|released under the|licensed under|terms of service|privacy policy|cookie policy|click here|sign up|subscribe to|share this|alle rechte vorbehalten|allgemeine geschäftsbedingungen|datenschutzerklärung|hier klicken|jetzt anmelden|newsletter abonnieren|lizenziert unter|tous droits réservés|conditions générales|politique de confidentialité|cliquez ici|inscrivez-vous|abonnez-vous|sous licence|todos los derechos reservados|términos y condiciones|política de privacidad|haga clic aquí|regístrese|suscríbase|bajo licencia') AS boiler FROM l),
+  n < 40 AND regexp_matches(translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(^|[^0-9a-z\x{80}-\x{10FFFF}])(all rights reserved|released under the|licensed under|terms of service|privacy policy|cookie policy|click here|sign up|subscribe to|share this|alle rechte vorbehalten|allgemeine geschäftsbedingungen|datenschutzerklärung|hier klicken|jetzt anmelden|newsletter abonnieren|lizenziert unter|tous droits réservés|conditions générales|politique de confidentialité|cliquez ici|inscrivez-vous|abonnez-vous|sous licence|todos los derechos reservados|términos y condiciones|política de privacidad|haga clic aquí|regístrese|suscríbase|bajo licencia)($|[^0-9a-z\x{80}-\x{10FFFF}])') AS boiler FROM l),
 a AS (SELECT doc_id, count(*) FILTER (dup) AS dups, coalesce(sum(n) FILTER (dup OR junk OR boiler), 0) AS lost, coalesce(sum(n) FILTER (NOT dup AND NOT junk AND NOT boiler), 0) AS kept FROM j GROUP BY doc_id),
 b AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
   CAST(coalesce(dups, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, coalesce(lost, 0) AS lost, coalesce(kept, 0) AS kw FROM d LEFT JOIN r USING (doc_id) LEFT JOIN a USING (doc_id))
