@@ -124,7 +124,7 @@ def _sample(drawn: np.ndarray):
                 for s, e in zip(offs[:-1].tolist(), offs[1:].tolist()):
                     u, n = np.unique(buckets(buf[s:e]), return_counts=True)
                     at.append(u.astype(np.uint16).tobytes())
-                    counts.append(np.minimum(n, 65535).astype(np.uint16).tobytes())
+                    counts.append(n.astype(np.uint32).tobytes())
             yield pa.RecordBatch.from_pydict({"_id": b.column("_id"), "lang": b.column("lang"), "b": pa.array(at, pa.binary()), "n": pa.array(counts, pa.binary())})
 
     return f
@@ -144,7 +144,7 @@ def fit(labelled: DataFrame, per_language: int = 400, max_train: int = 2400, see
     drawn = np.array(sorted(r[0] for r in ids.collect()), dtype=np.int64)
     got = d.filter("_text IS NOT NULL").select("_id", "_text", "lang").mapInArrow(_sample(drawn), "_id long, lang string, b binary, n binary").collect()
     got = sorted(((r["_id"], r["lang"], bytes(r["b"]), bytes(r["n"])) for r in got))
-    data = [(x[1], np.frombuffer(x[2], np.uint16).astype(np.int64), np.frombuffer(x[3], np.uint16).astype(np.float64)) for x in got if x[2]]
+    data = [(x[1], np.frombuffer(x[2], np.uint16).astype(np.int64), np.frombuffer(x[3], np.uint32).astype(np.float64)) for x in got if x[2]]
     return train(data, **options) if data else None
 
 
