@@ -73,7 +73,7 @@ class Bounds:
         rows = sorted(rows)
         step = max(1.0, len(rows) / chunks)
         picked = sorted({rows[int(i * step)] for i in range(1, chunks) if int(i * step) < len(rows)})
-        self.keys = np.array(picked, np.int64).reshape(len(picked), -1)
+        self.keys = np.array(picked, np.int64).reshape(len(picked), len(rows[0]) if rows else 0)
 
     def chunk(self, *key: np.ndarray) -> np.ndarray:
         """Of each key (columns in order) the number of bounds that are not above it."""
