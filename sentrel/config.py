@@ -37,12 +37,13 @@ def _number(name: str, default: float, low: float | None = None, high: float | N
 
 
 def _zone(text: str) -> tuple[float, float]:
-    """Two comma separated numbers, swapped if reversed; (0.4, 0.6) if unreadable."""
+    """Two comma separated numbers, each brought into [0, 1], the smaller first; empty
+    parts count for nothing. (0.4, 0.6) if there are not two or one is unreadable."""
     try:
-        low, high = (float(x) for x in text.split(","))
+        low, high = sorted(max(0.0, min(float(x), 1.0)) for x in text.split(",") if x.strip())
     except ValueError:
         return 0.4, 0.6
-    return (low, high) if low <= high else (high, low)
+    return low, high
 
 
 @dataclass(frozen=True)

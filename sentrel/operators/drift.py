@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from sentrel.config import DEFAULTS, Settings
-from sentrel.operators.metrics import running
+from sentrel.operators.metrics import exact_quantiles, running
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -70,10 +70,12 @@ def ks_statistic(a: DataFrame, b: DataFrame, column: str, s: Settings = DEFAULTS
 
 
 def distribution_comparison(df: DataFrame, column: str, as_of: datetime, time: str = "created_at") -> DataFrame:
-    """Mean and median of the last 7 days against the 23 days before."""
+    """Mean and exact median of the last 7 days against the 23 days before."""
     if column not in df.columns:
         raise ValueError(f"no such column: {column}")
     t, now = F.col(time), F.lit(as_of)
     period = F.when(t >= now - F.expr("INTERVAL 7 DAYS"), "current").when(t >= now - F.expr("INTERVAL 30 DAYS"), "baseline")
     rows = df.select(period.alias("period"), F.col(column).alias("v")).filter(F.col("period").isNotNull() & F.col("v").isNotNull())
-    return rows.groupBy("period").agg(F.round(F.avg("v"), 4).alias("mean"), F.round(F.percentile("v", F.lit(0.5)), 4).alias("median"), F.count("*").alias("n"))
+    median = exact_quantiles(rows, "v", "period", ["current", "baseline"]).select(F.col("period").alias("_p"), "quantile")
+    means = rows.groupBy("period").agg(F.round(F.avg("v"), 4).alias("mean"), F.count("*").alias("n"))
+    return means.join(F.broadcast(median), F.col("period") == F.col("_p")).select("period", "mean", F.round("quantile", 4).alias("median"), "n")

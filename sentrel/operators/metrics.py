@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from sentrel.config import CONFIRMED, FALSE_POSITIVE, THRESHOLD_GRID
@@ -104,3 +106,61 @@ def auc_rank(df: DataFrame, score: str = "ml_probability") -> DataFrame:
     c = running(by, score, ["neg"])
     out = c.agg(F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") / 2)).alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return out.select(F.round(F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("u") / (F.col("p") * F.col("n"))), 6).alias("auc"))
+
+
+def exact_quantiles(df: DataFrame, value: str, group: str, groups: list[str], qs: tuple[float, ...] = (0.5,)) -> DataFrame:
+    """(group, q, quantile, n): exact quantiles with linear interpolation, of the given
+    groups; groups without a value have no rows. Values are counted, the counts summed up
+    over ranges of values, and the ranks looked up in the sums: no task holds a group."""
+    v = F.col(value).cast("double")
+    names = {g: f"_n{i}" for i, g in enumerate(groups)}
+    by = df.filter(v.isNotNull() & F.col(group).isin(*groups)).groupBy(v.alias("_v")).agg(*[F.count_if(F.col(group) == g).alias(n) for g, n in names.items()])
+    ranked = running(by, "_v", list(names.values()))
+    long = ranked.select("_v", F.explode(F.array(*[F.struct(F.lit(g).alias("g"), F.col(n).alias("n"), F.col(f"cum_{n}").alias("cum")) for g, n in names.items()])).alias("x")).filter("x.n > 0").select("_v", "x.*")
+    total = F.broadcast(by.agg(F.array(*[F.struct(F.lit(g).alias("g"), F.sum(n).alias("total")) for g, n in names.items()]).alias("a")).select(F.inline("a")))
+    wanted = total.filter("total > 0").select("g", "total", F.explode(F.array(*map(F.lit, map(float, qs)))).alias("q")).withColumn("at", F.col("q") * (F.col("total") - 1))
+    # the ranks floor(at) and ceil(at), from 0: values whose rows reach over them
+    low, high = F.floor("at"), F.ceil("at")
+    over = lambda rank: F.max(F.when((F.col("cum") - F.col("n") <= rank) & (rank < F.col("cum")), F.col("_v")))
+    near = long.withColumnRenamed("g", "_g").join(F.broadcast(wanted), (F.col("_g") == F.col("g")) & (F.col("cum") > low) & (F.col("cum") - F.col("n") <= high))
+    out = near.groupBy("g", "q", "total", "at").agg(over(low).alias("a"), over(high).alias("b"))
+    return out.select(F.col("g").alias(group), "q", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at"))).alias("quantile"), F.col("total").alias("n"))
+
+
+#: Relative error of percentiles from a sketch.
+SKETCH_ERROR = 0.01
+
+
+def gamma(error: float = SKETCH_ERROR) -> float:
+    return (1 + error) / (1 - error)
+
+
+def log_base(error: float = SKETCH_ERROR) -> float:
+    return math.log(gamma(error))
+
+
+def latency_sketch(df: DataFrame, value: str, error: float = SKETCH_ERROR) -> DataFrame:
+    """(bucket, n): how many values lie between two powers of (1 + error) / (1 - error).
+    Sketches of parts are one of the whole once their counts are added. Values of 0 and
+    below are one bucket (NULL), as a latency of 0; NULLs count for nothing."""
+    v = F.col(value).cast("double")
+    bucket = F.when(v > 0, F.ceil(F.log(v) / F.lit(log_base(error))).cast("int"))
+    return df.filter(v.isNotNull()).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
+
+
+def sketch_percentiles(sketch: DataFrame, qs: tuple[float, ...] = (0.5, 0.95, 0.99), error: float = SKETCH_ERROR) -> DataFrame:
+    """(q, value, n) of one sketch, or of several put together. A value is within
+    ``error`` of a value of its rank, the lower one where q falls between two. The
+    window sees one row a bucket: a few thousand at most, however many values."""
+    g = gamma(error)
+    by = sketch.groupBy("bucket").agg(F.sum("n").alias("n"))
+    w = W.orderBy(F.col("bucket").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
+    cum = by.select("bucket", F.sum("n").over(w).alias("cum"), F.sum("n").over(W.partitionBy(F.lit(0))).alias("total"))
+    rows = cum.crossJoin(F.broadcast(df_of(sketch, qs)))
+    found = rows.filter(F.col("cum") > F.floor(F.col("q") * (F.col("total") - 1))).groupBy("q", "total").agg(F.min_by("bucket", "cum").alias("bucket"))
+    value = F.coalesce(2 * F.pow(F.lit(g), F.col("bucket")) / F.lit(g + 1), F.lit(0.0))
+    return found.select("q", value.alias("value"), F.col("total").alias("n"))
+
+
+def df_of(like: DataFrame, qs: tuple[float, ...]) -> DataFrame:
+    return like.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, map(float, qs)))).alias("q"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sentrel.config import CONFIRMED, DEFAULTS, FALSE_POSITIVE, FEATURE_LABELS, Settings
@@ -147,30 +149,72 @@ def ctaf_export(al: DataFrame, fb: DataFrame, reg: DataFrame, as_of: datetime |
     return out.select("transaction_id", "user_id", "amount_tnd", "governorate", "branch_id", "ml_probability", "feedback_id", "analyst_label", "analyst_timestamp", "top_risk_factors").orderBy(F.col("analyst_timestamp").desc(), "feedback_id")
 
 
-def sar_prompt(al: DataFrame, context: str | None = None) -> DataFrame:
-    """Instruction text for a report writer, one per alert."""
-    line = lambda name, c, default: F.concat(F.lit(name + ": "), F.coalesce(F.col(c).cast("string"), F.lit(default)))
+# What the labels of prompts and reports must read.
+PROMPT_START = "INVESTIGATION: Analyze suspicious activity for user "
+REPORT_TITLE, REPORT_BODY, UNKNOWN = "SUSPICIOUS ACTIVITY REPORT", "REPORT:", "UNKNOWN"
+TRANSACTION, USER, SCORE, AMOUNT, PLACE, METHOD, TIME, CONTEXT, GENERATED = "Transaction ID: ", "User ID: ", "ML Score: ", "Amount: ", "Governorate: ", "Payment Method: ", "Timestamp: ", "Regulatory Context: ", "Generated: "
+NO_CONTEXT = "No specific regulatory context found."
+TASK = "Write a suspicious activity report: summary, risk factors, rules concerned, next steps."
+
+
+def _line(al: DataFrame, label: str, c: str) -> Column:
+    value = F.col(c).cast("string") if c in al.columns else F.lit(None).cast("string")
+    return F.concat(F.lit(label), F.coalesce(value, F.lit(UNKNOWN)))
+
+
+def _score() -> Column:
+    return F.concat(F.lit(SCORE), F.format_string("%.2f", F.coalesce("ml_probability", F.lit(0.0))))
+
+
+def _amount() -> Column:
+    return F.concat(F.lit(AMOUNT), F.format_string("%.2f", F.coalesce("amount_tnd", F.lit(0.0))), F.lit(" TND"))
+
+
+def sar_prompt(al: DataFrame, context: str | None = None, contexts: DataFrame | None = None) -> DataFrame:
+    """Instruction text for a report writer, one per alert. ``contexts``: what
+    retrieval.alert_contexts found; the nearest text goes into its alert's prompt,
+    ``context`` into those without one."""
+    if contexts is None:
+        own = al.withColumn("_context", F.lit(context).cast("string"))
+    else:
+        nearest = contexts.filter("rank = 1").select("transaction_id", F.col("context").alias("_context"))
+        own = al.join(nearest, "transaction_id", "left").withColumn("_context", F.coalesce("_context", F.lit(context)))
     text = F.concat_ws(
-        "\n",
-        F.concat(F.lit("INVESTIGATION: Analyze suspicious activity for user "), F.coalesce("user_id", F.lit("UNKNOWN")), F.lit(".")),
-        line("Transaction ID", "transaction_id", "UNKNOWN"), F.concat(F.lit("ML Score: "), F.format_string("%.2f", "ml_probability")),
-        F.concat(F.lit("Amount: "), F.format_string("%.2f", F.coalesce("amount_tnd", F.lit(0.0))), F.lit(" TND")),
-        line("Governorate", "governorate", "UNKNOWN"), line("Payment Method", "payment_method", "UNKNOWN"),
-        F.lit("Regulatory Context: " + (context or "No specific regulatory context found.")),
-        F.lit("Write a suspicious activity report: summary, risk factors, rules concerned, next steps."),
+        "\n", F.concat(F.lit(PROMPT_START), F.coalesce("user_id", F.lit(UNKNOWN)), F.lit(".")),
+        _line(al, TRANSACTION, "transaction_id"), _score(), _amount(), _line(al, PLACE, "governorate"), _line(al, METHOD, "payment_method"), _line(al, TIME, "timestamp"),
+        F.concat(F.lit(CONTEXT), F.coalesce("_context", F.lit(NO_CONTEXT))), F.lit(TASK),
     )
-    return al.select("transaction_id", text.alias("prompt"))
+    return own.select("transaction_id", text.alias("prompt"))
+
+
+def written_reports(prompts: DataFrame, writer: Callable[[str], str]) -> DataFrame:
+    """(transaction_id, sar_report): what ``writer`` makes of each prompt, on the
+    executors. Where it raises, the report is the error's text, as with a writer that
+    cannot be reached."""
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def write(p: str) -> str:
+            try:
+                return writer(p)
+            except Exception as e:  # the report tells
+                return f"Error: {e}"
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([write(p) for p in b.column(1).to_pylist()], pa.string())], ["transaction_id", "sar_report"])
+
+    return prompts.select("transaction_id", "prompt").mapInArrow(f, "transaction_id string, sar_report string")
 
 
-def sar_document(al: DataFrame) -> DataFrame:
-    """File name and text of each report; ``writer`` output goes in sar_report if present."""
+def sar_document(al: DataFrame, generated: datetime | None = None) -> DataFrame:
+    """File name and text of each report: the alert's fields, and its ``sar_report`` if
+    there is one. ``generated``: now, if not given."""
     body = F.coalesce("sar_report", F.lit("No report generated")) if "sar_report" in al.columns else F.lit("No report generated")
+    at = F.date_format(F.current_timestamp() if generated is None else F.lit(generated), "yyyy-MM-dd'T'HH:mm:ss")
     text = F.concat_ws(
-        "\n", F.lit("SUSPICIOUS ACTIVITY REPORT"), F.concat(F.lit("Transaction ID: "), F.coalesce("transaction_id", F.lit("UNKNOWN"))),
-        F.concat(F.lit("User ID: "), F.coalesce("user_id", F.lit("UNKNOWN"))), F.concat(F.lit("ML Score: "), F.format_string("%.2f", "ml_probability")),
-        F.concat(F.lit("Payment Method: "), F.coalesce("payment_method", F.lit("UNKNOWN"))), F.concat(F.lit("REPORT:\n"), body),
+        "\n", F.lit(REPORT_TITLE), F.concat(F.lit(GENERATED), at), _line(al, TRANSACTION, "transaction_id"), _line(al, USER, "user_id"), _score(), _amount(),
+        _line(al, PLACE, "governorate"), _line(al, METHOD, "payment_method"), _line(al, TIME, "timestamp"), F.lit(""), F.concat(F.lit(REPORT_BODY + "\n"), body),
     )
-    return al.select(F.concat(F.lit("SAR_"), F.translate("transaction_id", ":-", "__"), F.lit(".txt")).alias("filename"), text.alias("document"))
+    name = F.translate(F.coalesce("transaction_id", F.lit("unknown")), ":-", "__")
+    return al.select(F.concat(F.lit("SAR_"), name, F.lit(".txt")).alias("filename"), text.alias("document"))
 
 
 def token_hash(df: DataFrame, column: str) -> DataFrame:

@@ -3,16 +3,25 @@ registry and dead letters. Callers write the result as a new table version."""
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from sentrel.config import CONFIRMED, DEFAULTS, FALSE_POSITIVE, Settings
+from sentrel.config import DEFAULTS, Settings
+
+
+def new_rows(existing: DataFrame, incoming: DataFrame, order: str = "created_at", key: str = "transaction_id") -> DataFrame:
+    """Of ``incoming`` the first row of each non-null key that ``existing`` lacks: the
+    least struct of a key, so that many rows of one key are reduced before the shuffle."""
+    rest = [c for c in incoming.columns if c not in (key, order)]
+    best = incoming.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(order, *rest)).alias("_r"))
+    first = best.select(*[F.col(key) if c == key else F.col(f"_r.{c}").alias(c) for c in incoming.columns])
+    return first.join(existing.select(key), key, "left_anti").select(incoming.columns)
 
 
 def insert_ignore(existing: DataFrame, incoming: DataFrame, order: str = "created_at", key: str = "transaction_id") -> DataFrame:
     """``existing`` and of ``incoming`` the first row of each new, non-null key."""
-    w = W.partitionBy(key).orderBy(F.col(order).asc(), *[F.col(c).asc() for c in incoming.columns if c not in (key, order)])
-    first = incoming.filter(F.col(key).isNotNull()).withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
-    return existing.unionByName(first.join(existing.select(key), key, "left_anti"), allowMissingColumns=True)
+    return existing.unionByName(new_rows(existing, incoming, order, key), allowMissingColumns=True)
 
 
 def latest_feedback(fb: DataFrame) -> DataFrame:
@@ -103,6 +112,29 @@ def dlq_step(dead: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     return dead.withColumns({"status": F.when(F.coalesce(tried, F.lit(False)), status).otherwise(F.col("status")), "attempts": F.when(F.coalesce(tried, F.lit(False)), n).otherwise(F.col("attempts"))})
 
 
-def label_check(fb: DataFrame) -> DataFrame:
-    """Feedback whose label is outside the two known ones (NULL passes)."""
-    return fb.filter(~F.coalesce(F.col("analyst_label").isin(CONFIRMED, FALSE_POSITIVE), F.lit(True)))
+
+def dlq_claim(dead: DataFrame, owner: str, now: datetime, until: datetime, s: Settings = DEFAULTS) -> DataFrame:
+    """All rows; those that may be sent are leased to ``owner``: PENDING ones, and
+    RETRYING ones whose lease is over (their worker is gone). A row whose last attempt
+    was lost like that has failed."""
+    at = F.lit(now)
+    free = (F.col("status") == "PENDING") | ((F.col("status") == "RETRYING") & (F.col("lease_until").isNull() | (F.col("lease_until") < at)))
+    free = F.coalesce(free, F.lit(False))
+    n = F.coalesce("attempts", F.lit(0))
+    take, lost = free & (n < s.dlq_max_attempts), free & (n >= s.dlq_max_attempts) & (F.col("status") == "RETRYING")
+    return dead.select("*", take.alias("_take"), lost.alias("_lost")).withColumns({
+        "status": F.when(F.col("_take"), "RETRYING").when(F.col("_lost"), "FAILED").otherwise(F.col("status")), "attempts": F.when(F.col("_take"), n + 1).otherwise(n),
+        "last_attempt": F.when(F.col("_take"), at).otherwise(F.col("last_attempt")), "lease_owner": F.when(F.col("_take"), owner).when(~F.col("_lost"), F.col("lease_owner")),
+        "lease_until": F.when(F.col("_take"), F.lit(until)).when(~F.col("_lost"), F.col("lease_until")),
+    }).drop("_take", "_lost")
+
+
+def dlq_settle(dead: DataFrame, outcomes: DataFrame, owner: str, s: Settings = DEFAULTS) -> DataFrame:
+    """All rows; those leased to ``owner`` take their outcome (id, delivered). A row that
+    someone else has leased since, or that has no outcome, stays as it is."""
+    o = outcomes.filter("delivered IS NOT NULL").groupBy("id").agg(F.max("delivered").alias("_ok"))
+    mine = F.col("_ok").isNotNull() & F.coalesce((F.col("lease_owner") == owner) & (F.col("status") == "RETRYING"), F.lit(False))
+    status = F.when(F.col("_ok"), "SUCCESS").when(F.col("attempts") >= s.dlq_max_attempts, "FAILED").otherwise("PENDING")
+    return dead.join(o, "id", "left").withColumn("_mine", mine).withColumns({
+        "status": F.when(F.col("_mine"), status).otherwise(F.col("status")), "lease_owner": F.when(~F.col("_mine"), F.col("lease_owner")), "lease_until": F.when(~F.col("_mine"), F.col("lease_until")),
+    }).drop("_ok", "_mine")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sentrel.operators import delivery, drift, features, metrics, ml, quality, reports, retrieval, routing, scoring, store
 from sentrel.sources import adapters as ad
-from sentrel.sources.readers import parse_json, synthetic_transactions, table
+from sentrel.sources.readers import synthetic_from, table
 from sentrel.schemas import T
 
 SPLIT = datetime(2024, 1, 16)
@@ -68,7 +68,9 @@ def ingest_parse_json(spark, d):
 
 @query
 def synth_transactions(spark, d):
-    return synthetic_transactions(spark, 10_000)
+    """One synthetic transaction per event, at the event's time."""
+    out = synthetic_from(table(spark, d, "events").select(F.col("event_id"), F.col("ts").cast("timestamp").alias("ts")), "event_id", "ts")
+    return out.withColumn("amount_tnd", F.round("amount_tnd", 2))
 
 
 @query
@@ -214,7 +216,7 @@ def alert_export_one(spark, d):
 
 @query
 def explain_alert(spark, d):
-    return reports.explain_alert(ad.alerts(spark, d), ad.registry(spark), ONE_ALERT)
+    return reports.explain_alert(ad.alerts(spark, d), ad.registry(spark, d), ONE_ALERT)
 
 
 @query
@@ -227,8 +229,8 @@ def alert_insert_ignore_all(spark, d):
 
 @query
 def promote(spark, d):
-    reg = ad.registry(spark)
-    new = reg.filter("version_id = 'v1'").withColumn("version_id", F.lit("v9"))
+    reg = ad.registry(spark, d)
+    new = store.current_champion(reg).withColumn("version_id", F.lit("v-new"))
     return store.promote(reg, new).select("version_id", "is_champion", F.col("f1_score").cast("double").alias("f1_score"))
 
 
@@ -279,12 +281,12 @@ def alert_export(spark, d):
 
 @query
 def ctaf_export(spark, d):
-    return _text(reports.ctaf_export(ad.alerts(spark, d), ad.feedback(spark, d), ad.registry(spark), EXPORT_AS_OF, 1), "analyst_timestamp")
+    return _text(reports.ctaf_export(ad.alerts(spark, d), ad.feedback(spark, d), ad.registry(spark, d), EXPORT_AS_OF, 1), "analyst_timestamp")
 
 
 @query
 def top_risk_factors(spark, d):
-    return reports.top_risk_factors(ad.registry(spark))
+    return reports.top_risk_factors(ad.registry(spark, d))
 
 
 @query
@@ -296,38 +298,38 @@ def alert_insert_ignore(spark, d):
 
 @query
 def dlq_retry_candidates(spark, d):
-    return _text(store.dlq_candidates(ad.dead_letters(spark)), "created_at").select("id", "transaction_id", "attempts", "status", "created_at")
+    return _text(store.dlq_candidates(ad.dead_letters(spark, d)), "created_at").select("id", "transaction_id", "attempts", "status", "created_at")
 
 
 @query
 def dlq_transition(spark, d):
-    return store.dlq_step(ad.dead_letters(spark)).select("id", "attempts", "status")
+    return store.dlq_step(ad.dead_letters(spark, d)).select("id", "attempts", "status")
 
 
 @query
 def current_champion(spark, d):
-    return store.current_champion(ad.registry(spark)).select("version_id", "f1_score", "auc")
+    return store.current_champion(ad.registry(spark, d)).select("version_id", "f1_score", "auc")
 
 
 @query
 def registry_promotions(spark, d):
-    return store.registry_promotions(ad.registry(spark)).select("version_id", "is_champion")
+    return store.registry_promotions(ad.registry(spark, d)).select("version_id", "is_champion")
 
 
 @query
 def promotion_decision(spark, d):
-    reg = ad.registry(spark)
+    reg = ad.registry(spark, d)
     return store.promotion_decision(reg, reg.filter("NOT is_champion"))
 
 
 @query
 def feedback_since_promotion(spark, d):
-    return store.feedback_since_promotion(ad.feedback(spark, d), ad.registry(spark)).select("transaction_id", "feedback_id")
+    return store.feedback_since_promotion(ad.feedback(spark, d), ad.registry(spark, d)).select("transaction_id", "feedback_id")
 
 
 @query
 def retrain_decision(spark, d):
-    return store.retrain_decision(ad.feedback(spark, d), ad.registry(spark))
+    return store.retrain_decision(ad.feedback(spark, d), ad.registry(spark, d))
 
 
 @query
@@ -397,12 +399,12 @@ def vector_topk(spark, d):
 
 @query
 def sar_prompt(spark, d):
-    return reports.sar_prompt(ad.alerts(spark, d))
+    return reports.sar_prompt(ad.timed_alerts(spark, d))
 
 
 @query
 def sar_document(spark, d):
-    return reports.sar_document(ad.alerts(spark, d))
+    return reports.sar_document(ad.timed_alerts(spark, d), EXPORT_AS_OF)
 
 
 @query
@@ -474,8 +476,8 @@ def append_feedback(spark, d):
 
 @query
 def promotion_audit(spark, d):
-    reg = ad.registry(spark)
-    return _text(store.promotion_audit(reg, reg.filter("version_id = 'v4'")), "timestamp").select("entity_type", "entity_id", "action", "user_id", "timestamp", "previous_version")
+    reg = ad.registry(spark, d)
+    return _text(store.promotion_audit(reg, reg.filter("NOT is_champion")), "timestamp").select("entity_type", "entity_id", "action", "user_id", "timestamp", "previous_version")
 
 
 def _failures(spark, d):

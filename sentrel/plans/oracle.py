@@ -2,21 +2,13 @@
 
 from __future__ import annotations
 
-from sentrel.sources.adapters import DEAD_ROWS, REGISTRY_ROWS
+from sentrel.config import BRANCHES, GOVERNORATES, PAYMENT_METHODS
 
 T0 = "TIMESTAMP '2024-01-01 00:00:00'"
 FMT = "'%Y-%m-%d %H:%M:%S'"
 METHOD = "CASE {k} % 5 WHEN 0 THEN 'eDinar' WHEN 1 THEN 'Flouci' WHEN 2 THEN 'Konnect' WHEN 3 THEN 'Carte Bancaire' ELSE 'Cash on Delivery' END"
 
 
-def _sql(v) -> str:
-    return "NULL" if v is None else str(v).upper() if isinstance(v, bool) else f"'{v}'" if isinstance(v, str) else repr(v)
-
-
-def _values(rows) -> str:
-    return ", ".join("(" + ", ".join(map(_sql, r)) + ")" for r in rows)
-
-
 CTES = {
     "transactions": f"""SELECT CAST(event_id AS VARCHAR) AS transaction_id, ts AS event_time, 'USER_' || user_id AS user_id,
         CASE WHEN event_id % 97 = 0 THEN -(value*50) ELSE value*50 END AS amount_tnd,
@@ -38,9 +30,15 @@ CTES = {
         doc_id AS feedback_id, {T0} + to_minutes(CAST(doc_id AS INT)) AS timestamp, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'src' || (doc_id % 20) END AS branch_id FROM labels
         UNION ALL SELECT CAST(doc_id AS VARCHAR), CASE WHEN toxic=1 THEN 'False Positive' ELSE 'Confirmed Fraud' END, doc_id + 1000000, {T0} + to_minutes(CAST(doc_id + 1440 AS INT)),
         CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'src' || (doc_id % 20) END FROM labels WHERE doc_id % 7 = 0""",
-    "registry": f"SELECT version_id, f1_score, auc, is_champion, {T0} + to_minutes(CAST(m AS INT)) AS promoted_at, feature_importance FROM (VALUES {_values(REGISTRY_ROWS)}) v(version_id, f1_score, auc, is_champion, m, feature_importance)",
+    "registry": f"""SELECT 'v-' || s AS version_id, 'models/v-' || s AS model_path, CAST(p AS DOUBLE) / (n * 101.0::DOUBLE) AS f1_score, (CAST(p AS DOUBLE) / (n * 101.0::DOUBLE) + 1) / 2 AS auc, last % 3 = 0 AS is_champion,
+        CASE WHEN last % 5 <> 0 THEN {T0} + to_minutes(CAST(first AS INT)) END AS promoted_at, n AS training_samples_count,
+        CASE first % 4 WHEN 0 THEN '[{{"feature": "v_count", "score": ' || en || '}}, {{"feature": "g_dist", "score": ' || de || '}}]' WHEN 1 THEN 'not json'
+        ELSE '[["avg_amount", ' || fr || '], {{"feature": "v_count", "score": ' || en || '}}, ["g_dist", "x"], {{"feature": "custom", "score": ' || es || '.12345}}, "bad"]' END AS feature_importance
+        FROM (SELECT coalesce(source, 'none') AS s, count(*) AS n, sum((doc_id * 37) % 101) AS p, min(doc_id) AS first, max(doc_id) AS last,
+        count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'de') AS de, count(*) FILTER (lang = 'fr') AS fr, count(*) FILTER (lang = 'es') AS es FROM documents GROUP BY 1)""",
     "champion": "SELECT * FROM registry WHERE is_champion ORDER BY promoted_at DESC NULLS LAST, version_id DESC LIMIT 1",
-    "dead": f"SELECT CAST(id AS BIGINT) AS id, 'txn_' || id AS transaction_id, attempts, status, {T0} + to_minutes(CAST(m AS INT)) AS created_at, delivered FROM (VALUES {_values(DEAD_ROWS)}) v(id, attempts, status, m, delivered)",
+    "dead": f"""SELECT doc_id AS id, 'txn_' || doc_id AS transaction_id, CAST(doc_id % 4 AS INT) AS attempts, ['PENDING', 'RETRYING', 'FAILED', 'SUCCESS'][CAST((doc_id // 4) % 4 AS INT) + 1] AS status,
+        {T0} + to_minutes(CAST((doc_id * 7919) % 100000 AS INT)) AS created_at, CASE WHEN doc_id % 11 <> 0 THEN doc_id % 3 = 0 END AS delivered FROM documents""",
     "joined": "SELECT a.*, f.feedback_id, f.analyst_label, f.timestamp FROM alerts a JOIN feedback f USING (transaction_id) WHERE f.analyst_label IS NOT NULL",
     "labelled": "SELECT *, CASE WHEN analyst_label = 'Confirmed Fraud' THEN 1 ELSE 0 END AS label FROM joined WHERE analyst_label IN ('Confirmed Fraud', 'False Positive')",
     "latest": "SELECT * FROM feedback QUALIFY row_number() OVER (PARTITION BY transaction_id ORDER BY timestamp DESC, feedback_id DESC) = 1",
@@ -104,6 +102,11 @@ SWEEP = f"""SELECT threshold, tp, fp, round(p, 3) AS precision, round(r, 3) AS r
     FROM labelled, (SELECT unnest([0.5, 0.6, 0.7, 0.8, 0.85, 0.9, 0.95]::DOUBLE[]) AS threshold) t GROUP BY t.threshold))"""
 STAT = "avg(amount_tnd) AS m, stddev_samp(amount_tnd) AS s"
 
+FIELDS = """'ML Score: ' || printf('%.2f', ml_probability), 'Amount: ' || printf('%.2f', coalesce(amount_tnd, 0.0)) || ' TND', 'Governorate: ' || coalesce(governorate, 'UNKNOWN'), 'Payment Method: ' || payment_method,
+    'Timestamp: ' || strftime(created_at, '%Y-%m-%dT%H:%M:%S')"""
+PROMPT = "concat_ws(chr(10), 'INVESTIGATION: Analyze suspicious activity for user ' || user_id || '.', 'Transaction ID: ' || transaction_id, " + FIELDS + """,
+    'Regulatory Context: {context}', 'Write a suspicious activity report: summary, risk factors, rules concerned, next steps.')"""
+
 SQL: dict[str, str] = {
     "ingest_parse_json": "SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events",
     "quality_flags": _with("SELECT transaction_id, negative_amount_flag, invalid_governorate_flag, null_id_flag FROM flags", *TX),
@@ -143,11 +146,11 @@ SQL: dict[str, str] = {
     "audit_trail": _with(f"SELECT 'ALERT' AS entity_type, transaction_id AS entity_id, 'CLASSIFY' AS action, 'unknown' AS user_id, strftime(timestamp, {FMT}) AS timestamp, feedback_id, lag(analyst_label) OVER (PARTITION BY transaction_id ORDER BY f.timestamp, feedback_id) AS previous_label, analyst_label AS new_label FROM feedback f", "feedback"),
     "feedback_branch_backfill": _with("SELECT f.transaction_id, f.feedback_id, coalesce(nullif(f.branch_id, ''), a.branch_id) AS branch_id FROM feedback f LEFT JOIN alerts a USING (transaction_id)", *AF),
     "alert_export": _with(f"SELECT a.transaction_id, user_id, amount_tnd, governorate, payment_method, a.branch_id, ml_probability, alert_type, l.analyst_label, strftime(l.timestamp, {FMT}) AS analyst_timestamp FROM alerts a LEFT JOIN latest l USING (transaction_id)", "alerts", "feedback", "latest"),
-    "ctaf_export": _with(f"SELECT transaction_id, user_id, amount_tnd, governorate, branch_id, ml_probability, feedback_id, analyst_label, strftime(timestamp, {FMT}) AS analyst_timestamp, (SELECT string_agg({DESCRIBE}, '; ' ORDER BY rank) FROM factors) AS top_risk_factors FROM joined WHERE analyst_label = 'Confirmed Fraud' AND timestamp >= TIMESTAMP '2024-01-01 00:00:00'", *AF, *REG),
+    "ctaf_export": _with(f"SELECT transaction_id, user_id, amount_tnd, governorate, branch_id, ml_probability, feedback_id, analyst_label, strftime(timestamp, {FMT}) AS analyst_timestamp, coalesce((SELECT string_agg({DESCRIBE}, '; ' ORDER BY rank) FROM factors), '') AS top_risk_factors FROM joined WHERE analyst_label = 'Confirmed Fraud' AND timestamp >= TIMESTAMP '2024-01-01 00:00:00'", *AF, *REG),
     "top_risk_factors": _with(f"SELECT CAST(rank AS INT) AS rank, feature, {DESCRIBE} AS description, round(score, 4) AS score FROM factors", *REG),
     "alert_insert_ignore": _with("SELECT transaction_id, CASE WHEN CAST(transaction_id AS BIGINT) % 2 = 0 THEN user_id ELSE 'second' END AS user_id FROM alerts WHERE CAST(transaction_id AS BIGINT) % 2 = 0 OR CAST(transaction_id AS BIGINT) % 3 <> 0", "alerts"),
     "dlq_retry_candidates": _with(f"SELECT id, transaction_id, attempts, status, strftime(created_at, {FMT}) AS created_at FROM dead WHERE status IN ('PENDING', 'RETRYING') AND attempts < 3", "dead"),
-    "dlq_transition": _with("SELECT id, CAST(CASE WHEN tried THEN attempts + 1 ELSE attempts END AS INT) AS attempts, CASE WHEN NOT tried THEN status WHEN delivered THEN 'SUCCESS' WHEN attempts + 1 >= 3 THEN 'FAILED' ELSE 'PENDING' END AS status FROM (SELECT *, status IN ('PENDING', 'RETRYING') AND attempts < 3 AS tried FROM dead)", "dead"),
+    "dlq_transition": _with("SELECT id, CAST(CASE WHEN tried THEN attempts + 1 ELSE attempts END AS INT) AS attempts, CASE WHEN NOT tried THEN status WHEN delivered THEN 'SUCCESS' WHEN attempts + 1 >= 3 THEN 'FAILED' ELSE 'PENDING' END AS status FROM (SELECT *, status IN ('PENDING', 'RETRYING') AND attempts < 3 AND delivered IS NOT NULL AS tried FROM dead)", "dead"),
     "current_champion": _with("SELECT version_id, CAST(f1_score AS DOUBLE) AS f1_score, CAST(auc AS DOUBLE) AS auc FROM champion", "registry", "champion"),
     "registry_promotions": _with("SELECT version_id, version_id = (SELECT version_id FROM champion) AS is_champion FROM registry", "registry", "champion"),
     "promotion_decision": _with("SELECT r.version_id, CAST(r.f1_score AS DOUBLE) AS f1_score, CAST(c.f1_score AS DOUBLE) AS champion_f1, round(CAST(r.f1_score AS DOUBLE) - CAST(c.f1_score AS DOUBLE), 6) AS gain, round(CAST(r.f1_score AS DOUBLE) - CAST(c.f1_score AS DOUBLE), 6) >= 0.02 AS promote FROM registry r, champion c WHERE NOT r.is_champion", "registry", "champion"),
@@ -162,8 +165,8 @@ SQL: dict[str, str] = {
     "confusion_metrics": _with(f"SELECT tp, fp, tn, fn, round(p, 4) AS precision, round(r, 4) AS recall, round({_ratio('2*p*r', '(p+r)')}, 4) AS f1 FROM (SELECT *, {_ratio('tp', '(tp+fp)')} AS p, {_ratio('tp', '(tp+fn)')} AS r FROM (SELECT count(*) FILTER (ml_probability >= 0.5 AND label = 1) AS tp, count(*) FILTER (ml_probability >= 0.5 AND label = 0) AS fp, count(*) FILTER (ml_probability < 0.5 AND label = 0) AS tn, count(*) FILTER (ml_probability < 0.5 AND label = 1) AS fn FROM labelled))", *AF),
     "auc_rank": _with("SELECT round((sum(CASE WHEN label = 1 THEN r END) - p * (p + 1) / 2.0) / (p * n), 6) AS auc FROM (SELECT label, CAST(rank() OVER (ORDER BY ml_probability) AS DOUBLE) + (count(*) OVER (PARTITION BY ml_probability) - 1) / 2.0 AS r, CAST(sum(label) OVER () AS DOUBLE) AS p, CAST(sum(1 - label) OVER () AS DOUBLE) AS n FROM labelled) GROUP BY p, n", *AF),
     "vector_topk": "SELECT vec_id, round(1 - list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[]), 4) AS distance FROM embeddings ORDER BY 1 - list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[]), vec_id LIMIT 4",
-    "sar_prompt": _with("SELECT transaction_id, concat_ws(chr(10), 'INVESTIGATION: Analyze suspicious activity for user ' || user_id || '.', 'Transaction ID: ' || transaction_id, 'ML Score: ' || printf('%.2f', ml_probability), 'Amount: ' || printf('%.2f', coalesce(amount_tnd, 0.0)) || ' TND', 'Governorate: ' || coalesce(governorate, 'UNKNOWN'), 'Payment Method: ' || payment_method, 'Regulatory Context: No specific regulatory context found.', 'Write a suspicious activity report: summary, risk factors, rules concerned, next steps.') AS prompt FROM alerts", "alerts"),
-    "sar_document": _with("SELECT 'SAR_' || replace(replace(transaction_id, ':', '_'), '-', '_') || '.txt' AS filename, concat_ws(chr(10), 'SUSPICIOUS ACTIVITY REPORT', 'Transaction ID: ' || transaction_id, 'User ID: ' || user_id, 'ML Score: ' || printf('%.2f', ml_probability), 'Payment Method: ' || payment_method, 'REPORT:', 'No report generated') AS document FROM alerts", "alerts"),
+    "sar_prompt": _with(f"SELECT transaction_id, {PROMPT.format(context='No specific regulatory context found.')} AS prompt FROM alerts", "alerts"),
+    "sar_document": _with(f"SELECT 'SAR_' || replace(replace(transaction_id, ':', '_'), '-', '_') || '.txt' AS filename, concat_ws(chr(10), 'SUSPICIOUS ACTIVITY REPORT', 'Generated: 2024-01-02T00:00:00', 'Transaction ID: ' || transaction_id, 'User ID: ' || user_id, {FIELDS}, '', 'REPORT:', 'No report generated') AS document FROM alerts", "alerts"),
     "token_hash": _with("SELECT transaction_id, sha256(transaction_id) AS token_hash FROM alerts", "alerts"),
     "train_test_split": _with("SELECT transaction_id, CASE WHEN substr(md5('42:' || transaction_id), 1, 4) < 'cccc' THEN 'train' ELSE 'test' END AS split FROM alerts", "alerts"),
     "wallet_24h_limit": _with("SELECT transaction_id, round(s, 4) AS amount_24h FROM (SELECT transaction_id, sum(amount_tnd) OVER (PARTITION BY user_id ORDER BY event_time RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS s FROM transactions) WHERE s > 1500", *TX),
@@ -178,7 +181,7 @@ SQL["system_overview"] = _with(
 SQL["alert_payload"] = _with("SELECT transaction_id, user_id, coalesce(branch_id, 'unknown') AS branch_id, 'unknown' AS timestamp, 'unknown' AS sar_report, coalesce(amount_tnd, 0.0) AS amount_tnd, ml_probability, coalesce(alert_type, 'high_risk') AS alert_type FROM alerts", "alerts")
 SQL["seed_corpus"] = "SELECT item_id AS id, text FROM benchmark"
 SQL["append_feedback"] = _with("SELECT transaction_id, feedback_id, analyst_label, branch_id FROM feedback WHERE feedback_id < 1000000 UNION ALL SELECT transaction_id, feedback_id, analyst_label, coalesce(nullif(f.branch_id, ''), a.branch_id) FROM feedback f LEFT JOIN alerts a USING (transaction_id) WHERE feedback_id >= 1000000", "feedback", "alerts")
-SQL["promotion_audit"] = _with(f"SELECT 'MODEL' AS entity_type, r.version_id AS entity_id, 'PROMOTE' AS action, 'system' AS user_id, strftime(r.promoted_at, {FMT}) AS timestamp, c.version_id AS previous_version FROM registry r LEFT JOIN champion c ON true WHERE r.version_id = 'v4'", "registry", "champion")
+SQL["promotion_audit"] = _with(f"SELECT 'MODEL' AS entity_type, r.version_id AS entity_id, 'PROMOTE' AS action, 'system' AS user_id, strftime(r.promoted_at, {FMT}) AS timestamp, c.version_id AS previous_version FROM registry r LEFT JOIN champion c ON true WHERE NOT r.is_champion", "registry", "champion")
 FAILURES = """SELECT *, CASE k WHEN 1 THEN '503' WHEN 2 THEN 'NO_RESPONSE' WHEN 3 THEN 'CONNECTION_ERROR' ELSE 'PROCESSING_ERROR' END AS error_code,
     CASE k WHEN 1 THEN '503 - detail ' || transaction_id WHEN 2 THEN 'No response object returned' ELSE 'detail ' || transaction_id END AS error_message
     FROM (SELECT *, CAST(transaction_id AS BIGINT) % 5 AS k FROM alerts) WHERE k <> 0"""
@@ -194,8 +197,21 @@ SQL["system_stats_branch"] = _with(f"""SELECT total_feedback, feedback_available
     (SELECT count(*) FILTER ({KIND} = 'high_risk' AND ml_probability > 0.85) AS high_risk_alerts, count(*) FILTER ({KIND} = 'random_sample') AS random_samples, count(*) FILTER ({KIND} = 'uncertainty_sample') AS uncertainty_samples, count(*) AS queue_total FROM alerts WHERE branch_id = 'src1'),
     (SELECT count(*) FILTER ({KIND} = 'high_risk' AND f.analyst_label = 'Confirmed Fraud') AS tp, count(*) FILTER ({KIND} = 'high_risk' AND f.analyst_label = 'False Positive') AS fp, count(*) FILTER ({KIND} = 'random_sample' AND f.analyst_label = 'Confirmed Fraud') AS rc, count(*) FILTER ({KIND} = 'random_sample' AND f.analyst_label = 'False Positive') AS rf FROM feedback f JOIN alerts a USING (transaction_id) WHERE f.branch_id = 'src1')""", *AF)
 SQL["alert_insert_ignore_all"] = _with("SELECT transaction_id, CASE WHEN CAST(transaction_id AS BIGINT) < 600 THEN user_id ELSE 'second' END AS user_id FROM alerts", "alerts")
-SQL["promote"] = _with("SELECT version_id, false AS is_champion, CAST(f1_score AS DOUBLE) AS f1_score FROM registry UNION ALL SELECT 'v9', true, CAST(f1_score AS DOUBLE) FROM registry WHERE version_id = 'v1'", "registry")
+SQL["promote"] = _with("SELECT version_id, false AS is_champion, CAST(f1_score AS DOUBLE) AS f1_score FROM registry UNION ALL SELECT 'v-new', true, f1_score FROM champion", "registry", "champion")
 SQL["drift_ks_verdict"] = f"""WITH k AS ({SQL["drift_ks_statistic"]}),
 l AS (SELECT n1, n2, (sqrt(n1 * n2 / (n1 + n2)::DOUBLE) + 0.12 + 0.11 / sqrt(n1 * n2 / (n1 + n2)::DOUBLE)) * ks_statistic AS lam FROM k),
 p AS (SELECT n1, n2, CASE WHEN lam < 0.2 THEN 1.0::DOUBLE ELSE least(greatest((SELECT sum(CASE WHEN i % 2 = 1 THEN 2.0 ELSE -2.0 END * exp(-2.0 * i * i * lam * lam)) FROM range(1, 101) r(i)), 0.0), 1.0) END AS p FROM l)
 SELECT round(p, 4) AS p_value, n1 > 10 AND n2 > 10 AND p < 0.05 AS drifted FROM p"""
+
+
+def _u(k: int) -> str:
+    return f"(CAST('0x' || substr(md5('42:{k}:' || event_id), 1, 10) AS BIGINT) / 1099511627776.0::DOUBLE)"
+
+
+def _pick(values: tuple[str, ...], k: int) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + f"][CAST(floor({_u(k)} * {len(values)}) AS INT) + 1]"
+
+
+SQL["synth_transactions"] = f"""SELECT 'txn-' || substr(sha256('42:' || event_id), 1, 32) AS transaction_id, strftime(ts - CASE WHEN {_u(7)} < 0.1::DOUBLE THEN INTERVAL 12 MINUTE ELSE INTERVAL 0 MINUTE END, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS timestamp,
+    'USER_' || (CAST(floor({_u(2)} * 9000) AS BIGINT) + 1000) AS user_id, round(amount, 2) AS amount_tnd, {_pick(GOVERNORATES, 3)} AS governorate, {_pick(PAYMENT_METHODS, 4)} AS payment_method, {_pick(BRANCHES, 5)} AS branch_id,
+    amount > 10000 OR {_u(6)} < 0.05::DOUBLE AS fraud_seed FROM (SELECT *, floor({_u(1)} * 1499000 + 1000) / 100 AS amount FROM events)"""

@@ -55,6 +55,11 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def timed_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With ``timestamp``, the time as text."""
+    return alerts(spark, sf_dir).withColumn("timestamp", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss"))
+
+
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab, k = table(spark, sf_dir, "labels"), F.col("doc_id")
     branch = F.when(k % 3 == 0, None).otherwise(F.concat(F.lit("src"), (k % 20).cast("string"))).alias("branch_id")
@@ -71,22 +76,29 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.unionByName(again)
 
 
-#: version, f1, auc, champion, minutes after the epoch, importances as JSON
-REGISTRY_ROWS = [
-    ("v1", 0.71, 0.80, True, 60, '[{"feature": "v_count", "score": 0.5}, {"feature": "g_dist", "score": 0.3}]'),
-    ("v2", 0.74, 0.82, True, 600, '[["avg_amount", 0.61], {"feature": "v_count", "score": 0.2}, ["g_dist", "x"], {"feature": "custom", "score": 0.12345}, "bad"]'),
-    ("v3", 0.60, 0.70, False, None, "not json"),
-    ("v4", 0.77, 0.85, False, 900, "[]"),
-]
-#: id, attempts, status, minutes after the epoch, did the retry get through
-DEAD_ROWS = [(i, i % 4, s, 10 * (30 - i), i % 3 == 0) for i, s in enumerate(["PENDING", "RETRYING", "FAILED", "SUCCESS"] * 4)]
-
-
-def registry(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame(REGISTRY_ROWS, "version_id string, f1_score double, auc double, is_champion boolean, m int, feature_importance string")
-    return rows.withColumn("promoted_at", _at(F.col("m"))).drop("m")
+def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source of the documents seen as a model version: several champions, versions
+    that were never promoted, importances as objects, as pairs, or unreadable."""
+    d, k = table(spark, sf_dir, "documents"), F.col("doc_id")
+    langs = [F.count_if(F.col("lang") == x).cast("string").alias(x) for x in ("en", "de", "fr", "es")]
+    g = d.groupBy(F.coalesce("source", F.lit("none")).alias("s")).agg(F.count("*").alias("n"), F.sum((k * 37) % 101).alias("p"), F.min(k).alias("first"), F.max(k).alias("last"), *langs)
+    f1 = F.col("p") / (F.col("n") * F.lit(101.0))
+    item = lambda name, x: F.concat(F.lit(f'{{"feature": "{name}", "score": '), F.col(x), F.lit("}"))
+    plain = F.concat(F.lit("["), item("v_count", "en"), F.lit(", "), item("g_dist", "de"), F.lit("]"))
+    mixed = F.concat(F.lit('[["avg_amount", '), F.col("fr"), F.lit("], "), item("v_count", "en"), F.lit(', ["g_dist", "x"], {"feature": "custom", "score": '), F.col("es"), F.lit('.12345}, "bad"]'))
+    version = F.concat(F.lit("v-"), F.col("s"))
+    return g.select(
+        version.alias("version_id"), F.concat(F.lit("models/"), version).alias("model_path"), f1.alias("f1_score"), ((f1 + 1) / 2).alias("auc"), (F.col("last") % 3 == 0).alias("is_champion"),
+        F.when(F.col("last") % 5 != 0, _at(F.col("first"))).alias("promoted_at"), F.col("n").alias("training_samples_count"),
+        F.when(F.col("first") % 4 == 0, plain).when(F.col("first") % 4 == 1, "not json").otherwise(mixed).alias("feature_importance"),
+    )
 
 
-def dead_letters(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame(DEAD_ROWS, "id bigint, attempts int, status string, m int, delivered boolean")
-    return rows.select("id", F.concat(F.lit("txn_"), F.col("id").cast("string")).alias("transaction_id"), "attempts", "status", _at(F.col("m")).alias("created_at"), "delivered")
+def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document seen as an alert that was not delivered; ``delivered``: how its next
+    attempt goes (NULL: it is not sent)."""
+    k = F.col("doc_id")
+    return table(spark, sf_dir, "documents").select(
+        k.alias("id"), F.concat(F.lit("txn_"), k.cast("string")).alias("transaction_id"), (k % 4).cast("int").alias("attempts"),
+        _pick(("PENDING", "RETRYING", "FAILED", "SUCCESS"), F.floor(k / 4) % 4).alias("status"), _at((k * 7919) % 100_000).alias("created_at"), F.when(k % 11 != 0, k % 3 == 0).alias("delivered"),
+    )

@@ -45,19 +45,19 @@ def encode_json(columns: tuple[str, ...] = tuple(TRANSACTION.names)) -> Column:
 
 
 def synthetic_columns(row: Column, now: Column, seed: int = 42) -> list[Column]:
-    """The eight transaction fields from a row number, by seeded hashes: reruns agree
-    whatever the partitioning. A tenth of the events is stamped 12 minutes late."""
+    """The eight transaction fields from a row number, by MD5 sums: reruns agree whatever
+    the partitioning or engine. A tenth of the events is stamped 12 minutes late."""
 
-    def u(k: int) -> Column:  # uniform in [0, 1)
-        return F.pmod(F.xxhash64(row, F.lit(seed), F.lit(k)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    def u(k: int) -> Column:  # uniform in [0, 1): 40 bits of a sum
+        return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(k)), row.cast("string"))), 1, 10), 16, 10).cast("bigint") / F.lit(float(1 << 40))
 
     def pick(values: tuple[str, ...], k: int) -> Column:
         return F.element_at(F.array(*map(F.lit, values)), (F.floor(u(k) * len(values)) + 1).cast("int"))
 
-    amount = F.round(u(1) * 14990 + 10, 2)
+    amount = F.floor(u(1) * 1_499_000 + 1000) / 100
     late = F.when(u(7) < 0.1, F.expr("INTERVAL 12 MINUTES")).otherwise(F.expr("INTERVAL 0 MINUTES"))
     return [
-        F.concat(F.lit("txn-"), F.sha2(F.concat_ws(":", F.lit(seed), row), 256).substr(1, 32)).alias("transaction_id"),
+        F.concat(F.lit("txn-"), F.sha2(F.concat_ws(":", F.lit(str(seed)), row.cast("string")), 256).substr(1, 32)).alias("transaction_id"),
         F.date_format(now - late, "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("timestamp"),
         F.concat(F.lit("USER_"), (F.floor(u(2) * 9000) + 1000).cast("string")).alias("user_id"),
         amount.alias("amount_tnd"),
@@ -68,10 +68,15 @@ def synthetic_columns(row: Column, now: Column, seed: int = 42) -> list[Column]:
     ]
 
 
+def synthetic_from(df: DataFrame, row: str, now: str, seed: int = 42) -> DataFrame:
+    """One synthetic transaction for each row of ``df``, from its number and time."""
+    return df.select(*synthetic_columns(F.col(row), F.col(now), seed))
+
+
 def synthetic_transactions(spark: SparkSession, n: int, start: str = "2024-01-01 00:00:00", seed: int = 42) -> DataFrame:
     """``n`` events, one a second from ``start``."""
     now = F.timestamp_seconds(F.unix_timestamp(F.lit(start)) + F.col("id"))
-    return spark.range(n).select(*synthetic_columns(F.col("id"), now, seed))
+    return synthetic_from(spark.range(n).withColumn("now", now), "id", "now", seed)
 
 
 def mock_training_set(spark: SparkSession, n: int = 10_000, seed: int = 42) -> DataFrame:

@@ -13,6 +13,7 @@ from sentrel.operators.quality import gate_pass
 from sentrel.operators.routing import review_routes
 from sentrel.operators.scoring import ml_features, risk_score, score
 from sentrel.sources.readers import parse_json, with_event_time
+from sentrel.sources.sinks import write_silver_batch
 
 
 def silver(raw: DataFrame, s: Settings = DEFAULTS, model=None) -> DataFrame:
@@ -27,13 +28,13 @@ def alert_key() -> Column:
 
 
 def start(silver_df: DataFrame, silver_path: str, alerts_path: str, checkpoint: str, s: Settings = DEFAULTS, trigger: dict | None = None, after: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
-    """Writes silver and alerts from one persisted micro-batch. A repeated batch
-    overwrites its own folder, so restarts do not duplicate rows."""
+    """Writes silver rows by day and alerts from one persisted micro-batch. A repeated
+    batch overwrites its own folders, so restarts do not duplicate rows."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch = batch.withColumn("transaction_id", alert_key()).persist()
         try:
-            batch.write.mode("overwrite").parquet(f"{silver_path}/batch={batch_id}")
+            write_silver_batch(batch, silver_path, batch_id)
             review_routes(batch, s).write.mode("overwrite").parquet(f"{alerts_path}/batch={batch_id}")
             if after:
                 after(batch, batch_id)
