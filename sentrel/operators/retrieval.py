@@ -43,8 +43,8 @@ def topk_join(queries: DataFrame, corpus: DataFrame, k: int = 2, query_key: str
     k rows per query and stripe, are merged by a window that drops all but k rows before
     its shuffle too. No task holds more than a stripe of each side. Vectors of different
     lengths do not pair, NULL, empty and zero ones with nothing. Query keys are distinct."""
-    q = queries.select(F.col(query_key).alias("_q"), F.col(column).cast("array<double>").alias("_v")).filter("_q IS NOT NULL AND size(_v) > 0")
-    c = corpus.select(F.col(key).alias("_c"), F.col(column).cast("array<double>").alias("_v")).filter("_c IS NOT NULL AND size(_v) > 0")
+    q = queries.select(F.col(query_key).alias("_q"), F.col(column).alias("_v")).filter("_q IS NOT NULL AND size(_v) > 0")
+    c = corpus.select(F.col(key).alias("_c"), F.col(column).alias("_v")).filter("_c IS NOT NULL AND size(_v) > 0")
     stripes = [max(1, -(-df.count() // block)) for df in (q, c)]
 
     def dealt(df: DataFrame, name: str, own: int, other: str, others: int) -> DataFrame:
@@ -65,7 +65,7 @@ def _lengths(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def _matrix(column: pa.ChunkedArray, rows: np.ndarray, wide: int) -> np.ndarray:
-    return column.take(pa.array(rows)).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, wide)
+    return column.take(pa.array(rows)).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, wide)
 
 
 def _pair(k: int):

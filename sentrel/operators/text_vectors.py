@@ -19,12 +19,13 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-#: n-grams whose bucket a worker remembers.
+#: Words, and three-letter pieces, whose buckets a worker remembers.
 REMEMBERED = 1 << 18
 
 
@@ -39,27 +40,41 @@ class Weights:
         return len(self.values)
 
 
-def grams(text: str | None) -> Iterator[str]:
-    for word in WORD.findall((text or "").translate(_LOWER)):
-        yield word
-        padded = f" {word} "
-        yield from (padded[i : i + 3] for i in range(len(padded) - 2))
+def grams(word: str) -> list[str]:
+    padded = f" {word} "
+    return [word, *(padded[i : i + 3] for i in range(len(word)))]
 
 
 class Buckets:
-    def __init__(self, dims: int):
-        self.dims, self.known = dims, {}
+    """Counts of a text by bucket. Remembers the buckets of words it has seen."""
 
-    def counts(self, text: str | None) -> Counter[int]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        out: Counter[int] = Counter()
-        for g, n in Counter(grams(text)).items():
-            at = self.known.get(g)
-            if at is None:
-                at = self.known[g] = int(hashlib.md5(g.encode()).hexdigest()[:6], 16) % self.dims
-            out[at] += n
-        return out
+    def __init__(self, dims: int):
+        self.dims, self.of_word, self.of_gram = dims, {}, {}
+
+    def _gram(self, g: str) -> int:
+        at = self.of_gram.get(g)
+        if at is None:
+            at = int(hashlib.md5(g.encode()).hexdigest()[:6], 16) % self.dims
+            if len(g) <= 3:
+                self.of_gram[g] = at
+        return at
+
+    def _word(self, word: str) -> np.ndarray:
+        got = self.of_word.get(word)
+        if got is None:
+            if len(self.of_word) >= REMEMBERED or len(self.of_gram) >= REMEMBERED:
+                self.of_word.clear()
+                self.of_gram.clear()
+            got = self.of_word[word] = np.array([self._gram(g) for g in grams(word)], np.int32)
+        return got
+
+    def counts(self, text: str | None) -> np.ndarray:
+        words = Counter(WORD.findall((text or "").translate(_LOWER)))
+        if not words:
+            return np.zeros(self.dims, np.int64)
+        found = [self._word(w) for w in words]
+        times = np.repeat(np.fromiter(words.values(), np.float64, len(words)), [len(f) for f in found])
+        return np.bincount(np.concatenate(found), times, self.dims).astype(np.int64)
 
 
 def weight(texts: int, having: int) -> int:
@@ -69,13 +84,12 @@ def weight(texts: int, having: int) -> int:
 def fit(corpus: DataFrame, text: str = "text", dims: int = 512) -> Weights:
     """Reads every corpus text; ``dims`` + 1 counts reach the driver."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b, having, texts = Buckets(dims), Counter(), 0
+        b, having, texts = Buckets(dims), np.zeros(dims, np.int64), 0
         for batch in batches:
             texts += batch.num_rows
             for t in batch.column(0).to_pylist():
-                having.update(b.counts(t).keys())
-        rows = [(-1, texts), *having.items()]
-        yield pa.RecordBatch.from_pydict({"bucket": pa.array([r[0] for r in rows], pa.int32()), "n": pa.array([r[1] for r in rows], pa.int64())})
+                having += b.counts(t) > 0
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array(range(-1, dims), pa.int32()), "n": pa.array([texts, *having.tolist()], pa.int64())})
 
     rows = corpus.select(F.col(text).cast("string")).mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     n = {r.bucket: r.n for r in rows}
@@ -96,16 +110,12 @@ def vectors(df: DataFrame, w: Weights, text: str = "text", column: str = "vector
     rest = [c for c in df.columns if c != text]
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b = Buckets(w.dims)
+        b, weights = Buckets(w.dims), np.array(w.values)
         for batch in batches:
-            flat: list[int] = []
-            for t in batch.column("_text").to_pylist():
-                row = [0] * w.dims
-                for i, n in b.counts(t).items():
-                    row[i] = n * w.values[i]
-                flat += row
-            offsets = pa.array(range(0, len(flat) + 1, w.dims), pa.int32())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()))], [*rest, column])
+            rows = [b.counts(t) * weights for t in batch.column("_text").to_pylist()]
+            flat = np.concatenate(rows).astype(np.int32) if rows else np.zeros(0, np.int32)
+            offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * w.dims)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.ListArray.from_arrays(offsets, pa.array(flat))], [*rest, column])
 
     d = df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").cast("string").alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema if f.name != "_text")
