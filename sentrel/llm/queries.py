@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from sentrel.llm import automaton_dedup, decontaminate, importance, jaccard_join, language_id, licenses, lm_score, mixing, point_in_time, quality_rules, quotation, repair, suffix_dedup
 
@@ -37,6 +37,16 @@ def op7_quotation_linking(spark: SparkSession, d: str) -> DataFrame:
     return quotation.link_quotes(spark.read.parquet(f"{d}/conversations.parquet"))
 
 
+def quoted_replies(spark: SparkSession, d: str) -> DataFrame:
+    """The quotation operator where messages quote: each begins with the first and the
+    last line of the message before it, as two passages."""
+    c = spark.read.parquet(f"{d}/conversations.parquet")
+    before = F.split(F.lag("text").over(W.partitionBy("conv_id").orderBy("turn", "role", "text")), "\n")
+    quoted = F.concat(F.lit("> "), F.get(before, F.lit(0)), F.lit("\n\n> > "), F.element_at(before, -1), F.lit("\n"))
+    said = c.withColumn("text", F.concat(F.coalesce(quoted, F.lit("")), F.coalesce("text", F.lit(""))))
+    return quotation.link_quotes(said).select("conv_id", "turn", "max_level", "n_quotes", "n_linked", "reply_conv", "reply_to", "anchor", "position", F.md5("own_text").alias("own_md5"))
+
+
 def op10_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     out = quality_rules.apply_rules(_documents(spark, d).select("doc_id", "text"), with_text=False)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -68,7 +78,7 @@ def op13_repair(spark: SparkSession, d: str) -> DataFrame:
     return repair.audit(spark.read.parquet(f"{d}/conversations.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_lm_score, op3_language_id, op4_mix_sources, op5_importance_resampling, op6_suffix_dedup, op7_quotation_linking, op8_jaccard_join, op9_substring_dedup, op10_quality_rules, op11_license_scan, op12_point_in_time, op13_repair)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_lm_score, op3_language_id, op4_mix_sources, op5_importance_resampling, op6_suffix_dedup, op7_quotation_linking, op8_jaccard_join, op9_substring_dedup, op10_quality_rules, op11_license_scan, op12_point_in_time, op13_repair, quoted_replies)}
 
 #: CRC-32 in SQL: the table of the reflected polynomial, and the sum of an ASCII text.
 CRC_TABLE = "(SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, CAST(n AS BIGINT)) ORDER BY n) AS crc_of FROM range(256) r(n))"
@@ -211,3 +221,7 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS
   sha256(array_to_string(CASE WHEN ps IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(ps, i)) END, ' ')) AS kept_sha256
 FROM d LEFT JOIN gone USING (doc_id)""",
 }
+
+QUOTING = """(SELECT conv_id, turn, role, coalesce('> ' || lines[1] || chr(10) || chr(10) || '> > ' || lines[-1] || chr(10), '') || coalesce(text, '') AS text FROM (
+    SELECT conv_id, turn, role, text, string_split(lag(text) OVER (PARTITION BY conv_id ORDER BY turn, role, text), chr(10)) AS lines FROM main.conversations))"""
+ORACLES["quoted_replies"] = f"SELECT conv_id, turn, max_level, n_quotes, n_linked, reply_conv, reply_to, anchor, position, md5(own_text) AS own_md5 FROM (WITH conversations AS {QUOTING}, " + ORACLES["op7_quotation_linking"].strip().removeprefix("WITH ") + ")"

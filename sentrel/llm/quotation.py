@@ -1,9 +1,9 @@
 """Operator 7: conversations in reply order, without their quotations.
 
 Lines that begin with ">" are quoted, once for each ">". Consecutive lines of one
-level make a passage; its normalised text is looked up among the runs of consecutive
-own lines and the whole own texts of all messages: first in the same conversation
-before this turn, else the first message of another one. DataFrame functions only.
+level make a passage; it is looked up among the runs of consecutive own lines (blank ones
+aside; the same lines, normalised) and the whole own texts of all messages: first in the
+same conversation before this turn, else the first message of another one. DataFrame functions only.
 
 A message answers the latest earlier message of its conversation that it quotes,
 else the turn before it, if there is one. ``anchor`` is that quoted turn, else the
@@ -61,24 +61,34 @@ def parse(messages: DataFrame) -> DataFrame:
     }).drop("_lines")
 
 
-def _runs(lines: Column, lengths: Column) -> Column:
-    """Every run of consecutive lines that is as long as one of ``lengths``."""
-    run = lambda k: F.transform(F.sequence(F.lit(1), F.size(lines) - k + 1), lambda i: F.array_join(F.slice(lines, i, k), " "))
-    return F.flatten(F.transform(F.filter(lengths, lambda k: k <= F.size(lines)), run))
+def _runs(m: DataFrame, starts: DataFrame) -> DataFrame:
+    """o_conv, o_turn, p: runs of consecutive own lines that may be quoted passages.
+    ``starts``: the first two lines (hashed) of the passages of several lines, and how
+    many lines such passages have. Only where these two lines stand are runs of those
+    lengths made, so a message of many lines gives few. ``m`` has a number ``_row``."""
+    said = F.filter(normal_lines(F.col("own_text")), lambda x: x != "")
+    own = m.filter("conv_id IS NOT NULL AND turn IS NOT NULL").select("_row", "conv_id", "turn", said.alias("said")).filter(F.size("said") > 1)
+    pairs = own.select("_row", F.posexplode(F.zip_with(F.slice("said", 1, F.size("said") - 1), F.slice("said", 2, F.size("said") - 1), lambda a, b: F.xxhash64(a, b))).alias("i", "f"))
+    hits = pairs.join(starts, "f").groupBy("_row").agg(F.collect_list(F.struct("i", "ks")).alias("at"))
+    found = own.join(hits, "_row").select("conv_id", "turn", "said", F.explode("at").alias("x")).select("conv_id", "turn", "said", F.col("x.i").alias("i"), F.explode("x.ks").alias("k"))
+    fits = found.filter(F.col("i") + F.col("k") <= F.size("said"))
+    return fits.select(F.col("conv_id").alias("o_conv"), F.col("turn").alias("o_turn"), F.array_join(F.slice("said", F.col("i") + 1, F.col("k")), " ").alias("p"))
 
 
 def link_quotes(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, own_text, max_level, n_quotes, n_linked, reply_conv,
     reply_to, anchor, position: one row per message."""
-    m = graph.written(parse(messages.select("conv_id", "turn", "role", "text")).drop("text"))
-    quoting = m.filter(F.size("_quoted") > 0).withColumn("_m", F.xxhash64("conv_id", "turn", "role", "own_text", F.to_json("_quoted")))
-    lines = quoting.select("conv_id", "turn", "_m", F.explode("_quoted").alias("x")).select("conv_id", "turn", "_m", "x.*")
-    run = F.col("pos") - F.row_number().over(W.partitionBy("conv_id", "turn", "_m", "level").orderBy("pos"))
-    passages = lines.withColumn("run", run).groupBy("conv_id", "turn", "_m", "level", "run").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "content"))), lambda x: x["content"]), "\n").alias("p"), F.count_if(normalised(F.col("content")) != "").cast("int").alias("k"))
-    passages = graph.written(passages.select("conv_id", "turn", "level", _hash(normalised(F.col("p"))).alias("h"), "k"))
+    m = graph.written(parse(messages.select("conv_id", "turn", "role", "text")).drop("text")).withColumn("_row", F.monotonically_increasing_id())
+    quoting = m.filter(F.size("_quoted") > 0)
+    lines = quoting.select("conv_id", "turn", "_row", F.explode("_quoted").alias("x")).select("conv_id", "turn", "_row", "x.*")
+    run = F.col("pos") - F.row_number().over(W.partitionBy("_row", "level").orderBy("pos"))
+    passages = lines.withColumn("run", run).groupBy("conv_id", "turn", "_row", "level", "run").agg(F.array_sort(F.collect_list(F.struct("pos", normalised(F.col("content")).alias("content")))).alias("a"))
+    passages = passages.select("conv_id", "turn", "level", F.filter(F.transform("a", lambda x: x["content"]), lambda x: x != "").alias("a"))
+    first = F.when(F.size("a") > 1, F.xxhash64(F.get("a", F.lit(0)), F.get("a", F.lit(1))))
+    passages = graph.written(passages.select("conv_id", "turn", "level", _hash(F.array_join("a", " ")).alias("h"), first.alias("f"), F.size("a").alias("k")))
     quotes = passages.filter("h IS NOT NULL").select("conv_id", "turn", "level", "h").distinct()
-    lengths = sorted(r["k"] for r in passages.filter("k > 1").select("k").distinct().collect())
-    linked = _linked(m, quotes, lengths)
+    starts = passages.filter("f IS NOT NULL").groupBy("f").agg(F.collect_set("k").alias("ks"))
+    linked = _linked(m, quotes, starts)
     earlier = m.filter("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", (F.col("turn") + 1).alias("turn"), F.lit(True).alias("_has")).distinct()
     keys = m.select("conv_id", "turn", "role", "own_text", F.coalesce("max_level", F.lit(0)).alias("max_level"))
     out = keys.join(linked, ["conv_id", "turn"], "left").join(earlier, ["conv_id", "turn"], "left")
@@ -92,15 +102,14 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     return _positions(out)
 
 
-def _linked(m: DataFrame, quotes: DataFrame, lengths: list[int]) -> DataFrame:
-    """conv_id, turn, n_quotes, n_linked, near, far of the messages that quote.
-    ``lengths``: how many lines quoted passages have, where more than one."""
+def _linked(m: DataFrame, quotes: DataFrame, starts: DataFrame) -> DataFrame:
+    """conv_id, turn, n_quotes, n_linked, near, far of the messages that quote."""
     spoken = normal_lines(F.col("own_text"))
     said = F.filter(spoken, lambda x: x != "")
     parts = F.array_append(spoken, F.array_join(said, " "))
-    if lengths:
-        parts = F.concat(parts, _runs(said, F.array(*[F.lit(int(k)) for k in lengths])))
-    targets = m.select(F.col("conv_id").alias("o_conv"), F.col("turn").alias("o_turn"), F.explode(F.array_distinct(parts)).alias("p")).filter("p <> '' AND o_conv IS NOT NULL AND o_turn IS NOT NULL").select("o_conv", "o_turn", F.md5("p").alias("h"))
+    whole = m.select(F.col("conv_id").alias("o_conv"), F.col("turn").alias("o_turn"), F.explode(F.array_distinct(parts)).alias("p"))
+    said_by = whole.unionByName(_runs(m, starts))
+    targets = said_by.filter("p <> '' AND o_conv IS NOT NULL AND o_turn IS NOT NULL").select("o_conv", "o_turn", F.md5("p").alias("h"))
     targets = graph.written(targets.join(quotes.select("h").distinct(), "h", "left_semi").distinct())
     # the second is for those who quote within the first one's conversation
     first = targets.groupBy("h", "o_conv").agg(F.min("o_turn").alias("o_turn"))
