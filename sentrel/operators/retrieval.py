@@ -34,7 +34,7 @@ def seed_corpus(existing: DataFrame, seed: DataFrame, key: str = "id") -> DataFr
 # ---- many queries -----------------------------------------------------------------------
 
 
-def topk_join(queries: DataFrame, corpus: DataFrame, k: int = 2, query_key: str = "query_id", key: str = "id", column: str = "vector", block: int = BLOCK) -> DataFrame:
+def topk_join(queries: DataFrame, corpus: DataFrame, k: int = 2, query_key: str = "query_id", key: str = "id", column: str = "vector", block: int = BLOCK, sizes: tuple[int, int] | None = None) -> DataFrame:
     """Of every query the ``k`` corpus rows of the least distance (1 - cosine), the
     smaller key first on ties: (query_key, rank from 1, key, distance).
 
@@ -42,10 +42,11 @@ def topk_join(queries: DataFrame, corpus: DataFrame, k: int = 2, query_key: str
     group, which multiplies two matrices and keeps k rows a query. These partial lists,
     k rows per query and stripe, are merged by a window that drops all but k rows before
     its shuffle too. No task holds more than a stripe of each side. Vectors of different
-    lengths do not pair, NULL, empty and zero ones with nothing. Query keys are distinct."""
+    lengths do not pair, NULL, empty and zero ones with nothing. Query keys are distinct.
+    ``sizes``: about how many rows both sides have, where counting them is dear."""
     q = queries.select(F.col(query_key).alias("_q"), F.col(column).alias("_v")).filter("_q IS NOT NULL AND size(_v) > 0")
     c = corpus.select(F.col(key).alias("_c"), F.col(column).alias("_v")).filter("_c IS NOT NULL AND size(_v) > 0")
-    stripes = [max(1, -(-df.count() // block)) for df in (q, c)]
+    stripes = [max(1, -(-n // block)) for n in (sizes or (q.count(), c.count()))]
 
     def dealt(df: DataFrame, name: str, own: int, other: str, others: int) -> DataFrame:
         mine = F.pmod(F.xxhash64(name), F.lit(own)).cast("int")
@@ -116,8 +117,9 @@ def alert_contexts(al: DataFrame, corpus: DataFrame, k: int = 2, key: str = "id"
     w = tv.fit(corpus, text, dims)
     asked = alert_question(al).select("transaction_id", "question")
     distinct = asked.select("question").distinct()
+    sizes = (distinct.count(), corpus.count())
     q = tv.vectors(distinct.select("question", F.col("question").alias("text")), w)
     c = tv.vectors(corpus.select(key, F.col(text).alias("text")), w)
-    top = topk_join(q, c, k, "question", key)
+    top = topk_join(q, c, k, "question", key, sizes=sizes)
     texts = top.join(corpus.select(key, F.col(text).alias("context")), key)
     return asked.join(texts, "question").select("transaction_id", "question", "rank", key, "context", "distance")

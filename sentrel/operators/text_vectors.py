@@ -14,19 +14,20 @@ from __future__ import annotations
 
 import hashlib
 import math
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-#: Words, and three-letter pieces, whose buckets a worker remembers.
+#: All that is no part of a word.
+APART = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: n-grams whose buckets a worker remembers.
 REMEMBERED = 1 << 18
+#: Bytes of text that are counted together; a longer text is counted alone.
+TOGETHER = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -40,41 +41,56 @@ class Weights:
         return len(self.values)
 
 
-def grams(word: str) -> list[str]:
-    padded = f" {word} "
-    return [word, *(padded[i : i + 3] for i in range(len(word)))]
-
-
 class Buckets:
-    """Counts of a text by bucket. Remembers the buckets of words it has seen."""
+    """Counts of texts by bucket. Remembers the buckets of n-grams it has seen."""
 
     def __init__(self, dims: int):
-        self.dims, self.of_word, self.of_gram = dims, {}, {}
-
-    def _gram(self, g: str) -> int:
-        at = self.of_gram.get(g)
-        if at is None:
-            at = int(hashlib.md5(g.encode()).hexdigest()[:6], 16) % self.dims
-            if len(g) <= 3:
-                self.of_gram[g] = at
-        return at
-
-    def _word(self, word: str) -> np.ndarray:
-        got = self.of_word.get(word)
-        if got is None:
-            if len(self.of_word) >= REMEMBERED or len(self.of_gram) >= REMEMBERED:
-                self.of_word.clear()
-                self.of_gram.clear()
-            got = self.of_word[word] = np.array([self._gram(g) for g in grams(word)], np.int32)
-        return got
-
-    def counts(self, text: str | None) -> np.ndarray:
-        words = Counter(WORD.findall((text or "").translate(_LOWER)))
-        if not words:
-            return np.zeros(self.dims, np.int64)
-        found = [self._word(w) for w in words]
-        times = np.repeat(np.fromiter(words.values(), np.float64, len(words)), [len(f) for f in found])
-        return np.bincount(np.concatenate(found), times, self.dims).astype(np.int64)
+        self.dims, self.known = dims, {}
+
+    def _of(self, grams: list[str]) -> np.ndarray:
+        if len(self.known) + len(grams) > REMEMBERED:
+            self.known.clear()
+        known, out = self.known, np.empty(len(grams), np.int64)
+        for i, g in enumerate(grams):
+            at = known.get(g)
+            if at is None:
+                at = known[g] = int(hashlib.md5(g.encode()).hexdigest()[:6], 16) % self.dims
+            out[i] = at
+        return out
+
+    def counts(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """A matrix of (texts, dims) for each group of texts that follow each other."""
+        texts = texts.fill_null("")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        i = 0
+        while i < len(texts):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + TOGETHER, "right")))
+            yield self._counts(texts.slice(i, j - i))
+            i = j
+
+    def _counts(self, texts: pa.Array) -> np.ndarray:
+        split = pc.split_pattern(pc.replace_substring_regex(pc.ascii_lower(texts), APART, " "), " ")
+        words = split.flatten().dictionary_encode()
+        known = words.dictionary.to_pylist()
+        own = self._of(known)
+        # the pieces of all different words: three characters around each that is no blank
+        chars = np.frombuffer(f" {' '.join(known)} ".encode("utf-32-le"), np.uint32).astype(np.int64)
+        centre = np.flatnonzero(chars != 32)
+        codes, piece = np.unique((chars[centre - 1] << 42) | (chars[centre] << 21) | chars[centre + 1], return_inverse=True)
+        flat = self._of([chr(c >> 42) + chr(c >> 21 & 0x1FFFFF) + chr(c & 0x1FFFFF) for c in codes.tolist()])[piece]
+        size = pc.utf8_length(words.dictionary).to_numpy(zero_copy_only=False).astype(np.int64)
+        which = words.indices.to_numpy(zero_copy_only=False)
+        text = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy(zero_copy_only=False))
+        # equal words of a text count at once
+        solid = size[which] > 0
+        text, which = text[solid], which[solid]
+        pair, times = np.unique(text * max(1, len(known)) + which, return_counts=True)
+        text, which = np.divmod(pair, max(1, len(known)))
+        n = size[which]
+        at = np.repeat((np.cumsum(size) - size)[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        cells = len(texts) * self.dims
+        found = np.bincount(text * self.dims + own[which], times, cells) + np.bincount(np.repeat(text * self.dims, n) + flat[at], np.repeat(times, n), cells)
+        return found.astype(np.int64).reshape(len(texts), self.dims)
 
 
 def weight(texts: int, having: int) -> int:
@@ -87,8 +103,8 @@ def fit(corpus: DataFrame, text: str = "text", dims: int = 512) -> Weights:
         b, having, texts = Buckets(dims), np.zeros(dims, np.int64), 0
         for batch in batches:
             texts += batch.num_rows
-            for t in batch.column(0).to_pylist():
-                having += b.counts(t) > 0
+            for counts in b.counts(batch.column(0)):
+                having += (counts > 0).sum(axis=0)
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(range(-1, dims), pa.int32()), "n": pa.array([texts, *having.tolist()], pa.int64())})
 
     rows = corpus.select(F.col(text).cast("string")).mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
@@ -112,10 +128,12 @@ def vectors(df: DataFrame, w: Weights, text: str = "text", column: str = "vector
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b, weights = Buckets(w.dims), np.array(w.values)
         for batch in batches:
-            rows = [b.counts(t) * weights for t in batch.column("_text").to_pylist()]
-            flat = np.concatenate(rows).astype(np.int32) if rows else np.zeros(0, np.int32)
-            offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * w.dims)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.ListArray.from_arrays(offsets, pa.array(flat))], [*rest, column])
+            i = 0
+            for counts in b.counts(batch.column("_text")):
+                n = len(counts)
+                rows = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * w.dims), pa.array((counts * weights).astype(np.int32).ravel()))
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(i, n) for c in rest], rows], [*rest, column])
+                i += n
 
     d = df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").cast("string").alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema if f.name != "_text")

@@ -56,8 +56,8 @@ def embedding_neighbours(spark, d):
 def document_neighbours(spark, d):
     """For every document whose id is divisible by 50 the nearest of all documents."""
     docs = table(spark, d, "documents").select("doc_id", "text")
-    v = text_vectors.vectors(docs, text_vectors.fit(docs, dims=DIMS))
-    out = retrieval.topk_join(v.filter("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id"), v, 3, "query_id", "doc_id")
+    w, asked = text_vectors.fit(docs, dims=DIMS), docs.filter("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id")
+    out = retrieval.topk_join(text_vectors.vectors(asked, w), text_vectors.vectors(docs, w), 3, "query_id", "doc_id", sizes=(asked.count(), docs.count()))
     return out.select("query_id", "rank", "doc_id", _shown(6))
 
 
