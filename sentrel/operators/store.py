@@ -42,12 +42,23 @@ def append_feedback(fb: DataFrame, new: DataFrame, al: DataFrame) -> DataFrame:
     return fb.unionByName(feedback_branch_backfill(new, al), allowMissingColumns=True)
 
 
+def with_previous(df: DataFrame, key: str, order: list[str], columns: list[str], name: str) -> DataFrame:
+    """Adds ``name``: ``columns`` of the row before, in ``order`` (a time first) within
+    ``key``. One key may hold a third of all rows, so keys are split by day; the first
+    row of a day takes the last one of the key's day before, of one row a day."""
+    day = F.to_date(order[0])
+    inside = W.partitionBy(key, "_day").orderBy(*order)
+    rows = df.withColumn("_day", day).withColumns({name: F.lag(F.struct(*columns)).over(inside), "_n": F.row_number().over(inside)})
+    last = df.groupBy(F.col(key).alias("_k"), day.alias("_d")).agg(F.max(F.struct(*order, F.struct(*columns).alias("_r"))).alias("_m"))
+    last = last.select("_k", "_d", F.lag("_m._r").over(W.partitionBy("_k").orderBy("_d")).alias("_earlier")).filter("_earlier IS NOT NULL")
+    j = rows.join(last, F.col(key).eqNullSafe(F.col("_k")) & F.col("_day").eqNullSafe(F.col("_d")) & (F.col("_n") == 1), "left")
+    return j.withColumn(name, F.coalesce(F.col(name), F.col("_earlier"))).drop("_day", "_n", "_k", "_d", "_earlier")
+
+
 def audit_trail(fb: DataFrame, user_id: str = "unknown") -> DataFrame:
     """One row per review: the label before and after, also as JSON states."""
     fb = fb.withColumns({c: F.lit(None).cast("string") for c in ("analyst_comment", "branch_id") if c not in fb.columns})
-    w = W.partitionBy("transaction_id").orderBy("timestamp", "feedback_id")
-    before = F.lag(F.struct("analyst_label", "analyst_comment")).over(w)
-    out = fb.withColumn("_before", before)
+    out = with_previous(fb, "transaction_id", ["timestamp", "feedback_id"], ["analyst_label", "analyst_comment"], "_before")
     return out.select(
         F.lit("ALERT").alias("entity_type"), F.col("transaction_id").alias("entity_id"), F.lit("CLASSIFY").alias("action"), F.lit(user_id).alias("user_id"), "timestamp", "feedback_id",
         F.col("_before.analyst_label").alias("previous_label"), F.col("analyst_label").alias("new_label"),

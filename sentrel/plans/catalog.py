@@ -442,8 +442,11 @@ def stream_sliding_features(spark, d):
 def train_challenger(spark, d):
     rows = scoring.rule_label(scoring.ml_features(daily(spark, d))).withColumn("transaction_id", F.concat_ws("@", "user_id", F.col("window_start").cast("string")))
     parts = ml.split(rows).persist()
-    model = ml.train(parts.filter("split = 'train'"))
-    return ml.evaluate(model, parts.filter("split = 'test'"))
+    try:
+        found = ml.evaluate(ml.train(parts.filter("split = 'train'")), parts.filter("split = 'test'"))
+        return spark.createDataFrame(found.collect(), found.schema)  # one row
+    finally:
+        parts.unpersist()
 
 
 @query
