@@ -6,14 +6,15 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from sentrel.config import DEFAULTS
-from sentrel.operators import metrics, store
-from sentrel.plans.catalog import _failures, query, shared_folder
+from sentrel.config import CONFIRMED, DEFAULTS, FALSE_POSITIVE
+from sentrel.operators import drift, metrics, scoring, store
+from sentrel.plans.catalog import SPLIT, _failures, _halves, daily, query, shared_folder
 from sentrel.plans.oracle import FAILURES, RISK, SQL, TX, _windows, _with
 from sentrel.schemas import ALERTS, LEASED
-from sentrel.sources import adapters as ad
+from sentrel.sources import adapters as ad, sinks
 from sentrel.sources.readers import encode_json, table
 from sentrel.sources.versions import Table
+from sentrel.streaming.query import alert_key
 from sentrel.streaming.service import Service, retry_round
 
 NOW = datetime(2024, 6, 1)
@@ -44,10 +45,10 @@ def dlq_rounds(spark, d):
     return dead.read().select("id", "attempts", "status", F.col("lease_owner").isNull().alias("free"))
 
 
-def _lines(spark, d):
+def _lines(spark, d, which=None):
     """The transactions as JSON lines; some have no readable time, some are no JSON."""
-    k = F.col("transaction_id").cast("bigint")
-    tx = ad.transactions(spark, d).withColumn("timestamp", F.when(k % 17 == 0, "soon").otherwise(F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")))
+    k, tx = F.col("transaction_id").cast("bigint"), ad.transactions(spark, d)
+    tx = (tx if which is None else tx.filter(which)).withColumn("timestamp", F.when(k % 17 == 0, "soon").otherwise(F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")))
     return tx.select("transaction_id", encode_json()).select(F.when(k % 13 == 0, F.concat(F.lit("line "), F.col("transaction_id"))).otherwise(F.col("value")).alias("value"))
 
 
@@ -91,6 +92,53 @@ def latency_sketch_percentiles(spark, d):
     return metrics.sketch_percentiles(parts[0].unionByName(parts[1]).unionByName(parts[2])).select("q", F.round("value", 6).alias("value"), "n")
 
 
+@query
+def stream_restart(spark, d):
+    """As stream_service, but both streams are started twice on one checkpoint: the
+    second half of the lines comes when the first has been worked off."""
+    folder = shared_folder(spark)
+    svc = Service(spark, f"{folder}/service", now=lambda: NOW)
+    for early in (True, False):
+        _lines(spark, d, (F.col("event_time") < F.lit(SPLIT)) == early).write.mode("append").text(f"{folder}/lines")
+        svc.ingest(spark.readStream.text(f"{folder}/lines"), {"availableNow": True}).awaitTermination()
+        svc.score(trigger={"availableNow": True}).awaitTermination()
+    return svc["alerts"].read().select("transaction_id", "alert_type", F.round("ml_probability", 4).alias("ml_probability"))
+
+
+@query
+def retrain_by_feedback(spark, d):
+    """Silver rows and a verdict on each start one training; the batch runs twice, and
+    the next one finds no new verdicts. The model is small: its scores are not shown."""
+    svc = Service(spark, f"{shared_folder(spark)}/service", trees=2, now=lambda: NOW)
+    silver = scoring.score(scoring.ml_features(scoring.risk_score(daily(spark, d)))).withColumn("transaction_id", alert_key())
+    sinks.write_silver_batch(silver, f"{svc.path}/silver", 0)
+    verdict = F.when(F.col("label") == 1, CONFIRMED).otherwise(FALSE_POSITIVE)
+    svc["feedback"].append(scoring.rule_label(silver).select("transaction_id", verdict.alias("analyst_label"), F.xxhash64("transaction_id").alias("feedback_id"), F.lit(datetime(2024, 5, 1)).alias("timestamp")))
+    for batch in (1, 1, 2):
+        svc.retrain(batch)
+    logged = svc["audit"].read().groupBy(F.col("entity_id").alias("version_id"), "action").agg(F.count("*").alias("audit_rows"), F.count("previous_state").alias("replaced"))
+    return svc["registry"].read().join(logged, "version_id", "left").select("version_id", "is_champion", "training_samples_count", "action", "audit_rows", "replaced")
+
+
+@query
+def json_export(spark, d):
+    """Alerts as JSON lines, read again."""
+    path = f"{shared_folder(spark)}/json"
+    al = ad.timed_alerts(spark, d).select("transaction_id", "user_id", "amount_tnd", "branch_id", "ml_probability", "alert_type", "timestamp")
+    sinks.write_json(al, path)
+    return spark.read.schema(al.schema).json(path)
+
+
+@query
+def drift_by_saved_reference(spark, d):
+    """Statistics of the first half saved as two versions; the second half against the
+    last one."""
+    path, (early, late) = f"{shared_folder(spark)}/reference", _halves(spark, d)
+    drift.save_reference(late, path, "v1", ["amount_tnd"])
+    drift.save_reference(early, path, "v2", ["amount_tnd"])
+    return drift.drift_mean_std(drift.column_statistics(late.select("amount_tnd")), drift.load_reference(spark, path))
+
+
 SQL["stored_alerts"] = _with("SELECT transaction_id, 'batch' || (CAST(transaction_id AS BIGINT) % 3) || '-' || user_id AS user_id, coalesce(alert_type, 'high_risk') AS alert_type FROM alerts", "alerts")
 SQL["dlq_rounds"] = _with(f"""SELECT id, CAST(coalesce(first, 3) AS INT) AS attempts, CASE WHEN first IS NULL THEN 'FAILED' ELSE 'SUCCESS' END AS status, true AS free FROM (
     SELECT CAST(transaction_id AS BIGINT) AS id, list_min(list_filter([1, 2, 3], lambda a: substr(md5(transaction_id || ':' || a), 1, 1) < '8')) AS first FROM ({FAILURES}))""", "alerts")
@@ -105,3 +153,7 @@ SQL["exact_quantiles_by_type"] = f"""SELECT event_type, q, round(quantile, 6) AS
 SQL["latency_sketch_percentiles"] = f"""WITH b AS (SELECT CASE WHEN value > 0 THEN CAST(ceil(ln(value) / {metrics.log_base()!r}::DOUBLE) AS INT) END AS bucket, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1),
 c AS (SELECT bucket, sum(n) OVER (ORDER BY bucket NULLS FIRST) AS cum, sum(n) OVER () AS total FROM b)
 SELECT q, round(coalesce(2 * pow({metrics.gamma()!r}::DOUBLE, bucket) / ({metrics.gamma()!r}::DOUBLE + 1), 0), 6) AS value, CAST(total AS BIGINT) AS n FROM c, (SELECT unnest([0.5, 0.95, 0.99]::DOUBLE[]) AS q) WHERE cum > floor(q * (total - 1)) QUALIFY row_number() OVER (PARTITION BY q ORDER BY cum) = 1"""
+SQL["stream_restart"] = SQL["stream_service"]
+SQL["retrain_by_feedback"] = _with("SELECT 'v00000001' AS version_id, true AS is_champion, count(*) AS training_samples_count, 'PROMOTE' AS action, CAST(1 AS BIGINT) AS audit_rows, CAST(0 AS BIGINT) AS replaced FROM daily", *TX, "daily")
+SQL["json_export"] = _with("SELECT transaction_id, user_id, amount_tnd, branch_id, ml_probability, alert_type, strftime(created_at, '%Y-%m-%dT%H:%M:%S') AS timestamp FROM alerts", "alerts")
+SQL["drift_by_saved_reference"] = SQL["drift_mean_std"]
