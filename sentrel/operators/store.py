@@ -55,15 +55,16 @@ def with_previous(df: DataFrame, key: str, order: list[str], columns: list[str],
     return j.withColumn(name, F.coalesce(F.col(name), F.col("_earlier"))).drop("_day", "_n", "_k", "_d", "_earlier")
 
 
-def audit_trail(fb: DataFrame, user_id: str = "unknown") -> DataFrame:
-    """One row per review: the label before and after, also as JSON states."""
+def audit_trail(fb: DataFrame, user_id: str = "unknown", keep: list[str] | None = None) -> DataFrame:
+    """One row per review: the label before and after, also as JSON states. ``keep``:
+    columns that stay beside them."""
     fb = fb.withColumns({c: F.lit(None).cast("string") for c in ("analyst_comment", "branch_id") if c not in fb.columns})
     out = with_previous(fb, "transaction_id", ["timestamp", "feedback_id"], ["analyst_label", "analyst_comment"], "_before")
     return out.select(
         F.lit("ALERT").alias("entity_type"), F.col("transaction_id").alias("entity_id"), F.lit("CLASSIFY").alias("action"), F.lit(user_id).alias("user_id"), "timestamp", "feedback_id",
         F.col("_before.analyst_label").alias("previous_label"), F.col("analyst_label").alias("new_label"),
         F.to_json("_before", {"ignoreNullFields": "false"}).alias("previous_state"),
-        F.to_json(F.struct("analyst_label", "analyst_comment", "branch_id"), {"ignoreNullFields": "false"}).alias("new_state"),
+        F.to_json(F.struct("analyst_label", "analyst_comment", "branch_id"), {"ignoreNullFields": "false"}).alias("new_state"), *(keep or []),
     )
 
 

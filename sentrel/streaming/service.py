@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sentrel.config import DEFAULTS, Settings
-from sentrel.operators import metrics, ml, quality, routing, scoring, store
+from sentrel.operators import delivery, metrics, ml, quality, routing, scoring, store
 from sentrel.operators.features import sliding_features_stream
 from sentrel.schemas import ALERTS, AUDIT, FEEDBACK, LATENCY, LEASED, REGISTRY, T, TRANSACTION
 from sentrel.sources import sinks
@@ -98,6 +98,41 @@ class Service:
         """The events as a stream."""
         return self.spark.readStream.schema(EVENT).parquet(f"{self.path}/events/batch=*")
 
+    def show(self, raw: DataFrame, rows: int = 20, trigger: dict | None = None) -> StreamingQuery:
+        """Prints the lines that pass, decoded, and those that do not, with the reason."""
+        return sinks.console(decoded(raw), rows).trigger(**(trigger or {"processingTime": "10 seconds"})).start()
+
+    # ---- alerts and verdicts from outside
+
+    def add_alerts(self, rows: DataFrame, source: str = "", batch: str = "") -> None:
+        """Alerts whose id is not there yet; the first of an id that comes twice."""
+        self["alerts"].append_new(lambda old: store.new_rows(old, rows), source, batch)
+
+    def add_feedback(self, rows: DataFrame, source: str, batch: str) -> None:
+        """Verdicts (transaction_id, analyst_label, timestamp; analyst_comment, branch_id,
+        user_id and feedback_id if there are any) and one audit row for each, which tells
+        the verdict before it. A missing branch is the alert's. The batch is a number or
+        a name of its own within ``source``; run again, it adds what is still missing."""
+        fb, audit = self["feedback"], self["audit"]
+        new = rows
+        for c in ("analyst_comment", "branch_id"):
+            new = new if c in new.columns else new.withColumn(c, F.lit(None).cast("string"))
+        if "feedback_id" not in new.columns:
+            new = new.withColumn("feedback_id", F.xxhash64(F.lit(source), F.lit(batch), "transaction_id", "timestamp", "analyst_label", "analyst_comment"))
+        fb.append_new(lambda _: store.feedback_branch_backfill(new, self["alerts"].read()), source, batch)
+        at = fb.number_of(source, batch)
+        if not at or audit.has(source, batch, audit.version()):
+            return
+        # the verdicts of this batch among the last ones before it
+        mine = store.feedback_branch_backfill(new, self["alerts"].read()).select(*FEEDBACK.names, F.lit(True).alias("_new"))
+        ids = mine.select("transaction_id").distinct()
+        last = store.latest_feedback(fb.read(at - 1).join(ids, "transaction_id", "left_semi")).select(*FEEDBACK.names, F.lit(False).alias("_new"))
+        who = rows.select(F.col("transaction_id").alias("_t"), F.col("user_id").alias("_who")).distinct().groupBy("_t").agg(F.max("_who").alias("_who")) if "user_id" in rows.columns else None
+        out = store.audit_trail(mine.unionByName(last), keep=["_new"]).filter("_new").drop("_new")
+        if who is not None:
+            out = out.join(who, F.col("entity_id") == F.col("_t"), "left").withColumn("user_id", F.coalesce("_who", "user_id"))
+        audit.append(out, source, batch)
+
     # ---- events to silver, alerts, latencies
 
     def score(self, events: DataFrame | None = None, trigger: dict | None = None) -> StreamingQuery:
@@ -182,6 +217,18 @@ class Service:
         is gone are free when its lease is over. Returns how many rows it had."""
         return retry_round(self["dead_letters"], deliver, owner, self.now(), lease, self.settings)
 
+    def keep_retrying(self, deliver: Callable[[DataFrame], DataFrame], owner: str, every: str = "60 seconds", lease: timedelta = timedelta(minutes=5)) -> StreamingQuery:
+        """A round at every tick of a clock stream, until it is stopped. Any number of
+        workers may run side by side."""
+        ticks = self.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+        return ticks.writeStream.foreachBatch(lambda *_: self.retry(deliver, owner, lease)).trigger(processingTime=every).start()
+
+    def failed(self, sent: DataFrame, source: str = "", batch: str = "") -> None:
+        """Stores the alerts of ``sent`` that did not arrive (see
+        delivery.delivery_failures); ids come from the alert and the batch."""
+        rows = delivery.delivery_failures(sent).withColumn("id", F.xxhash64(F.lit(source), F.lit(batch), "transaction_id", "error_code"))
+        self["dead_letters"].append(rows.withColumn("created_at", F.lit(self.now())), source, batch)
+
 
 def retry_round(dead: Table, deliver: Callable[[DataFrame], DataFrame], owner: str, now: datetime, lease: timedelta, s: Settings = DEFAULTS) -> int:
     claimed = dead.rewrite(lambda t: store.dlq_claim(t, owner, now, now + lease, s))

@@ -248,3 +248,48 @@ def test_sketch_of_parts(spark):
         assert abs(r.value - exact) <= metrics.SKETCH_ERROR * exact and r.n == len(values)
     assert sorted(map(tuple, metrics.sketch_percentiles(metrics.latency_sketch(spark.createDataFrame([(v,) for v in values], "v double"), "v")).collect())) == sorted(map(tuple, whole))
     assert metrics.sketch_percentiles(sketches[0].limit(0)).count() == 0
+
+
+def test_verdicts_and_their_audit(spark, tmp_path, monkeypatch):
+    svc = Service(spark, str(tmp_path / "s"), now=lambda: NOW)
+    al = spark.createDataFrame([("t1", "b1", NOW), ("t2", "", NOW), ("t1", "later", NOW + timedelta(days=1)), (None, "x", NOW)], "transaction_id string, branch_id string, created_at timestamp")
+    svc.add_alerts(al, "api", "1")
+    svc.add_alerts(al.withColumn("branch_id", F.lit("other")), "api", "2")
+    assert sorted((r.transaction_id, r.branch_id, r.alert_type) for r in svc["alerts"].read().collect()) == [("t1", "b1", "high_risk"), ("t2", "", "high_risk")]
+    said = lambda *rows: spark.createDataFrame([(*r, "ann") for r in rows], "transaction_id string, analyst_label string, timestamp timestamp, user_id string")
+    first = said(("t1", "False Positive", NOW), ("t9", "Confirmed Fraud", NOW))
+    with monkeypatch.context() as m:  # stopped between the two tables
+        m.setattr(svc["audit"], "append", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            svc.add_feedback(first, "api", "1")
+    for _ in range(2):
+        svc.add_feedback(first, "api", "1")
+    svc.add_feedback(said(("t1", "Confirmed Fraud", NOW + timedelta(hours=1)), ("t1", None, NOW + timedelta(hours=2))).drop("user_id"), "api", "2")
+    assert sorted((r.transaction_id, r.analyst_label or "-", r.branch_id) for r in svc["feedback"].read().collect()) == [("t1", "-", "b1"), ("t1", "Confirmed Fraud", "b1"), ("t1", "False Positive", "b1"), ("t9", "Confirmed Fraud", None)]
+    label = lambda state: state and json.loads(state)["analyst_label"]
+    log = sorted((a.timestamp, a.entity_id, a.user_id, label(a.previous_state), label(a.new_state)) for a in svc["audit"].read().collect())
+    assert log == [(NOW, "t1", "ann", None, "False Positive"), (NOW, "t9", "ann", None, "Confirmed Fraud"), (NOW + timedelta(hours=1), "t1", "unknown", "False Positive", "Confirmed Fraud"), (NOW + timedelta(hours=2), "t1", "unknown", "Confirmed Fraud", None)]
+
+
+def test_failures_until_sent(spark, tmp_path, capfd):
+    """What was not delivered is stored once, and sent by a clock until it arrives."""
+    svc = Service(spark, str(tmp_path / "s"), now=lambda: NOW)
+    sent = spark.createDataFrame([("a", 200, None), ("b", 503, "busy"), ("c", None, None)], "transaction_id string, http_status int, detail string").withColumns({"failure": F.lit(None).cast("string"), **{c: F.lit(None).cast("string") for c in ("user_id", "governorate", "payment_method", "timestamp")}, "amount_tnd": F.lit(1.0), "ml_probability": F.lit(0.9)})
+    for _ in range(2):
+        svc.failed(sent, "sender", "1")
+    assert sorted((r.transaction_id, r.error_code, r.status) for r in svc["dead_letters"].read().collect()) == [("b", "503", "PENDING"), ("c", "NO_RESPONSE", "PENDING")]
+    q = svc.keep_retrying(lambda mine: mine.select("id", (F.col("attempts") > 1).alias("delivered")), "w", "1 second")
+    try:
+        for _ in range(60):
+            q.awaitTermination(1)
+            if {r.status for r in svc["dead_letters"].read().collect()} == {"SUCCESS"}:
+                break
+    finally:
+        q.stop()
+    assert [(r.status, r.attempts) for r in svc["dead_letters"].read().collect()] == [("SUCCESS", 2)] * 2
+    src = tmp_path / "in"
+    src.mkdir()
+    put(src, "a", 0, [("2024-01-01T12:00:30", "u", 6000.0, "Tunis")])
+    shown = svc.show(readers.text_source(spark, str(src)), trigger={"availableNow": True})
+    shown.awaitTermination()
+    assert shown.exception() is None
