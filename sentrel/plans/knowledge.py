@@ -54,9 +54,9 @@ def embedding_neighbours(spark, d):
 
 @query
 def document_neighbours(spark, d):
-    """For every document whose id is divisible by 50 the nearest of all documents."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    w, asked = text_vectors.fit(docs, dims=DIMS), docs.filter("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id")
+    """For every text of the benchmark the nearest of all documents."""
+    docs, asked = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    w = text_vectors.fit(docs, dims=DIMS)
     out = retrieval.topk_join(text_vectors.vectors(asked, w), text_vectors.vectors(docs, w), 3, "query_id", "doc_id", sizes=(asked.count(), docs.count()))
     return out.select("query_id", "rank", "doc_id", _shown(6))
 
@@ -98,6 +98,5 @@ FROM asked LEFT JOIN top ON top.query = question AND rank = 1 LEFT JOIN corpus c
 SQL["embedding_neighbours"] = """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings)
 SELECT query_id, vec_id, round(d, 4) + 0.0::DOUBLE AS distance FROM (SELECT q.vec_id AS query_id, c.vec_id, 1 - list_dot_product(q.v, c.v) / (q.n * c.n) AS d FROM e q JOIN e c ON q.vec_id % 50 = 0 WHERE q.n * c.n > 0
     QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY d, c.vec_id) <= 6) WHERE query_id <> vec_id"""
-SQL["document_neighbours"] = f"""WITH corpus AS (SELECT doc_id AS id, text FROM documents), {_weights('corpus')}, {_vectors('corpus', 'corpus')},
-some_v AS (SELECT * FROM corpus_v WHERE id % 50 = 0), some_n AS (SELECT * FROM corpus_n WHERE id % 50 = 0), {_nearest('some', 3)}
+SQL["document_neighbours"] = f"""WITH corpus AS (SELECT doc_id AS id, text FROM documents), asked AS (SELECT item_id AS id, text FROM benchmark), {_weights('corpus')}, {_vectors('corpus', 'corpus')}, {_vectors('asked', 'asked')}, {_nearest('asked', 3)}
 SELECT query AS query_id, CAST(rank AS INT) AS rank, id AS doc_id, round(d, 6) + 0.0::DOUBLE AS distance FROM top"""
