@@ -6,7 +6,7 @@ ends. So a row is not looked up by probes; it adds its value where its range beg
 takes it off where it ends, and running sums over the probes give all counts.
 
 Both ends of each row and the probes are dealt to chunks by (client, time). Bounds come
-from a bounded sample, so a client with many rows has many chunks. Within a chunk the
+from a sample, so a client with many rows has many chunks. Within a chunk the
 probes are ranked, ``searchsorted`` finds the first probe of each end, ``np.add.at``
 adds the values there and ``cumsum`` sums them up. Rows that cover the chunk's start
 enter as constants: every task that deals rows out knows what its rows leave open at
@@ -35,7 +35,7 @@ LABEL_DAYS = 7
 LATE = "INTERVAL 240 MINUTES"
 PROBE_SPREAD = 259_200  # seconds
 DAY = 86_400_000_000
-#: Ends that one chunk holds about; sampled rows per chunk that bounds are taken from.
+#: Ends that one chunk holds about; rows per chunk that bounds are chosen from.
 CHUNK = 500_000
 SAMPLE = 100
 
@@ -69,11 +69,8 @@ def _longs(b, name: str) -> np.ndarray:
 class Bounds:
     """Sorted keys; a key belongs to the chunk of the last bound not above it."""
 
-    def __init__(self, rows: list[tuple[int, ...]], chunks: int):
-        rows = sorted(rows)
-        step = max(1.0, len(rows) / chunks)
-        picked = sorted({rows[int(i * step)] for i in range(1, chunks) if int(i * step) < len(rows)})
-        self.keys = np.array(picked, np.int64).reshape(len(picked), len(rows[0]) if rows else 0)
+    def __init__(self, rows: list[tuple[int, ...]], width: int):
+        self.keys = np.array(sorted(set(rows)), np.int64).reshape(-1, width)
 
     def chunk(self, *key: np.ndarray) -> np.ndarray:
         """Of each key (columns in order) the number of bounds that are not above it."""
@@ -311,14 +308,24 @@ def _uncovered(table: pa.Table) -> pa.Table:
 # ---- the operator ---------------------------------------------------------------------
 
 
-def _sampled(df: DataFrame, rows: int, wanted: int) -> list[tuple[int, ...]]:
-    """At most about ``wanted`` rows, whatever the size of the table."""
-    def plain(batches):
+def _some(df: DataFrame, rows: int, wanted: int) -> DataFrame:
+    """About ``wanted`` of the ``rows``, or all."""
+    return df.sample(wanted / rows, 7) if rows > wanted else df
+
+
+def _bounds(df: DataFrame, step: int) -> Bounds:
+    """Every ``step``-th row in order. The rows are sorted in ranges; only the bounds,
+    a few numbers a chunk, reach the driver."""
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_longs(b, c)) for c in b.schema.names], b.schema.names)
+            at = np.arange((-seen - 1) % step, b.num_rows, step)
+            seen += b.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(_longs(b, c)[at]) for c in b.schema.names], b.schema.names)
 
-    part = df.sample(min(1.0, wanted / max(1, rows)), 7) if rows > wanted else df
-    return [tuple(r) for r in part.mapInArrow(plain, ", ".join(f"{c} long" for c in df.columns)).collect()]
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ordered = df.repartitionByRange(n, *df.columns).sortWithinPartitions(*df.columns)
+    return Bounds([tuple(r) for r in ordered.mapInArrow(every, ", ".join(f"{c} long" for c in df.columns)).collect()], len(df.columns))
 
 
 def features(sales: DataFrame, lines: DataFrame, clicks: DataFrame) -> DataFrame:
@@ -344,15 +351,15 @@ def features(sales: DataFrame, lines: DataFrame, clicks: DataFrame) -> DataFrame
     ln = per_day.join(known, "sale_id").select("client", begun, "sold", "n", "cents").filter(ripe)
     it = per_item.join(known, "sale_id").select("client", "item", begun, "sold").filter(ripe)
 
-    # bounds: of sampled lines (their sales by a broadcast of the sample), clicks, sales
+    # bounds: of sampled lines with their sales, clicks and sales
     wanted = SAMPLE * chunks
-    some = shipped.select("sale_id", F.coalesce("item_id", F.lit(0)).alias("item"), ntz("shipped_at").alias("at"))
-    some = some.sample(min(1.0, wanted / max(1, sizes["lines"])), 7) if sizes["lines"] > wanted else some
-    from_lines = _sampled(known.join(F.broadcast(some), "sale_id").select("client", "item", begun), 0, wanted)
-    from_clicks = _sampled(clicks.filter("client_id IS NOT NULL AND ts IS NOT NULL AND arrived_at IS NOT NULL").select(F.col("client_id").alias("client"), seen("ts").alias("lo")), sizes["clicks"], wanted)
-    from_sales = _sampled(s.select("client", "sold"), sizes["sales"], wanted)
-    heavy = [(a, t) for a, _, t in from_lines] + from_clicks + from_sales
-    by_item, by_time = Bounds(from_lines, chunks), Bounds(heavy, chunks)
+    some = _some(shipped.select("sale_id", F.coalesce("item_id", F.lit(0)).alias("item"), ntz("shipped_at").alias("at")), sizes["lines"], wanted)
+    from_lines = known.join(some, "sale_id").select("client", "item", begun)
+    from_clicks = _some(clicks.filter("client_id IS NOT NULL AND ts IS NOT NULL AND arrived_at IS NOT NULL").select(F.col("client_id").alias("client"), seen("ts").alias("lo")), sizes["clicks"], wanted)
+    from_sales = _some(s.select("client", F.col("sold").alias("lo")), sizes["sales"], wanted)
+    sampled = {k: min(n, wanted) for k, n in sizes.items()}
+    by_item = _bounds(from_lines, max(1, sampled["lines"] // chunks))
+    by_time = _bounds(from_lines.select("client", "lo").unionByName(from_clicks).unionByName(from_sales), max(1, sum(sampled.values()) // chunks))
 
     parts = it.mapInArrow(_deal_parts(by_item), PARTS).groupBy("p").applyInArrow(_uncovered, "client long, lo long, sold long, mask long")
     ends = [(s, _sales), (c, _clicks), (ln, _lines), (parts, _items)]

@@ -80,7 +80,7 @@ def test_features_of_empty_tables(spark):
 def test_bounds_order_like_tuples():
     r = random.Random(1)
     rows = [tuple(r.randint(0, 3) for _ in range(3)) for _ in range(60)]
-    b = pit.Bounds(rows, 17)
+    b = pit.Bounds(r.sample(rows, 17), 3)
     keys = [tuple(k) for k in b.keys.tolist()]
     import numpy as np
 
