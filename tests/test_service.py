@@ -3,6 +3,7 @@
 import json
 import os
 import random
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 from datetime import datetime, timedelta
 
@@ -60,6 +61,20 @@ def test_two_writers(spark, tmp_path):
         t._change(lambda old: other.append(new("x")) and new("y"), True, "", "", tries=2)
 
 
+def test_writers_side_by_side(spark, tmp_path):
+    """All commits are there, each in a version of its own."""
+    def write(k):
+        t = Table(spark, str(tmp_path / "t"), AB)
+        for i in range(4):
+            t.append(spark.range(1).selectExpr(f"{10 * k + i}L a"), f"writer{k}", str(i))
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(write, range(4)))
+    t = Table(spark, str(tmp_path / "t"), AB)
+    assert sorted(r.a for r in t.read().collect()) == [10 * k + i for k in range(4) for i in range(4)]
+    assert t.versions() == list(range(1, 17)) and len(list((tmp_path / "t").glob("data-*"))) == 16 and set(t.version().batches.values()) == {"3"}
+
+
 def test_killed_write(spark, tmp_path, monkeypatch):
     """Rows written but not committed are not there, and do not hinder the next writer."""
     t = Table(spark, str(tmp_path / "t"), AB)
