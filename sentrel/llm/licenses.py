@@ -66,8 +66,11 @@ _ORIGIN = 1 << 20
 _TEXT = 1 << 40
 
 
-def vocabulary() -> list[str]:
-    return sorted({w for _, text, keys in TEMPLATES for w in " ".join((text, *keys)).split()} | {w for phrase, _ in BASE for w in phrase.split()})
+Template = tuple[str, str, tuple[str, ...]]
+
+
+def vocabulary(templates: tuple[Template, ...] = TEMPLATES) -> list[str]:
+    return sorted({w for _, text, keys in templates for w in " ".join((text, *keys)).split()} | {w for phrase, _ in BASE for w in phrase.split()})
 
 
 def _hash(words: list[str]) -> np.ndarray:
@@ -120,10 +123,10 @@ def _starts(words: list[str], phrase: list[str]) -> int:
     return next(i for i in range(len(words)) if words[i : i + len(phrase)] == phrase)
 
 
-def weights(docs: DataFrame, text_col: str = "text") -> dict[str, int]:
+def weights(docs: DataFrame, text_col: str = "text", templates: tuple[Template, ...] = TEMPLATES) -> dict[str, int]:
     """Of each word of the vocabulary a weight that falls with its document frequency,
     1 at least. One row per word reaches the driver."""
-    words = vocabulary()
+    words = vocabulary(templates)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, rows = np.zeros(len(words), np.int64), 0
@@ -143,18 +146,51 @@ class Index:
     """For each template its rare words with their places, its key phrases, and the
     weights of all its words."""
 
-    def __init__(self, weight: dict[str, int]):
-        self.words = vocabulary()
+    def __init__(self, weight: dict[str, int], templates: tuple[Template, ...] = TEMPLATES):
+        self.words = vocabulary(templates)
         at = {w: i for i, w in enumerate(self.words)}
         self.base = [([at[w] for w in phrase.split()], label) for phrase, label in BASE]
         self.templates = []
-        for label, text, keys in TEMPLATES:
+        for label, text, keys in templates:
             t = text.split()
             rare = sorted(set(t), key=lambda w: (-weight[w], w))[:RARE]
             postings = [(at[w], [i for i, x in enumerate(t) if x == w]) for w in rare]
             phrases = [([at[w] for w in k.split()], _starts(t, k.split())) for k in keys]
             self.templates.append((label, postings, phrases, [(at[w], i, weight[w]) for i, w in enumerate(t)]))
 
+    def accepted(self, f: Found) -> Iterator[tuple[str, list, np.ndarray, np.ndarray]]:
+        """(label, words of the template, (text, band) pairs in which it stands, the
+        share of the template's weight found in each)."""
+        for label, postings, phrases, words in self.templates:
+            votes = [np.unique(np.concatenate([f.bands(f.by_word[w], i) for i in places])) for w, places in postings]
+            bands, n = np.unique(np.concatenate(votes), return_counts=True)
+            bands = bands[n >= min(NEED, len(votes))]
+            for ids, i in phrases:
+                bands = np.intersect1d(bands, f.bands(f.phrase(ids), i)) if len(bands) else bands
+            if len(bands):
+                found = sum(np.isin(bands, f.bands(f.by_word[w], i)) * weight for w, i, weight in words)
+                yield label, words, bands, found / sum(weight for *_, weight in words)
+
+    def places(self, f: Found) -> list[tuple[int, str, int, int, float]]:
+        """(text, label, first and last word, share) of each place a notice stands in;
+        of bands that overlap the one with the largest share, the first on ties."""
+        out = []
+        for label, words, bands, share in self.accepted(f):
+            run = np.cumsum(np.concatenate(([True], np.diff(bands) > 1)))
+            order = np.lexsort((bands, -share, run))
+            best = np.sort(order[np.concatenate(([True], np.diff(run[order]) > 0))])
+            b, share = bands[best], share[best]
+            low, high = np.full(len(b), np.iinfo(np.int64).max), np.full(len(b), -1)
+            for w, i, _ in words:
+                x = f.by_word[w]
+                for key in (f.text[x] * _TEXT + (f.place[x] - i) // BAND + _ORIGIN + k for k in (0, 1)):
+                    at = np.minimum(np.searchsorted(b, key), len(b) - 1)
+                    hit = b[at] == key
+                    np.minimum.at(low, at[hit], f.place[x][hit])
+                    np.maximum.at(high, at[hit], f.place[x][hit])
+            out += zip((b // _TEXT).tolist(), [label] * len(b), low.tolist(), high.tolist(), np.round(share, 6).tolist())
+        return sorted(out)
+
     def scan(self, f: Found, rows: int) -> dict[str, list]:
         n_base, score = np.zeros(rows, np.int64), np.zeros(rows)
         first, last = np.full(rows, np.iinfo(np.int64).max), np.full(rows, -1)
@@ -168,16 +204,8 @@ class Index:
             score[f.text[x]] = BASE_SCORE
             for k in np.unique(f.text[x]).tolist():
                 base[k].add(label)
-        for label, postings, phrases, words in self.templates:
-            votes = [np.unique(np.concatenate([f.bands(f.by_word[w], i) for i in places])) for w, places in postings]
-            bands, n = np.unique(np.concatenate(votes), return_counts=True)
-            bands = bands[n >= min(NEED, len(votes))]
-            for ids, i in phrases:
-                bands = np.intersect1d(bands, f.bands(f.phrase(ids), i)) if len(bands) else bands
-            if not len(bands):
-                continue
-            found = sum(np.isin(bands, f.bands(f.by_word[w], i)) * weight for w, i, weight in words)
-            np.maximum.at(score, bands // _TEXT, found / sum(weight for *_, weight in words))
+        for label, _, bands, share in self.accepted(f):
+            np.maximum.at(score, bands // _TEXT, share)
             for k in np.unique(bands // _TEXT).tolist():
                 more[k].add(label)
         none = n_base == 0
@@ -187,10 +215,28 @@ class Index:
         }
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per place in which a notice stands: id, label, first_word, last_word
+    (words from 0, of those found in the band) and share, what of the notice's weight is found there. ``templates``:
+    (label, words, key phrases that are part of the words); they and their index are
+    sent to every task, so they are as many as fit there."""
+    index = Index(weights(docs, text_col, templates), templates)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, _, buf, offs in seq.batches(b.column("_text")):
+                rows = index.places(Found(buf, offs, index.words))
+                ids = b.column("_id").take(pa.array([i + r[0] for r in rows], pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([r[1] for r in rows], pa.string()), *[pa.array([r[k] for r in rows], pa.int64()) for k in (2, 3)], pa.array([r[4] for r in rows], pa.float64())], ["_id", "label", "first_word", "last_word", "share"])
+
+    d = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
+    return d.mapInArrow(find, f"_id {d.schema['_id'].dataType.simpleString()}, label string, first_word long, last_word long, share double").withColumnRenamed("_id", id_col)
+
+
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
     """One row per input row: n_words, n_base, first_word, last_word, base_labels,
-    labels, score."""
-    index = Index(weights(docs, text_col))
+    labels, score (see find_licenses for the places)."""
+    index = Index(weights(docs, text_col, templates), templates)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

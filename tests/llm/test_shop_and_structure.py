@@ -244,6 +244,20 @@ def test_scan_against_loops(spark):
     assert by[4].first_word == 3003 and by[2].n_base == 2 and (by[None].labels, by[None].score) == ("", 0.0)
 
 
+def test_places_of_notices(spark):
+    gpl, mit = licenses.TEMPLATES[2][1], licenses.TEMPLATES[13][1]
+    docs = [(1, f"{'x ' * 30}{gpl} {'y ' * 40}{mit} z {'w ' * 50}{gpl}"), (2, None), (3, "my own terms of use apply to all that is here")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted((r.doc_id, r.label, r.first_word, r.last_word, r.share) for r in licenses.find_licenses(df).collect())
+    n, m = len(gpl.split()), len(mit.split())
+    at = [30, 30 + n + 40, 30 + n + 40 + m + 1 + 50]
+    assert got == [(1, "gpl-3.0", at[0], at[0] + n - 1, 1.0), (1, "gpl-3.0", at[2], at[2] + n - 1, 1.0), (1, "mit", at[1], at[1] + m - 1, 1.0)]
+    own = (("own", "my own terms of use apply", ("own terms of use",)),)
+    assert [(r.doc_id, r.label, r.first_word, r.last_word) for r in licenses.find_licenses(df, own).collect()] == [(3, "own", 0, 5)]
+    assert {r.doc_id: r.labels for r in licenses.scan_licenses(df, templates=own).collect()} == {1: "gpl,mit", 2: "", 3: "own"}
+    assert licenses.find_licenses(df.limit(0)).count() == 0
+
+
 def test_boilerplate_stands_alone():
     line = lambda s: quality_rules.line_is_boilerplate(s.encode(), s.encode().split())
     assert not line("We plan several design upgrades for the new bridge this year.") and not line("They may resign upon his return.") and not line("désign upé")
