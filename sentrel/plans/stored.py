@@ -7,9 +7,10 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from sentrel.config import CONFIRMED, DEFAULTS, FALSE_POSITIVE
-from sentrel.operators import drift, metrics, scoring, store
-from sentrel.plans.catalog import SPLIT, _failures, _halves, daily, query, shared_folder
-from sentrel.plans.oracle import FAILURES, RISK, SQL, TX, _windows, _with
+from sentrel.operators import drift, metrics, quality, scoring, store
+from sentrel.operators.features import sliding_features_stream
+from sentrel.plans.catalog import SPLIT, _failures, _halves, _money, _text, daily, query, shared_folder
+from sentrel.plans.oracle import FAILURES, RISK, SQL, TX, WIN_COLS, _windows, _with
 from sentrel.schemas import ALERTS, LEASED
 from sentrel.sources import adapters as ad, sinks
 from sentrel.sources.readers import encode_json, table
@@ -105,6 +106,18 @@ def stream_restart(spark, d):
     return svc["alerts"].read().select("transaction_id", "alert_type", F.round("ml_probability", 4).alias("ml_probability"))
 
 
+@query
+def stream_late_events(spark, d):
+    """Windows of a stream that sees the second half of the events first: when the first
+    half comes, its windows are closed, and its events change nothing."""
+    folder, tx = shared_folder(spark), quality.gate_pass(ad.transactions(spark, d))
+    for late in (False, True):
+        tx.filter((F.col("event_time") < F.lit(SPLIT)) == late).write.mode("append").parquet(f"{folder}/events")
+        q = sliding_features_stream(spark.readStream.schema(tx.schema).parquet(f"{folder}/events")).writeStream.outputMode("append").format("parquet")
+        q.option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/rows").trigger(availableNow=True).start().awaitTermination()
+    return _money(_text(spark.read.parquet(f"{folder}/rows"), "window_start", "window_end"), "avg_amount")
+
+
 @query
 def retrain_by_feedback(spark, d):
     """Silver rows and a verdict on each start one training; the batch runs twice, and
@@ -157,3 +170,4 @@ SQL["stream_restart"] = SQL["stream_service"]
 SQL["retrain_by_feedback"] = _with("SELECT 'v00000001' AS version_id, true AS is_champion, count(*) AS training_samples_count, 'PROMOTE' AS action, CAST(1 AS BIGINT) AS audit_rows, CAST(0 AS BIGINT) AS replaced FROM daily", *TX, "daily")
 SQL["json_export"] = _with("SELECT transaction_id, user_id, amount_tnd, branch_id, ml_probability, alert_type, strftime(created_at, '%Y-%m-%dT%H:%M:%S') AS timestamp FROM alerts", "alerts")
 SQL["drift_by_saved_reference"] = SQL["drift_mean_std"]
+SQL["stream_late_events"] = _with(f", early AS (SELECT * FROM good WHERE event_time >= TIMESTAMP '2024-01-16 00:00:00') SELECT {WIN_COLS} FROM ({_windows(300, 60, 'early')}) WHERE window_end <= (SELECT epoch(max(event_time)) - 600 FROM early)", *TX).replace(") , early", "), early")
