@@ -161,7 +161,7 @@ SQL["stream_service"] = _with(f""", readable AS (SELECT * FROM flags WHERE {BAD}
 risk AS (SELECT *, CASE WHEN v_count > 3 THEN 1.0::DOUBLE ELSE 0.0 END AS velocity_risk, CASE WHEN g_dist > 1 THEN 1.0::DOUBLE ELSE 0.0 END AS travel_risk, CASE WHEN avg_amount > 5000 THEN 1.0::DOUBLE ELSE 0.0 END AS high_value_risk,
     CASE WHEN avg_amount > 2000 AND flouci_count > 0 THEN 1.0::DOUBLE ELSE 0.0 END AS d17_risk FROM win WHERE window_end <= (SELECT epoch(max(event_time)) - 600 FROM readable)),
 named AS (SELECT user_id || '@' || strftime(to_timestamp(window_start) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') AS transaction_id, {RISK} AS p FROM risk)
-SELECT * FROM (SELECT transaction_id, CASE WHEN p > 0.85 THEN 'high_risk' WHEN p BETWEEN 0.4 AND 0.6 THEN 'uncertainty_sample' WHEN p < 0.1 AND substr(md5(transaction_id), 1, 4) < '028f' THEN 'random_sample' END AS alert_type, p AS ml_probability FROM named) WHERE alert_type IS NOT NULL""", "transactions", "flags").replace(") , readable", "), readable")
+SELECT * FROM (SELECT transaction_id, CASE WHEN p > 0.85 THEN 'high_risk' WHEN p BETWEEN 0.4 AND 0.6 THEN 'uncertainty_sample' WHEN p < 0.1 AND substr(md5(transaction_id), 1, 4) < '028f' THEN 'random_sample' END AS alert_type, p AS ml_probability FROM named) WHERE alert_type IS NOT NULL""", "transactions", "flags")
 SQL["exact_quantiles_by_type"] = f"""SELECT event_type, q, round(quantile, 6) AS quantile, n FROM (SELECT event_type, unnest([{', '.join(f'{q}::DOUBLE' for q in QUANTILES)}]) AS q, unnest(quantile_cont(value, [{', '.join(map(str, QUANTILES))}])) AS quantile, count(value) AS n FROM events WHERE event_type IS NOT NULL GROUP BY event_type HAVING n > 0)"""
 SQL["latency_sketch_percentiles"] = f"""WITH b AS (SELECT CASE WHEN value > 0 THEN CAST(ceil(ln(value) / {metrics.log_base()!r}::DOUBLE) AS INT) END AS bucket, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1),
 c AS (SELECT bucket, sum(n) OVER (ORDER BY bucket NULLS FIRST) AS cum, sum(n) OVER () AS total FROM b)
@@ -170,4 +170,4 @@ SQL["stream_restart"] = SQL["stream_service"]
 SQL["retrain_by_feedback"] = _with("SELECT 'v00000001' AS version_id, true AS is_champion, count(*) AS training_samples_count, 'PROMOTE' AS action, CAST(1 AS BIGINT) AS audit_rows, CAST(0 AS BIGINT) AS replaced FROM daily", *TX, "daily")
 SQL["json_export"] = _with("SELECT transaction_id, user_id, amount_tnd, branch_id, ml_probability, alert_type, strftime(created_at, '%Y-%m-%dT%H:%M:%S') AS timestamp FROM alerts", "alerts")
 SQL["drift_by_saved_reference"] = SQL["drift_mean_std"]
-SQL["stream_late_events"] = _with(f", early AS (SELECT * FROM good WHERE event_time >= TIMESTAMP '2024-01-16 00:00:00') SELECT {WIN_COLS} FROM ({_windows(300, 60, 'early')}) WHERE window_end <= (SELECT epoch(max(event_time)) - 600 FROM early)", *TX).replace(") , early", "), early")
+SQL["stream_late_events"] = _with(f", early AS (SELECT * FROM good WHERE event_time >= TIMESTAMP '2024-01-16 00:00:00') SELECT {WIN_COLS} FROM ({_windows(300, 60, 'early')}) WHERE window_end <= (SELECT epoch(max(event_time)) - 600 FROM early)", *TX)
