@@ -7,10 +7,10 @@ after a blank, and the next word's blank or the end tells where a word ends. Not
 else enters the score.
 
 Training: the shares of all ids in all training texts are the start; a first pass over
-about START_BYTES of whole texts, then ROUNDS passes over a fixed ``share`` of all
-training texts, which grows with the corpus. That share is trained in parts of about
-PART_BYTES side by side; each round averages the parts' models by their windows, in a
-tree of tasks.
+about START_BYTES of whole texts, then ROUNDS passes over all training texts (over a
+``share`` of them if one is asked for). They are trained in parts of about PART_BYTES
+side by side; each round averages the parts' models by their windows, in a tree of
+tasks.
 
 Word counts (for ``base_score``) and id counts come from all training texts: chunks
 send their different words to buckets, which add them up and send each chunk the
@@ -42,7 +42,7 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 END = 50256
 VOCAB = 50257
 START_BYTES = 2 << 20
-PART_BYTES = 4 << 20
+PART_BYTES = 8 << 20
 ROUNDS = 1
 FAN = 8  # models averaged by one task, and sent to the driver at last
 END_HASH = int(seq.mix(np.array([0x5E0F], dtype=U))[0])
@@ -230,7 +230,7 @@ def _text_ids(t: pa.Table, ranks) -> list[np.ndarray]:
 
 
 def pack_model(p: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([v.ravel() for v in p.values()]).astype(np.float64)
+    return np.concatenate([v.ravel() for v in p.values()]).astype(np.float32)
 
 
 def unpack_model(like: Attention, flat: np.ndarray) -> Attention:
@@ -245,12 +245,18 @@ PARTS = "part long, n double, x binary"
 
 
 def _add_models(t):
-    """Weighted sums of models, in order of part."""
+    """Weighted means of models, in order of part."""
     t = t.sort_by("part")
+    n = t.column("n").to_pylist()
+    return pa.table({"part": pa.array([t.column("part")[0].as_py() // FAN], pa.int64()), "n": pa.array([sum(n)], pa.float64()), "x": pa.array([_mean(n, t.column("x").to_pylist()).tobytes()], pa.binary())})
+
+
+def _mean(n: list[float], models: list[bytes]) -> np.ndarray:
+    """Summed up in 64 bits, one model at a time."""
     total = 0.0
-    for b in t.column("x"):
-        total = total + np.frombuffer(b.as_buffer(), np.float64)
-    return pa.table({"part": pa.array([t.column("part")[0].as_py() // FAN], pa.int64()), "n": pa.array([sum(t.column("n").to_pylist())], pa.float64()), "x": pa.array([total.tobytes()], pa.binary())})
+    for k, x in zip(n, models):
+        total = total + k * np.frombuffer(x, np.float32).astype(np.float64)
+    return (total / max(1.0, sum(n))).astype(np.float32)
 
 
 def train_parts(drawn: DataFrame, parts: int, model: Attention, ranks, seed: int, rate: float, batch: int, steps: int | None = None) -> Attention:
@@ -263,7 +269,7 @@ def train_parts(drawn: DataFrame, parts: int, model: Attention, ranks, seed: int
         n = sum(-(-len(x) // OWN) for x in ids)
         m = Attention(shared.value.lay, dict(shared.value.p))
         descend(m, ids, steps or max(1, n // batch), batch, rate, np.random.default_rng([seed, key[0].as_py()]))
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "n": pa.array([n], pa.float64()), "x": pa.array([(n * pack_model(m.p)).tobytes()], pa.binary())})
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "n": pa.array([n], pa.float64()), "x": pa.array([pack_model(m.p).tobytes()], pa.binary())})
 
     sums = drawn.groupBy("part").applyInArrow(f, PARTS)
     while parts > FAN:
@@ -271,8 +277,8 @@ def train_parts(drawn: DataFrame, parts: int, model: Attention, ranks, seed: int
         parts = -(-parts // FAN)
     rows = sorted(sums.collect(), key=lambda r: r["part"])
     shared.unpersist()
-    total = sum(r["n"] for r in rows)
-    return unpack_model(model, sum(np.frombuffer(r["x"], np.float64) for r in rows) / total) if total else model
+    n = [r["n"] for r in rows]
+    return unpack_model(model, _mean(n, [r["x"] for r in rows])) if sum(n) else model
 
 
 def _score(buckets: int, ranks, shared, big_n: int, big_v: int):
@@ -298,7 +304,7 @@ def _score(buckets: int, ranks, shared, big_n: int, big_v: int):
     return f
 
 
-def score_texts(docs: DataFrame, mod: int = 7, share: float = 0.05, start_steps: int = 400, batch: int = 256, rate: float = 0.015, tokenizer: str = TOKENIZER, id_col: str = "doc_id", text_col: str = "text", **shape) -> DataFrame:
+def score_texts(docs: DataFrame, mod: int = 7, share: float = 1.0, start_steps: int = 400, batch: int = 256, rate: float = 0.015, tokenizer: str = TOKENIZER, id_col: str = "doc_id", text_col: str = "text", **shape) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row
     per input row. Counts words and trains before the result is read; ``shape`` is
     that of the model (attention.new_model)."""
@@ -320,7 +326,8 @@ def score_texts(docs: DataFrame, mod: int = 7, share: float = 0.05, start_steps:
         parts = max(1, round(max(first, share) * size / PART_BYTES))
         u = F.pmod(F.xxhash64("_id", "_text", F.lit(77)), F.lit(1 << 30)) / F.lit(float(1 << 30))
         part = F.pmod(F.xxhash64("_id", "_text", F.lit(78)), F.lit(parts))
-        learned = graph.written(d.filter(~F.col("held_out") & (u < max(first, share))).select("_id", "_text", part.alias("part"), (u < first).alias("first")))
+        # read again rather than written: a copy of all training texts would double what the disks hold
+        learned = d.filter(~F.col("held_out") & (u < max(first, share))).select("_id", "_text", part.alias("part"), (u < first).alias("first"))
         model = train_parts(learned.filter("first").withColumn("part", F.lit(0).cast("bigint")), 1, model, ranks, 0, rate, batch, start_steps)
         for k in range(ROUNDS):
             model = train_parts(learned, parts, model, ranks, k + 1, rate, batch)

@@ -135,6 +135,28 @@ def test_lm_trains_on_a_share_that_grows(spark, docs, monkeypatch):
     assert all(a > 10 and b > 4 * a and p > 3 for (a, _, _), (b, p, _) in zip(small, large)) and all(x[2] > 0 for x in seen)
 
 
+def test_lm_trains_on_every_training_text(spark, docs, monkeypatch):
+    rows = [(r.doc_id, r.text) for r in docs.orderBy("doc_id").limit(200).collect()]
+    seen, real = [], lm.train_parts
+
+    def spy(drawn, parts, *a, **b):
+        seen.append((sorted(r[0] for r in drawn.select("_id").collect()), drawn.filter(F.col("part") >= parts).count(), parts))
+        return real(drawn, parts, *a, **b)
+
+    monkeypatch.setattr(lm, "train_parts", spy)
+    monkeypatch.setattr(lm, "START_BYTES", 10_000)
+    monkeypatch.setattr(lm, "PART_BYTES", 200_000)
+    lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), start_steps=2)
+    want = sorted(d for d, _ in rows if zlib.crc32(str(d).encode()) % 7 != 2)
+    assert len(seen) == 1 + lm.ROUNDS and all(ids == want and left == 0 and parts > 1 for ids, left, parts in seen[1:])
+
+
+def test_lm_means_of_models():
+    models = [np.array([1.0, 2.0], np.float32), np.array([4.0, 8.0], np.float32)]
+    assert lm._mean([1.0, 2.0], [m.tobytes() for m in models]).tolist() == [3.0, 6.0]
+    assert lm._mean([0.0], [models[0].tobytes()]).tolist() == [0.0, 0.0]
+
+
 def test_lm_empty(spark):
     assert lm.score_texts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
