@@ -1,6 +1,7 @@
 """Literal edge cases of the operators."""
 
 import json
+import math
 from datetime import datetime
 
 import pytest
@@ -134,6 +135,41 @@ def test_registered_training_is_whole(spark, monkeypatch):
         catalog.REGISTRY["train_challenger"](spark, "/root/testdata/sf0.001")
 
 
+def test_training_sees_counts_of_bins_not_rows(spark, monkeypatch):
+    """The trees' input does not grow with the rows, and all rows are in it."""
+    seen, real = [], ml.GBTClassifier
+
+    class Spy:
+        def __init__(self, **params):
+            self.params = params
+
+        def fit(self, df):
+            seen.append(df.agg(F.count("*"), F.sum("_n")).first())
+            return real(**self.params).fit(df)
+
+    monkeypatch.setattr(ml, "GBTClassifier", Spy)
+    for n in (2_000, 20_000):
+        rows = spark.range(n).select(
+            (F.col("id") % 7).alias("v_count"), (F.col("id") % 3).alias("g_dist"), ((F.col("id") % 200) * 10).cast("double").alias("avg_amount"),
+            F.when((F.col("id") % 7 > 4) | (F.col("id") % 200 > 150), 1).otherwise(0).alias("label"),
+        ).unionByName(spark.range(5).select(F.lit(1).alias("v_count"), F.lit(1).alias("g_dist"), F.lit(None).cast("double").alias("avg_amount"), F.lit(1).alias("label")))
+        model = ml.train(rows, trees=3)
+        got = ml.evaluate(model, rows).first()
+        plain = scoring.score(rows, model).select("label", "ml_probability", F.col("ml_prediction").alias("prediction"))
+        assert got == metrics.confusion_metrics(plain).crossJoin(metrics.auc_rank(plain)).first() and got.tp + got.fp + got.tn + got.fn == n and got.f1 > 0.95
+        assert not [c for c in scoring.score(rows, model).columns if c.startswith("_")]
+    assert [s[1] for s in seen] == [2_000, 20_000] and seen[0][0] <= seen[1][0] <= 7 * 3 * ml.BINS * 2
+
+
+def test_bin_edges_are_exact(spark):
+    rows = spark.range(1000).select((F.col("id") % 3).cast("double").alias("few"), F.col("id").cast("double").alias("many"), F.lit(5.0).alias("one"), F.when(F.col("id") < 900, 0.0).otherwise(F.col("id")).cast("double").alias("heavy"))
+    want = {"few": [1.0, 2.0], "many": [math.nextafter(100.0 * k - 1, math.inf) for k in range(1, 10)], "one": [5.0], "heavy": [math.nextafter(0.0, math.inf)]}
+    for df in (rows, rows.repartition(7)):
+        got = ml.bin_edges(df, rows.columns, 10)
+        assert got == want
+    assert ml.bin_edges(rows.filter("few < 0"), rows.columns, 10)["many"] == [0.0]
+
+
 def test_importance_text(spark):
     from sentrel.operators.reports import parse_importance
 
