@@ -24,6 +24,7 @@ _I, _J = np.arange(OWN)[:, None] + OWN, np.arange(2 * OWN)[None, :]
 MASK = np.where(_J <= _I, 0, -1e9).astype(np.float32)
 REL = np.clip(_I - _J, 0, 2 * OWN - 1)
 LEAST = 5
+RUN = 4  # blocks that follow each other in a row of a training batch and share what they see
 
 
 def ranges(s: np.ndarray, e: np.ndarray) -> np.ndarray:
@@ -47,6 +48,15 @@ def windows(offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return inputs, valid, target
 
 
+def spread(n: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Texts of ``n`` ids each in one sequence of blocks of OWN, a block without inputs
+    before each text, so no window sees the text before: (places of all ids, of each
+    text's first, number of blocks)."""
+    blocks = -(-n // OWN) + 1
+    first = (np.cumsum(blocks) - blocks) * OWN + OWN
+    return ranges(first, first + n), first, int(blocks.sum())
+
+
 @dataclass
 class Layout:
     """Which input row, class and place in its class each id has."""
@@ -102,6 +112,12 @@ class Attention:
         e = p["E"]
         self.q, self.k, self.v = e @ p["Q"] / np.float32(np.sqrt(e.shape[1])), e @ p["K"], e @ p["V"]
         self.s1, self.s2 = e @ p["S1"], e @ p["S2"]
+        self.learning()
+
+    def learning(self) -> None:
+        """What training derives from the parameters in each step."""
+        p = self.p
+        self.all = np.concatenate((p["K"], p["V"], p["Q"] / np.float32(np.sqrt(len(p["Q"]))), p["S1"], p["S2"]), axis=1)
         self.bias = MASK + p["R"][REL]
         self._table = None
 
@@ -118,23 +134,39 @@ class Attention:
         return self._table
 
     def hidden(self, rows: np.ndarray, valid: np.ndarray):
-        """rows, valid: (windows, 2 OWN); states of the last OWN: attended, first, hidden, last."""
-        s = self.q[rows[:, OWN:]] @ self.k[rows].transpose(0, 2, 1)
-        s += self.bias
-        if not valid.all():
-            s += np.where(valid, np.float32(0), np.float32(-1e9))[:, None, :]
-        s -= s.max(axis=2, keepdims=True)
-        a = np.exp(s, out=s)
-        a /= a.sum(axis=2, keepdims=True)
-        h1 = a @ self.v[rows]
-        h1 += self.p["E"][rows[:, OWN:]]
-        h1 += self.s1[rows[:, OWN - 1 : -1]]
-        h1 += self.s2[rows[:, OWN - 2 : -2]]
-        h1 = h1.reshape(-1, h1.shape[2])
-        g = h1 @ self.p["U"]
-        g += self.p["c"]
+        """rows, valid: (runs, inputs), a run being a block of OWN inputs and the blocks to
+        score after it, each of which sees itself and the block before; of all blocks but
+        the first: attended, first, hidden, last."""
+        return self.forward(rows, valid)[-1]
+
+    def forward(self, rows: np.ndarray, valid: np.ndarray):
+        """(embeddings; queries, keys and values by window; what attention gives; all states)."""
+        p, d = self.p, self.q.shape[1]
+        e = p["E"].take(rows.ravel(), axis=0)
+        x = (e @ self.all).reshape(len(rows), -1, self.all.shape[1])
+        q, k, v = x[:, OWN:, 2 * d : 3 * d].reshape(-1, OWN, d), _pairs(x[:, :, :d]), _pairs(x[:, :, d : 2 * d])
+        shut = None if valid.all() else _pairs(np.where(valid, np.float32(0), np.float32(-1e9))[:, :, None]).transpose(0, 2, 1)
+
+        def scores():
+            s = q @ k.transpose(0, 2, 1)
+            s += self.bias
+            if shut is not None:
+                s += shut
+            return s
+
+        a, total = _exp(scores)
+        a *= (1 / total)[..., None]
+        seen = a @ v
+        h1 = seen.reshape(len(rows), -1, d) + e.reshape(len(rows), -1, d)[:, OWN:]
+        h1 += x[:, OWN - 1 : -1, 3 * d : 4 * d]
+        h1 += x[:, OWN - 2 : -2, 4 * d :]
+        h1 = h1.reshape(-1, d)
+        g = h1 @ p["U"]
+        g += p["c"]
         np.maximum(g, 0, out=g)
-        return a, h1, g, h1 + g @ self.p["W"]
+        h = g @ p["W"]
+        h += h1
+        return e, (q, k, v), seen, (a, h1, g, h)
 
     def groups(self, cls: np.ndarray):
         """(class, members) for the classes with output vectors among ``cls``."""
@@ -253,100 +285,183 @@ def new_model(counts: np.ndarray, end: int, dim: int = 24, hidden: int = 64, see
 
 def _scatter(rows: np.ndarray, d: np.ndarray, out: np.ndarray) -> None:
     """out[rows] += d with repeated rows."""
-    order = np.argsort(rows, kind="stable")
+    order = np.argsort(rows.astype(np.uint16) if len(out) < 1 << 16 else rows, kind="stable")
     r = rows[order]
     at = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
-    out[r[at]] += np.add.reduceat(d[order], at, axis=0)
+    out[r[at]] += np.add.reduceat(d.take(order, axis=0), at, axis=0)
+
+
+def _pairs(x: np.ndarray) -> np.ndarray:
+    """(runs, inputs, width) as windows of two blocks that follow each other; a copy."""
+    r, n, d = x.shape
+    x = x.reshape(r, n // OWN, OWN, d)
+    return np.concatenate((x[:, :-1], x[:, 1:]), axis=2).reshape(-1, 2 * OWN, d)
+
+
+def _exp(make) -> tuple[np.ndarray, np.ndarray]:
+    """(exponentials of the scores that ``make`` gives, their sums along the last axis);
+    a maximum is taken off only where 32 bits need it."""
+    z = make()
+    with np.errstate(over="ignore"):
+        np.exp(z, out=z)
+        total = z @ np.ones(z.shape[-1], np.float32)
+    if len(z) and not ((total < LARGE) & (total > 1 / LARGE)).all():
+        z = make()
+        z -= z.max(axis=-1, keepdims=True)
+        np.exp(z, out=z)
+        total = z @ np.ones(z.shape[-1], np.float32)
+    return z, total
+
+
+def _errors(h: np.ndarray, w: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the softmax of each row of ``h @ w``: (gradient of -log of the place ``at``
+    times n, its probability)."""
+    z, total = _exp(lambda: np.matmul(h, w, out=_scratch(len(h), w.shape[1])))
+    i = np.arange(len(z))
+    own = z[i, at] / total
+    z *= (n / total)[:, None]
+    z[i, at] -= n
+    return z, own
+
+
+def _errors_inside(model: Attention, h: np.ndarray, cls: np.ndarray, place: np.ndarray, n: np.ndarray, safe: bool = False):
+    """As ``_errors``, of the ids within their classes, rows in order of class: (gradients of
+    output vectors and biases, of the states, probabilities)."""
+    p, cuts = model.p, model.lay.cuts
+    ii = np.column_stack((p["I"], p["i"]))
+    out, back = np.zeros_like(ii), np.empty((len(h), h.shape[1] - 1), np.float32)
+    own, total = np.empty(len(h), np.float32), np.empty(len(h), np.float32)
+    place = place - cuts[cls]
+    every, one = np.arange(len(h)), np.ones(int(np.diff(cuts).max()), np.float32)
+    first = np.flatnonzero(np.diff(cls, prepend=-1)).tolist()
+    with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
+        for i, j in zip(first, [*first[1:], len(h)]):
+            s, e = cuts[cls[i] : cls[i] + 2].tolist()
+            m, x, at = n[i:j], h[i:j], (every[: j - i], place[i:j])
+            y = np.matmul(x, ii[s:e].T, out=_scratch(j - i, e - s))
+            if safe:
+                y -= y.max(axis=1, keepdims=True)
+            np.exp(y, out=y)
+            own[i:j] = y[at]
+            y *= (m / np.matmul(y, one[: e - s], out=total[i:j]))[:, None]
+            y[at] -= m
+            np.matmul(y.T, x, out=out[s:e])
+            np.matmul(y, p["I"][s:e], out=back[i:j])
+    if not safe and not ((total < LARGE) & (total > 1 / LARGE)).all():
+        return _errors_inside(model, h, cls, place + cuts[cls], n, True)
+    return out, back, own / total
 
 
 def gradients(model: Attention, rows: np.ndarray, valid: np.ndarray, ids: np.ndarray, there: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """(mean loss, gradients) of -log probability of the targets that are ``there``."""
+    """(mean loss, gradients) of -log probability of the targets that are ``there``, of
+    runs as in Attention.hidden."""
     p, lay = model.p, model.lay
-    a, h1, g, h = model.hidden(rows, valid)
+    e, (q, k, v), seen, (a, h1, g, h) = model.forward(rows, valid)
+    d = h.shape[1]
     t, w = ids.ravel(), there.ravel()
-    n = np.float32(1 / max(1, int(w.sum())))
+    n = np.where(w, np.float32(1 / max(1, int(w.sum()))), np.float32(0))
     cls = lay.class_of[t]
-    z = h @ p["O"] + p["b"]
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    at = np.arange(len(t))
-    loss = -np.log(np.maximum(z[at, cls], 1e-30))[w].sum() - lay.inside[t][w].sum()
-    z[at, cls] -= 1
-    z *= (w * n)[:, None]
-    out = {"O": h.T @ z, "b": z.sum(axis=0), "I": np.zeros_like(p["I"]), "i": np.zeros_like(p["i"])}
+    one = np.ones((len(h), 1), np.float32)
+    h = np.concatenate((h, one), axis=1)
+    z, own = _errors(h, np.vstack((p["O"], p["b"])), cls, n)
+    ob = h.T @ z
     dh = z @ p["O"].T
-    seen = np.where(w, cls, -1)
-    for s, e, m in model.groups(seen):
-        if seen[m[0]] < 0:
-            continue
-        hm = h[m]
-        y = hm @ p["I"][s:e].T + p["i"][s:e]
-        y -= y.max(axis=1, keepdims=True)
-        np.exp(y, out=y)
-        y /= y.sum(axis=1, keepdims=True)
-        k = lay.place[t[m]] - s
-        loss -= np.log(np.maximum(y[np.arange(len(m)), k], 1e-30)).sum()
-        y[np.arange(len(m)), k] -= 1
-        y *= n
-        out["I"][s:e] = y.T @ hm
-        out["i"][s:e] = y.sum(axis=0)
-        dh[m] += y @ p["I"][s:e]
-    out["W"] = g.T @ dh
-    dg = (dh @ p["W"].T) * (g > 0)
-    out["U"], out["c"] = h1.T @ dg, dg.sum(axis=0)
-    dh1 = (dh + dg @ p["U"].T).reshape(len(rows), OWN, -1)
-    d = dh1.shape[2]
-    v, k, q = model.v[rows], model.k[rows], model.q[rows[:, OWN:]]
-    da = dh1 @ v.transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ dh1
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True))
+    loss = -np.log(np.maximum(own[w], 1e-30)).sum() - lay.inside[t[w]].sum()
+    inside = np.flatnonzero(w & (np.diff(lay.cuts) > 0)[cls])
+    order = inside[np.argsort(cls[inside].astype(np.int16), kind="stable")]
+    d_ii, back, prob = _errors_inside(model, h.take(order, axis=0), cls[order], lay.place[t[order]], n[order])
+    loss -= np.log(np.maximum(prob, 1e-30)).sum()
+    dh[order] += back
+    out = {"O": ob[:-1], "b": ob[-1], "I": d_ii[:, :-1], "i": d_ii[:, -1], "W": g.T @ dh}
+    dg = dh @ p["W"].T
+    dg *= g > 0
+    uc = np.concatenate((h1, one), axis=1).T @ dg
+    out["U"], out["c"] = uc[:-1], uc[-1]
+    dh1 = dg @ p["U"].T
+    dh1 += dh
+    dw = dh1.reshape(-1, OWN, d)
+    ds = dw @ v.transpose(0, 2, 1)
+    ds -= np.einsum("nid,nid->ni", dw, seen)[:, :, None]  # a @ v is ``seen``
+    ds *= a
     out["R"] = np.bincount(REL.ravel(), weights=ds.sum(axis=0).ravel(), minlength=2 * OWN).astype(np.float32)
-    dq, dk = ds @ k / np.float32(np.sqrt(d)), ds.transpose(0, 2, 1) @ q
-    e_all = p["E"][rows]
-    flat = lambda x: x.reshape(-1, d)
-    own, one, two = e_all[:, OWN:], e_all[:, OWN - 1 : -1], e_all[:, OWN - 2 : -2]
-    f1 = flat(dh1)
-    out["Q"], out["K"], out["V"] = flat(own).T @ flat(dq), flat(e_all).T @ flat(dk), flat(e_all).T @ flat(dv)
-    out["S1"], out["S2"] = flat(one).T @ f1, flat(two).T @ f1
-    de = dk @ p["K"].T + dv @ p["V"].T
-    de[:, OWN:] += dq @ p["Q"].T + dh1
-    de[:, OWN - 1 : -1] += dh1 @ p["S1"].T
-    de[:, OWN - 2 : -2] += dh1 @ p["S2"].T
+    # gradients of all projections of an input side by side, as in Attention.all
+    r, size = rows.shape
+    dx = np.zeros((r, size, 5 * d), np.float32)
+    for i, y in ((0, ds.transpose(0, 2, 1) @ q), (d, a.transpose(0, 2, 1) @ dw)):
+        y = y.reshape(r, -1, 2, OWN, d)
+        b = dx.reshape(r, -1, OWN, 5 * d)[..., i : i + d]
+        b[:, :-1] = y[:, :, 0]
+        b[:, 1:] += y[:, :, 1]
+    dr = dh1.reshape(r, -1, d)
+    dx[:, OWN:, 2 * d : 3 * d] = (ds @ k).reshape(r, -1, d)
+    dx[:, OWN - 1 : -1, 3 * d : 4 * d] = dr
+    dx[:, OWN - 2 : -2, 4 * d :] = dr
+    dx = dx.reshape(-1, 5 * d)
+    de = dx @ model.all.T
+    de.reshape(r, size, d)[:, OWN:] += dr
+    for name, y in zip("KVQ", np.split(m := e.T @ dx, 5, axis=1)):
+        out[name] = y / np.float32(np.sqrt(d)) if name == "Q" else y
+    out["S1"], out["S2"] = m[:, 3 * d : 4 * d], m[:, 4 * d :]
     out["E"] = np.zeros_like(p["E"])
-    _scatter(rows.ravel(), flat(de), out["E"])
-    return float(loss) * float(n), out
-
-
-def descend(model: Attention, texts_ids: list[np.ndarray], steps: int, batch: int, rate: float, rng: np.random.Generator) -> Attention:
-    """Adam on batches of windows, each pass over all windows of the texts in an order
-    of its own; ``model`` changes. Without texts it stays as it is."""
+    _scatter(rows.ravel(), de, out["E"])
+    return float(loss) / max(1, int(w.sum())), out
+
+
+def runs(texts_ids: list[np.ndarray], lay: Layout) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(input rows, valid, target ids, there) of all texts in runs of RUN blocks, each
+    with the block before; a row of the first two is a view of memory that it shares."""
+    n = np.array([len(t) for t in texts_ids])
+    at, first, blocks = spread(n)
+    many = -(-(blocks - 1) // RUN)
+    size = (many * RUN + 1) * OWN
+    rows, valid = np.full(size + 1, lay.row_of[lay.end], np.int32), np.zeros(size, bool)
+    target, there = np.full(size, lay.end, np.int32), np.zeros(size, bool)
+    target[at] = np.concatenate(texts_ids)
+    rows[at + 1] = lay.row_of[target[at]]
+    rows[first + n] = lay.row_of[lay.end]  # the last id is no input
+    valid[at] = there[at] = True
+    with_before = lambda x: as_strided(x, (many, (RUN + 1) * OWN), (RUN * OWN * x.itemsize, x.itemsize))
+    return with_before(rows), with_before(valid), target[OWN:].reshape(many, -1), there[OWN:].reshape(many, -1)
+
+
+def descend(model: Attention, texts_ids: list[np.ndarray], steps: int | None, batch: int, rate: float, rng: np.random.Generator) -> Attention:
+    """Adam on batches of about ``batch`` blocks, for ``steps`` or over all texts once,
+    each pass over all runs in an order of its own; ``model`` changes. Without texts it
+    stays as it is."""
     texts_ids = [t for t in texts_ids if len(t)]
-    if not texts_ids or steps < 1:
+    if not texts_ids or (steps is not None and steps < 1):
         return model
-    ids = np.concatenate(texts_ids)
-    x, valid, y = windows(np.concatenate(([0], np.cumsum([len(t) for t in texts_ids]))))
-    ids = np.append(ids, model.lay.end)
-    p = model.p = {k: v.copy() for k, v in model.p.items()}
-    m1, m2 = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
+    x, valid, y, there = runs(texts_ids, model.lay)
+    batch = max(1, batch // RUN)
+    steps = steps or -(-len(x) // batch)
+    names, shapes = list(model.p), [v.shape for v in model.p.values()]
+    ends = np.cumsum([v.size for v in model.p.values()]).tolist()
+    flat = np.concatenate([v.ravel() for v in model.p.values()])
+    model.p = {k: flat[e - int(np.prod(z)) : e].reshape(z) for k, z, e in zip(names, shapes, ends)}
+    a, b, grad, root = (np.zeros_like(flat) for _ in range(4))
     order, at = rng.permutation(len(x)), 0
     for step in range(1, steps + 1):
         if at >= len(order):
             order, at = rng.permutation(len(x)), 0
         pick = order[at : at + batch]
         at += batch
-        model.prepare()
-        _, g = gradients(model, model.lay.row_of[ids[x[pick]]], valid[pick], ids[y[pick]], y[pick] >= 0)
+        model.learning()
+        _, g = gradients(model, x[pick], valid[pick], y[pick], there[pick])
+        np.concatenate([g[k].ravel() for k in names], out=grad)
         lr = rate * min(1.0, step / 20) * (1 - 0.9 * step / steps)
         one, two = 1 - 0.9**step, 1 - 0.98**step
-        for name, grad in g.items():
-            a, b = m1[name], m2[name]
-            a *= np.float32(0.9)
-            a += np.float32(0.1) * grad
-            grad *= grad
-            b *= np.float32(0.98)
-            b += np.float32(0.02) * grad
-            p[name] -= np.float32(lr / one) * a / (np.sqrt(b) * np.float32(1 / np.sqrt(two)) + np.float32(1e-8))
+        a *= np.float32(0.9)
+        a += np.multiply(grad, np.float32(0.1), out=root)
+        grad *= grad
+        b *= np.float32(0.98)
+        grad *= np.float32(0.02)
+        b += grad
+        np.sqrt(b, out=root)
+        root *= np.float32(1 / np.sqrt(two))
+        root += np.float32(1e-8)
+        np.divide(a, root, out=root)
+        root *= np.float32(lr / one)
+        flat -= root
     model.prepare()
     return model
 
@@ -355,12 +470,10 @@ def id_scores(model: Attention, ids: np.ndarray, offs: np.ndarray, batch: int =
     """Natural log probability of every id, each text from its own start: a block
     without inputs goes before each text, so no window sees the text before."""
     n = np.diff(offs)
-    blocks = -(-n // OWN) + 1
-    first = (np.cumsum(blocks) - blocks) * OWN + OWN
-    at = ranges(first, first + n)
+    at, first, blocks = spread(n)
     if not len(at):
         return np.zeros(0)
-    size = int(blocks.sum()) * OWN
+    size = blocks * OWN
     rows = np.full(size + 1, model.lay.row_of[model.lay.end])
     shut = np.full(size, -1e9, np.float32)
     rows[at + 1] = model.lay.row_of[ids]

@@ -260,7 +260,7 @@ def _mean(n: list[float], models: list[bytes]) -> np.ndarray:
 
 
 def train_parts(drawn: DataFrame, parts: int, model: Attention, ranks, seed: int, rate: float, batch: int, steps: int | None = None) -> Attention:
-    """Every part (column ``part`` below ``parts``) goes on from ``model`` over its
+    """Every part (column ``part`` below ``parts``) goes on from ``model`` over all its
     windows once, or for ``steps``; the parts' models are averaged by their windows."""
     shared = drawn.sparkSession.sparkContext.broadcast(model)
 
@@ -268,10 +268,11 @@ def train_parts(drawn: DataFrame, parts: int, model: Attention, ranks, seed: int
         ids = _text_ids(t, ranks.value)
         n = sum(-(-len(x) // OWN) for x in ids)
         m = Attention(shared.value.lay, dict(shared.value.p))
-        descend(m, ids, steps or max(1, n // batch), batch, rate, np.random.default_rng([seed, key[0].as_py()]))
+        descend(m, ids, steps, batch, rate, np.random.default_rng([seed, key[0].as_py()]))
         return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "n": pa.array([n], pa.float64()), "x": pa.array([pack_model(m.p).tobytes()], pa.binary())})
 
-    sums = drawn.groupBy("part").applyInArrow(f, PARTS)
+    # more partitions than parts, as a task that gets several parts by chance ends late
+    sums = drawn.repartition(parts + 200, "part").groupBy("part").applyInArrow(f, PARTS)
     while parts > FAN:
         sums = sums.groupBy(F.floor(F.col("part") / FAN).alias("g")).applyInArrow(_add_models, PARTS)
         parts = -(-parts // FAN)
@@ -331,6 +332,7 @@ def score_texts(docs: DataFrame, mod: int = 7, share: float = 1.0, start_steps:
         model = train_parts(learned.filter("first").withColumn("part", F.lit(0).cast("bigint")), 1, model, ranks, 0, rate, batch, start_steps)
         for k in range(ROUNDS):
             model = train_parts(learned, parts, model, ranks, k + 1, rate, batch)
+        spark.sparkContext._jvm.System.gc()  # the shuffled training texts go from the disks (see graph.written)
     shared = spark.sparkContext.broadcast(model)
     out = by_chunk.cogroup(totals.select("chunk", "bucket", "c").groupBy("chunk")).applyInArrow(_score(buckets, ranks, shared, sums["n"], sums["v"]), "_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("_id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(sums["n"]).cast("bigint").alias("train_tokens"), "base_score", "score")

@@ -106,6 +106,45 @@ def test_gradients_by_difference():
         assert abs((sides[0] - sides[1]) / 2e-3 - float((g[name] * d).sum())) < 2e-3 + 0.03 * abs(float((g[name] * d).sum())), name
 
 
+def texts_of(sizes, seed=4):
+    return [np.random.default_rng([seed, i]).integers(0, 300, n) for i, n in enumerate(sizes)]
+
+
+def test_runs_train_as_windows_do():
+    model, _ = small_model()
+    texts = texts_of((1, 16, 17, 0, 130, 64, 5))
+    ids, offs = np.append(np.concatenate(texts), 399), np.cumsum([0, *map(len, texts)])
+    x, valid, y = at.windows(offs)
+    loss, g = at.gradients(model, model.lay.row_of[ids[x]], valid, ids[y], y >= 0)
+    many = at.runs([t for t in texts if len(t)], model.lay)
+    loss2, g2 = at.gradients(model, *many)
+    assert abs(loss - loss2) < 1e-5 and all(np.allclose(g[k], g2[k], atol=1e-5) and np.abs(g[k]).max() > 1e-4 for k in g)
+    # scores that do not fit 32 bits without their maximum taken off
+    for k, by in (("O", 300), ("I", 300), ("Q", 3000)):
+        model.p[k] *= np.float32(by)
+    model.prepare()
+    loss, g = at.gradients(model, *many)
+    assert math.isfinite(loss) and all(np.isfinite(v).all() for v in g.values())
+
+
+def test_training_sees_every_id_once(monkeypatch):
+    model, _ = small_model()
+    texts = texts_of([37] * 90 + [700])
+    seen, read, real = [], [], at.gradients
+
+    def spy(m, rows, valid, ids, there):
+        seen.extend(ids[there].tolist())
+        read.append(rows.size)
+        return real(m, rows, valid, ids, there)
+
+    monkeypatch.setattr(at, "gradients", spy)
+    at.descend(model, texts, None, 64, 0.01, np.random.default_rng(0))
+    assert sorted(seen) == sorted(np.concatenate(texts).tolist())
+    seen.clear(), read.clear()
+    at.descend(model, texts_of([5000]), None, 64, 0.01, np.random.default_rng(0))
+    assert len(seen) == 5000 and sum(read) < 1.3 * 5000  # and reads few inputs twice
+
+
 def test_lm_counts_pass_32_bits():
     big = np.array([3_000_000_000, 0, 5], np.int64)
     assert lm.grow(pa.scalar(lm.shrink(big))).tolist() == big.tolist()
