@@ -24,7 +24,8 @@ _I, _J = np.arange(OWN)[:, None] + OWN, np.arange(2 * OWN)[None, :]
 MASK = np.where(_J <= _I, 0, -1e9).astype(np.float32)
 REL = np.clip(_I - _J, 0, 2 * OWN - 1)
 LEAST = 5
-RUN = 1  # blocks of a row of a training batch; more share what they see, but are less mixed: 4 trained worse
+RUN = 4  # blocks of a row of a training batch, which share what they see
+STEP = 4096  # targets whose states and gradients are in memory at a time
 
 
 def ranges(s: np.ndarray, e: np.ndarray) -> np.ndarray:
@@ -117,20 +118,23 @@ class Attention:
     def learning(self) -> None:
         """What training derives from the parameters in each step."""
         p = self.p
-        self.all = np.concatenate((p["K"], p["V"], p["Q"] / np.float32(np.sqrt(len(p["Q"]))), p["S1"], p["S2"]), axis=1)
+        # scores of queries against keys are those of q against embeddings, and attended
+        # values those of attended embeddings: only targets are projected
+        self.qk = p["Q"] @ p["K"].T / np.float32(np.sqrt(len(p["Q"])))
+        self.vs = np.concatenate((p["V"], p["S1"], p["S2"]))
         self.bias = MASK + p["R"][REL]
+        self.ob, self.ii = np.vstack((p["O"], p["b"])), np.column_stack((p["I"], p["i"]))
         self._table = None
 
     def table(self) -> np.ndarray:
-        """All that an input brings to a window, one row each: key, value, 1, query,
-        embedding and its two projections. With it come the layers' weights, their
-        biases as a row of the 1 that stays the last column of a state."""
+        """What attention takes of an input, one row each: key, value, 1, query. With it
+        come the layers' weights, their biases as a row of the 1 that stays the last column
+        of a state."""
         if self._table is None:
             p = self.p
-            self._table = np.concatenate((self.k, self.v, np.ones((len(self.k), 1), np.float32), self.q, p["E"], self.s1, self.s2), axis=1)
+            self._table = np.concatenate((self.k, self.v, np.ones((len(self.k), 1), np.float32), self.q), axis=1)
             self.uc = np.vstack((p["U"], p["c"]))
             self.w0 = np.concatenate((p["W"], np.zeros((len(p["W"]), 1), np.float32)), axis=1)
-            self.ob, self.ii = np.vstack((p["O"], p["b"])), np.column_stack((p["I"], p["i"]))
         return self._table
 
     def hidden(self, rows: np.ndarray, valid: np.ndarray):
@@ -140,33 +144,38 @@ class Attention:
         return self.forward(rows, valid)[-1]
 
     def forward(self, rows: np.ndarray, valid: np.ndarray):
-        """(embeddings; queries, keys and values by window; what attention gives; all states)."""
-        p, d = self.p, self.q.shape[1]
-        e = p["E"].take(rows.ravel(), axis=0)
-        x = (e @ self.all).reshape(len(rows), -1, self.all.shape[1])
-        q, k, v = x[:, OWN:, 2 * d : 3 * d].reshape(-1, OWN, d), _pairs(x[:, :, :d]), _pairs(x[:, :, d : 2 * d])
-        shut = None if valid.all() else _pairs(np.where(valid, np.float32(0), np.float32(-1e9))[:, :, None]).transpose(0, 2, 1)
+        """(embeddings, the same by window; queries; attention below space for gradients
+        of its scores; what V, S1 and S2 take; all states)."""
+        p, r, d = self.p, len(rows), self.q.shape[1]
+        e = p["E"].take(rows.ravel(), axis=0).reshape(r, -1, d)
+        w = _windows(e)
+        own = e[:, OWN:].reshape(-1, d)
+        q = (own @ self.qk).reshape(r, -1, OWN, d)
+        both = np.empty((*w.shape[:2], 2 * OWN, 2 * OWN), np.float32)
+        a = both[:, :, OWN:]
+        shut = None if valid.all() else _windows(np.where(valid, np.float32(0), np.float32(-1e9))[:, :, None]).swapaxes(2, 3)
 
         def scores():
-            s = q @ k.transpose(0, 2, 1)
-            s += self.bias
+            np.matmul(q, w.swapaxes(2, 3), out=a)
+            np.add(a, self.bias, out=a)
             if shut is not None:
-                s += shut
-            return s
+                np.add(a, shut, out=a)
+            return a
 
-        a, total = _exp(scores)
+        _, total = _exp(scores)
         a *= (1 / total)[..., None]
-        seen = a @ v
-        h1 = seen.reshape(len(rows), -1, d) + e.reshape(len(rows), -1, d)[:, OWN:]
-        h1 += x[:, OWN - 1 : -1, 3 * d : 4 * d]
-        h1 += x[:, OWN - 2 : -2, 4 * d :]
-        h1 = h1.reshape(-1, d)
+        x = np.empty((r, own.size // d // r, 3 * d), np.float32)
+        np.matmul(a, w, out=x.reshape(*q.shape[:3], 3 * d)[..., :d])
+        x[:, :, d : 2 * d], x[:, :, 2 * d :] = e[:, OWN - 1 : -1], e[:, OWN - 2 : -2]
+        x = x.reshape(-1, 3 * d)
+        h1 = x @ self.vs
+        h1 += own
         g = h1 @ p["U"]
         g += p["c"]
-        np.maximum(g, 0, out=g)
+        g *= g > 0
         h = g @ p["W"]
         h += h1
-        return e, (q, k, v), seen, (a, h1, g, h)
+        return e, w, q, both, x, (h1, g, h)
 
     def groups(self, cls: np.ndarray):
         """(class, members) for the classes with output vectors among ``cls``."""
@@ -179,9 +188,9 @@ class Attention:
             if cuts[c + 1] > cuts[c]:
                 yield int(cuts[c]), int(cuts[c + 1]), order[i:j]
 
-    def states(self, x: np.ndarray, shut: np.ndarray) -> np.ndarray:
-        """As ``hidden`` for inputs in blocks of OWN: rows ``x`` of ``table`` and what is
-        added to their scores (0, or much below 0 where no input is). Each window is
+    def states(self, rows: np.ndarray, x: np.ndarray, shut: np.ndarray) -> np.ndarray:
+        """As ``hidden`` for inputs in blocks of OWN: their ``rows``, those of ``table`` and
+        what is added to their scores (0, or much below 0 where no input is). Each window is
         a view of two blocks that follow each other; states of all blocks but the first,
         each with a 1 after it."""
         d, n = self.q.shape[1], len(x) // OWN - 1
@@ -203,12 +212,12 @@ class Attention:
         if not (h[:, -1] < LARGE).all():
             h = attended(True)
         h /= h[:, -1:] + np.float32(1e-30)
-        h1 = h[:, :-1]
-        h1 += own[:, 3 * d + 1 : 4 * d + 1]
-        h1 += x[OWN - 1 : -1, 4 * d + 1 : 5 * d + 1]
-        h1 += x[OWN - 2 : -2, 5 * d + 1 :]
+        own = self.p["E"].take(rows[OWN:], axis=0)
+        own += self.s1.take(rows[OWN - 1 : -1], axis=0)
+        own += self.s2.take(rows[OWN - 2 : -2], axis=0)
+        h[:, :-1] += own
         g = h @ self.uc
-        np.maximum(g, 0, out=g)
+        g *= g > 0
         h += g @ self.w0
         return h
 
@@ -291,11 +300,12 @@ def _scatter(rows: np.ndarray, d: np.ndarray, out: np.ndarray) -> None:
     out[r[at]] += np.add.reduceat(d.take(order, axis=0), at, axis=0)
 
 
-def _pairs(x: np.ndarray) -> np.ndarray:
-    """(runs, inputs, width) as windows of two blocks that follow each other; a copy."""
+def _windows(x: np.ndarray) -> np.ndarray:
+    """(runs, inputs, width) as (runs, windows, inputs, width), a window being two blocks
+    that follow each other; a view."""
     r, n, d = x.shape
-    x = x.reshape(r, n // OWN, OWN, d)
-    return np.concatenate((x[:, :-1], x[:, 1:]), axis=2).reshape(-1, 2 * OWN, d)
+    s = x.strides
+    return as_strided(x, (r, n // OWN - 1, 2 * OWN, d), (s[0], OWN * s[1], s[1], s[2]))
 
 
 def _exp(make) -> tuple[np.ndarray, np.ndarray]:
@@ -313,98 +323,119 @@ def _exp(make) -> tuple[np.ndarray, np.ndarray]:
     return z, total
 
 
-def _errors(h: np.ndarray, w: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the softmax of each row of ``h @ w``: (gradient of -log of the place ``at``
-    times n, its probability)."""
-    z, total = _exp(lambda: np.matmul(h, w, out=_scratch(len(h), w.shape[1])))
-    i = np.arange(len(z))
-    own = z[i, at] / total
+def _errors(model: Attention, h: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the softmax over classes: (gradient of -log of the class ``at`` times n, its
+    probability)."""
+    z, total = _exp(lambda: np.matmul(h, model.ob, out=_scratch(len(h), model.ob.shape[1])))
+    k = np.arange(0, z.size, z.shape[1]) + at
+    own = z.ravel().take(k) / total
     z *= (n / total)[:, None]
-    z[i, at] -= n
+    z.ravel()[k] -= n
     return z, own
 
 
-def _errors_inside(model: Attention, h: np.ndarray, cls: np.ndarray, place: np.ndarray, n: np.ndarray, safe: bool = False):
-    """As ``_errors``, of the ids within their classes, rows in order of class: (gradients of
-    output vectors and biases, of the states, probabilities)."""
-    p, cuts = model.p, model.lay.cuts
-    ii = np.column_stack((p["I"], p["i"]))
-    out, back = np.zeros_like(ii), np.empty((len(h), h.shape[1] - 1), np.float32)
-    own, total = np.empty(len(h), np.float32), np.empty(len(h), np.float32)
-    place = place - cuts[cls]
-    every, one = np.arange(len(h)), np.ones(int(np.diff(cuts).max()), np.float32)
-    first = np.flatnonzero(np.diff(cls, prepend=-1)).tolist()
-    with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
-        for i, j in zip(first, [*first[1:], len(h)]):
-            s, e = cuts[cls[i] : cls[i] + 2].tolist()
-            m, x, at = n[i:j], h[i:j], (every[: j - i], place[i:j])
-            y = np.matmul(x, ii[s:e].T, out=_scratch(j - i, e - s))
-            if safe:
-                y -= y.max(axis=1, keepdims=True)
-            np.exp(y, out=y)
-            own[i:j] = y[at]
-            y *= (m / np.matmul(y, one[: e - s], out=total[i:j]))[:, None]
-            y[at] -= m
-            np.matmul(y.T, x, out=out[s:e])
-            np.matmul(y, p["I"][s:e], out=back[i:j])
-    if not safe and not ((total < LARGE) & (total > 1 / LARGE)).all():
-        return _errors_inside(model, h, cls, place + cuts[cls], n, True)
-    return out, back, own / total
+def _errors_inside(model: Attention, h: np.ndarray, cls: np.ndarray, place: np.ndarray, n: np.ndarray, out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``_errors``, of the ids within their classes, rows in order of class: (gradients
+    of the states, probabilities); those of output vectors and biases are added to
+    ``out``. All scores lie one after another, those of a class as one matrix."""
+    ii, vectors, cuts = model.ii, model.p["I"], model.lay.cuts.tolist()
+    back = np.empty((len(h), vectors.shape[1]), np.float32)
+    if not len(h):
+        return back, np.empty(0, np.float32)
+    width = np.diff(model.lay.cuts)[cls]
+    end = np.cumsum(width)
+    start = end - width
+    y = _scratch(1, int(end[-1]))[0]
+    parts, i, at = [], 0, 0
+    for c, rows in enumerate(np.bincount(cls).tolist()):
+        if rows:
+            s, e = cuts[c], cuts[c + 1]
+            parts.append((i, i + rows, s, e, y[at : at + rows * (e - s)].reshape(rows, e - s)))
+            i, at = i + rows, at + rows * (e - s)
+
+    def scores():
+        for i, j, s, e, z in parts:
+            np.matmul(h[i:j], ii[s:e].T, out=z)
+        return y
+
+    with np.errstate(over="ignore"):
+        np.exp(scores(), out=y)
+        total = np.add.reduceat(y, start)
+    if not ((total < LARGE) & (total > 1 / LARGE)).all():
+        scores()
+        y -= np.repeat(np.maximum.reduceat(y, start), width)
+        np.exp(y, out=y)
+        total = np.add.reduceat(y, start)
+    k = start + (place - model.lay.cuts[cls])
+    own = y.take(k) / total
+    y *= np.repeat(n / total, width)
+    y[k] -= n
+    for i, j, s, e, z in parts:
+        out[s:e] += z.T @ h[i:j]
+        np.matmul(z, vectors[s:e], out=back[i:j])
+    return back, own
 
 
 def gradients(model: Attention, rows: np.ndarray, valid: np.ndarray, ids: np.ndarray, there: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """(mean loss, gradients) of -log probability of the targets that are ``there``, of
     runs as in Attention.hidden."""
-    p, lay = model.p, model.lay
-    e, (q, k, v), seen, (a, h1, g, h) = model.forward(rows, valid)
-    d = h.shape[1]
-    t, w = ids.ravel(), there.ravel()
-    n = np.where(w, np.float32(1 / max(1, int(w.sum()))), np.float32(0))
-    cls = lay.class_of[t]
-    one = np.ones((len(h), 1), np.float32)
-    h = np.concatenate((h, one), axis=1)
-    z, own = _errors(h, np.vstack((p["O"], p["b"])), cls, n)
-    ob = h.T @ z
-    dh = z @ p["O"].T
-    loss = -np.log(np.maximum(own[w], 1e-30)).sum() - lay.inside[t[w]].sum()
-    inside = np.flatnonzero(w & (np.diff(lay.cuts) > 0)[cls])
-    order = inside[np.argsort(cls[inside].astype(np.int16), kind="stable")]
-    d_ii, back, prob = _errors_inside(model, h.take(order, axis=0), cls[order], lay.place[t[order]], n[order])
-    loss -= np.log(np.maximum(prob, 1e-30)).sum()
-    dh[order] += back
-    out = {"O": ob[:-1], "b": ob[-1], "I": d_ii[:, :-1], "i": d_ii[:, -1], "W": g.T @ dh}
-    dg = dh @ p["W"].T
-    dg *= g > 0
-    uc = np.concatenate((h1, one), axis=1).T @ dg
-    out["U"], out["c"] = uc[:-1], uc[-1]
-    dh1 = dg @ p["U"].T
-    dh1 += dh
-    dw = dh1.reshape(-1, OWN, d)
-    ds = dw @ v.transpose(0, 2, 1)
-    ds -= np.einsum("nid,nid->ni", dw, seen)[:, :, None]  # a @ v is ``seen``
-    ds *= a
-    out["R"] = np.bincount(REL.ravel(), weights=ds.sum(axis=0).ravel(), minlength=2 * OWN).astype(np.float32)
-    # gradients of all projections of an input side by side, as in Attention.all
-    r, size = rows.shape
-    dx = np.zeros((r, size, 5 * d), np.float32)
-    for i, y in ((0, ds.transpose(0, 2, 1) @ q), (d, a.transpose(0, 2, 1) @ dw)):
-        y = y.reshape(r, -1, 2, OWN, d)
-        b = dx.reshape(r, -1, OWN, 5 * d)[..., i : i + d]
-        b[:, :-1] = y[:, :, 0]
-        b[:, 1:] += y[:, :, 1]
-    dr = dh1.reshape(r, -1, d)
-    dx[:, OWN:, 2 * d : 3 * d] = (ds @ k).reshape(r, -1, d)
-    dx[:, OWN - 1 : -1, 3 * d : 4 * d] = dr
-    dx[:, OWN - 2 : -2, 4 * d :] = dr
-    dx = dx.reshape(-1, 5 * d)
-    de = dx @ model.all.T
-    de.reshape(r, size, d)[:, OWN:] += dr
-    for name, y in zip("KVQ", np.split(m := e.T @ dx, 5, axis=1)):
-        out[name] = y / np.float32(np.sqrt(d)) if name == "Q" else y
-    out["S1"], out["S2"] = m[:, 3 * d : 4 * d], m[:, 4 * d :]
-    out["E"] = np.zeros_like(p["E"])
-    _scatter(rows.ravel(), de, out["E"])
-    return float(loss) / max(1, int(w.sum())), out
+    p, lay, d = model.p, model.lay, model.q.shape[1]
+    count = max(1, int(there.sum()))
+    several = (np.diff(lay.cuts) > 0)[lay.class_of[ids]] & there
+    step, ones = max(1, STEP // ids.shape[1]), np.ones(d, np.float32)
+    loss, de = 0.0, np.empty((*rows.shape, d), np.float32)
+    out = {k: np.zeros_like(p[k]) for k in ("E", "R", "W")}
+    ii, ob, uc, vs, m = (np.zeros_like(x) for x in (model.ii, model.ob, np.vstack((p["U"], p["c"])), model.vs, model.qk))
+    for i in range(0, len(rows), step):
+        z = slice(i, i + step)
+        e, win, q, both, x, (h1, g, h) = model.forward(rows[z], valid[z])
+        t, w = ids[z].ravel(), there[z].ravel()
+        n = np.where(w, np.float32(1 / count), np.float32(0))
+        cls = lay.class_of[t]
+        one = np.ones((len(h), 1), np.float32)
+        h = np.concatenate((h, one), axis=1)
+        y, own = _errors(model, h, cls, n)
+        ob += h.T @ y
+        dh = y @ p["O"].T
+        loss -= np.log(np.maximum(own[w], 1e-30)).sum() + lay.inside[t[w]].sum()
+        inside = np.flatnonzero(several[z].ravel())
+        order = inside[np.argsort(cls[inside].astype(np.int16), kind="stable")]
+        back, prob = _errors_inside(model, h.take(order, axis=0), cls[order], lay.place[t[order]], n[order], ii)
+        loss -= np.log(np.maximum(prob, 1e-30)).sum()
+        dh[order] += back
+        out["W"] += g.T @ dh
+        dg = dh @ p["W"].T
+        dg *= g > 0
+        uc += np.concatenate((h1, one), axis=1).T @ dg
+        dh += dg @ p["U"].T
+        vs += x.T @ dh
+        dx = (dh @ model.vs.T).reshape(*q.shape[:3], 3 * d)
+        # gradients of scores above attention, queries above those of what is attended:
+        # one product sums up both ways in which a target sees an input
+        ds, a, back = both[:, :, :OWN], both[:, :, OWN:], np.empty(win.shape, np.float32)
+        back[:, :, :OWN], back[:, :, OWN:] = q, dx[..., :d]
+        np.matmul(back[:, :, OWN:], win.swapaxes(2, 3), out=ds)
+        ds -= ((back[:, :, OWN:] * x.reshape(dx.shape)[..., :d]).reshape(-1, d) @ ones).reshape(*q.shape[:3], 1)
+        ds *= a
+        out["R"] += np.bincount(REL.ravel(), weights=ds.sum(axis=(0, 1)).ravel(), minlength=2 * OWN).astype(np.float32)
+        dq = (ds @ win).reshape(-1, d)
+        m += e[:, OWN:].reshape(-1, d).T @ dq
+        dh += dq @ model.qk.T
+        seen = both.swapaxes(2, 3) @ back
+        to = de[z]
+        blocks = to.reshape(len(to), -1, OWN, d)
+        blocks[:, 0] = seen[:, 0, :OWN]
+        blocks[:, 1:] = seen[:, :, OWN:]
+        blocks[:, 1:-1] += seen[:, 1:, :OWN]
+        dx = dx.reshape(len(to), -1, 3 * d)
+        to[:, OWN:] += dh.reshape(len(to), -1, d)
+        to[:, OWN - 1 : -1] += dx[..., d : 2 * d]
+        to[:, OWN - 2 : -2] += dx[..., 2 * d :]
+    m /= np.float32(np.sqrt(d))
+    out |= {"Q": m @ p["K"], "K": m.T @ p["Q"], "I": ii[:, :-1], "i": ii[:, -1], "O": ob[:-1], "b": ob[-1], "U": uc[:-1], "c": uc[-1]}
+    out["V"], out["S1"], out["S2"] = np.split(vs, 3)
+    _scatter(rows.ravel(), de.reshape(-1, d), out["E"])
+    return float(loss) / count, out
 
 
 def runs(texts_ids: list[np.ndarray], lay: Layout) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -484,5 +515,5 @@ def id_scores(model: Attention, ids: np.ndarray, offs: np.ndarray, batch: int =
     for i in range(0, size - OWN, batch * OWN):
         z = min(size, i + (batch + 1) * OWN)
         np.take(table, rows[i:z], axis=0, out=x[: z - i], mode="clip")
-        h[i : z - OWN] = model.states(x[: z - i], shut[i:z])
+        h[i : z - OWN] = model.states(rows[i:z], x[: z - i], shut[i:z])
     return model.log_probs(h[at - OWN], ids).astype(np.float64)

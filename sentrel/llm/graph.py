@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 
@@ -23,6 +25,13 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="sentrel-")
 
 
+def free(spark: SparkSession) -> None:
+    """As before ``written``: shuffle files of plans that nothing holds go from the disks.
+    Python's references to plans go first, as some stand in cycles."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` computed once, its lineage cut, in the shared folder. Spark removes the
     shuffle files of earlier steps when the driver's collector finds their plans

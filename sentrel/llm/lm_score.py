@@ -14,7 +14,9 @@ tasks.
 
 Word counts (for ``base_score``) and id counts come from all training texts: chunks
 send their different words to buckets, which add them up and send each chunk the
-totals of its own words. Counts are 64-bit.
+totals of its own words. Counts are 64-bit. Texts are read and encoded once, while
+words are counted; a chunk's texts are kept as numbers of its different words, and
+those as ids, and both training and scoring go on from there.
 
 NULL and empty texts are a single end. The held-out texts add to no count and to no
 training. Rows with equal ids, or none, are all scored. Without training texts every
@@ -45,6 +47,8 @@ START_BYTES = 2 << 20
 PART_BYTES = 8 << 20
 ROUNDS = 1
 FAN = 8  # models averaged by one task, and sent to the driver at last
+ID = np.uint16  # of ids as they are kept; VOCAB fits
+DRAWS = 1 << 30
 END_HASH = int(seq.mix(np.array([0x5E0F], dtype=U))[0])
 
 
@@ -86,15 +90,17 @@ def encode_words(words: list[bytes], ranks: dict[bytes, int]) -> tuple[np.ndarra
     return np.concatenate(out), np.concatenate(size).astype(np.int64)
 
 
-def shrink(a: np.ndarray) -> bytes:
-    """Counts as compressed bytes, their length first."""
-    x = a.astype(np.int64).tobytes()
+def shrink(a: np.ndarray, kind=np.int64) -> bytes:
+    """Whole numbers as compressed bytes, their length first: all lowest bytes, then all
+    next ones, as high bytes are mostly equal."""
+    x = np.ascontiguousarray(a, kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T.tobytes()
     return len(x).to_bytes(8, "little") + pa.compress(x, codec="zstd", asbytes=True)
 
 
-def grow(x) -> np.ndarray:
-    b = x.as_py()
-    return np.frombuffer(pa.decompress(b[8:], int.from_bytes(b[:8], "little"), codec="zstd", asbytes=True), np.int64)
+def grow(x, kind=np.int64) -> np.ndarray:
+    b, size = memoryview(x.as_buffer()), np.dtype(kind).itemsize
+    y = np.frombuffer(pa.decompress(b[8:], int.from_bytes(b[:8], "little"), codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(y.reshape(size, -1).T).view(kind).ravel()
 
 
 def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,14 +140,6 @@ class Chunk:
         self.inverse[is_word] = inverse
         self.text = np.repeat(np.arange(len(n), dtype=np.int32), self.n_tokens)
 
-    def blocks(self, tokens: int = 1 << 15):
-        """Texts [i, j) of about so many tokens; a longer text is alone."""
-        i, n = 0, len(self.n_tokens)
-        while i < n:
-            j = max(i + 1, int(np.searchsorted(self.offs, self.offs[i] + tokens, "right")) - 1)
-            yield i, j
-            i = j
-
     def order(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
         b = (self.unique % U(buckets)).astype(np.int64)
         o = np.argsort(b, kind="stable")
@@ -149,6 +147,7 @@ class Chunk:
 
 
 WORDS = "bucket long, chunk long, h binary, c binary, ids binary"
+TEXTS = "flat binary, size binary, codes binary, n_tokens binary, _id array<bigint>, held_out array<boolean>, u array<bigint>, v array<bigint>"
 TOTALS = "chunk long, bucket long, c binary, n_sum long, v_sum long, ids binary"
 
 
@@ -164,19 +163,25 @@ def _send(buckets: int, ranks):
         c = Chunk(t.column("_text"))
         train = ~t.column("held_out").combine_chunks().to_numpy(zero_copy_only=False).astype(bool) if t.num_rows else np.zeros(0, bool)
         counts = np.bincount(c.inverse[train[c.text]], minlength=len(c.unique))
-        known = np.flatnonzero(counts[:-1]).tolist()
-        ids, n = encode_words([c.words[i] for i in known], ranks.value)
-        per_id = _times(ids, np.repeat(counts[known], n), VOCAB)
+        flat, size = encode_words(c.words, ranks.value)
+        per_id = _times(flat, np.repeat(counts[:-1], size), VOCAB)
         per_id[END] += counts[-1]
         b, o = c.order(buckets)
         b = b[o]
         at = seq.group_starts(b).tolist()
         cuts = list(zip(at, [*at[1:], len(b)]))
-        return pa.table({
-            "bucket": pa.array([int(b[i]) for i, _ in cuts], pa.int64()), "chunk": pa.array([key[0].as_py()] * len(cuts), pa.int64()),
-            "h": pa.array([c.unique[o[i:j]].tobytes() for i, j in cuts], pa.binary()), "c": pa.array([shrink(counts[o[i:j]]) for i, j in cuts], pa.binary()),
-            "ids": pa.array([shrink(per_id) if i == 0 else None for i, _ in cuts], pa.binary()),
-        })
+        n = len(cuts)
+        # words are numbered as their totals come back
+        flat, size, number = np.append(flat, END), np.append(size, 1), np.empty(len(o), np.int32)
+        number[o] = np.arange(len(o), dtype=np.int32)
+        start = np.cumsum(size) - size
+        out = {
+            "bucket": pa.array([int(b[i]) for i, _ in cuts] + [None], pa.int64()), "chunk": pa.array([key[0].as_py()] * (n + 1), pa.int64()),
+            "h": pa.array([c.unique[o[i:j]].tobytes() for i, j in cuts] + [None], pa.binary()), "c": pa.array([shrink(counts[o[i:j]]) for i, j in cuts] + [None], pa.binary()),
+            "ids": pa.array([shrink(per_id) if i == 0 else None for i, _ in cuts] + [None], pa.binary()),
+            **{k: pa.array([None] * n + [shrink(x, kind)], pa.binary()) for k, x, kind in (("flat", flat[ranges(start[o], (start + size)[o])], ID), ("size", size[o], np.int32), ("codes", number[c.inverse], np.int32), ("n_tokens", c.n_tokens, np.int64))},
+        }
+        return pa.table(out | {k: pa.array([None] * n + [t.column(k).to_pylist()], pa.list_(kind)) for k, kind in (("_id", pa.int64()), ("held_out", pa.bool_()), ("u", pa.int64()), ("v", pa.int64()))})
 
     return f
 
@@ -203,30 +208,57 @@ def _merge_ids(batches):
     yield pa.RecordBatch.from_pydict({"ids": pa.array([shrink(total)], pa.binary())})
 
 
-class Subwords:
-    """The ids of a chunk's words; texts' ids on demand."""
+class Encoded:
+    """A chunk's texts, from its row of TEXTS: numbers of its different words, whose ids
+    are kept; texts' ids on demand."""
 
-    def __init__(self, c: Chunk, ranks) -> None:
-        flat, n = encode_words(c.words, ranks)
-        self.c, self.flat = c, np.append(flat, END).astype(np.int32)
-        self.size = np.append(n, 1)
+    def __init__(self, t, row: int = 0) -> None:
+        self.flat, self.size, self.codes, self.n_tokens = (grow(t.column(k)[row], kind) for k, kind in (("flat", ID), ("size", np.int32), ("codes", np.int32), ("n_tokens", np.int64)))
         self.start = np.cumsum(self.size) - self.size
+        self.offs = np.concatenate(([0], np.cumsum(self.n_tokens)))
 
-    def texts(self, i: int, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of texts [i, j): (ids, offsets of texts, offsets of tokens)."""
-        inv = self.c.inverse[self.c.offs[i] : self.c.offs[j]]
-        s, k = self.start[inv], self.size[inv]
+    def texts(self, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of texts [i, j): (ids, offsets of texts)."""
+        codes = self.codes[self.offs[i] : self.offs[j]]
+        s, k = self.start[codes], self.size[codes]
         tok = np.concatenate(([0], np.cumsum(k)))
-        return self.flat[ranges(s, s + k)], tok[self.c.offs[i : j + 1] - self.c.offs[i]], tok
+        return self.flat[ranges(s, s + k)].astype(np.int32), tok[self.offs[i : j + 1] - self.offs[i]]
+
+    def blocks(self, tokens: int = 1 << 15):
+        """Texts [i, j) of about so many tokens; a longer text is alone."""
+        i, n = 0, len(self.n_tokens)
+        while i < n:
+            j = max(i + 1, int(np.searchsorted(self.offs, self.offs[i] + tokens, "right")) - 1)
+            yield i, j
+            i = j
+
+
+def _learned(share: float, parts: int):
+    """Training texts of chunks one by one, as the bytes of their ids."""
+
+    def f(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                held, u, v = (np.array(batch.column(k)[row].as_py()) for k in ("held_out", "u", "v"))
+                mine = np.flatnonzero(~held.astype(bool) & (u < share * DRAWS))
+                if not len(mine):
+                    continue
+                c, numbers = Encoded(batch, row), batch.column("_id")[row].values.take(pa.array(mine))
+                part = v[mine] % parts
+                for i, j in c.blocks():
+                    here = slice(*np.searchsorted(mine, (i, j)).tolist())
+                    if here.start < here.stop:
+                        ids, offs = c.texts(i, j)
+                        data, at = ids.astype(ID).tobytes(), (offs * np.dtype(ID).itemsize).tolist()
+                        texts = pa.array([data[at[k - i] : at[k - i + 1]] for k in mine[here].tolist()], pa.binary())
+                        yield pa.RecordBatch.from_pydict({"_id": numbers[here], "part": pa.array(part[here], pa.int64()), "ids": texts})
+
+    return f
 
 
-def _text_ids(t: pa.Table, ranks) -> list[np.ndarray]:
+def _text_ids(t: pa.Table) -> list[np.ndarray]:
     """Of a part's texts, in an order that does not depend on partitions."""
-    texts = t.sort_by([("_id", "ascending"), ("_text", "ascending")]).column("_text").combine_chunks()
-    if not len(texts):
-        return []
-    ids, offs, _ = Subwords(Chunk(texts), ranks).texts(0, len(texts))
-    return [ids[a:b] for a, b in zip(offs[:-1], offs[1:])]
+    return [np.frombuffer(x.as_buffer(), ID).astype(np.int32) for x in t.sort_by([("_id", "ascending"), ("ids", "ascending")]).column("ids")]
 
 
 def pack_model(p: dict[str, np.ndarray]) -> np.ndarray:
@@ -259,13 +291,13 @@ def _mean(n: list[float], models: list[bytes]) -> np.ndarray:
     return (total / max(1.0, sum(n))).astype(np.float32)
 
 
-def train_parts(drawn: DataFrame, parts: int, model: Attention, ranks, seed: int, rate: float, batch: int, steps: int | None = None) -> Attention:
+def train_parts(drawn: DataFrame, parts: int, model: Attention, seed: int, rate: float, batch: int, steps: int | None = None) -> Attention:
     """Every part (column ``part`` below ``parts``) goes on from ``model`` over all its
     windows once, or for ``steps``; the parts' models are averaged by their windows."""
     shared = drawn.sparkSession.sparkContext.broadcast(model)
 
     def f(key, t):
-        ids = _text_ids(t, ranks.value)
+        ids = _text_ids(t)
         n = sum(-(-len(x) // OWN) for x in ids)
         m = Attention(shared.value.lay, dict(shared.value.p))
         descend(m, ids, steps, batch, rate, np.random.default_rng([seed, key[0].as_py()]))
@@ -282,30 +314,27 @@ def train_parts(drawn: DataFrame, parts: int, model: Attention, ranks, seed: int
     return unpack_model(model, _mean(n, [r["x"] for r in rows])) if sum(n) else model
 
 
-def _score(buckets: int, ranks, shared, big_n: int, big_v: int):
+def _score(shared, big_n: int, big_v: int):
     def f(t, back):
         if not t.num_rows:
             return pa.table({"_id": pa.array([], pa.int64()), "held_out": pa.array([], pa.bool_()), **{k: pa.array([], pa.int64()) for k in ("n_tokens", "n_known")}, **{k: pa.array([], pa.float64()) for k in ("base_score", "score")}})
-        c = Chunk(t.column("_text"))
-        _, o = c.order(buckets)
-        total = np.empty(len(c.unique), np.int64)
-        total[o] = np.concatenate([grow(x) for x in back.sort_by("bucket").column("c")])
-        sub = Subwords(c, ranks.value)
-        score = np.zeros(t.num_rows)
+        c = Encoded(t)
+        total = np.concatenate([grow(x) for x in back.sort_by("bucket").column("c")])
+        score = np.zeros(len(c.n_tokens))
         for i, j in c.blocks():
-            ids, offs, _ = sub.texts(i, j)
+            ids, offs = c.texts(i, j)
             score[i:j] = np.add.reduceat(id_scores(shared.value, ids, offs), offs[:-1])
-        base = (np.log10(total + 1.0) - np.log10(big_n + 1.0 * (big_v + 1)))[c.inverse]
+        base = (np.log10(total + 1.0) - np.log10(big_n + 1.0 * (big_v + 1)))[c.codes]
         add = lambda w: np.add.reduceat(w, c.offs[:-1])
         return pa.table({
-            "_id": t.column("_id"), "held_out": t.column("held_out"), "n_tokens": c.n_tokens.astype(np.int64), "n_known": add((total > 0)[c.inverse].astype(np.int64)),
+            **{k: t.column(k).combine_chunks().flatten() for k in ("_id", "held_out")}, "n_tokens": c.n_tokens, "n_known": add((total > 0)[c.codes].astype(np.int64)),
             "base_score": add(base), "score": score / np.log(10),
         })
 
     return f
 
 
-def score_texts(docs: DataFrame, mod: int = 7, share: float = 1.0, start_steps: int = 400, batch: int = 256, rate: float = 0.015, tokenizer: str = TOKENIZER, id_col: str = "doc_id", text_col: str = "text", **shape) -> DataFrame:
+def score_texts(docs: DataFrame, mod: int = 7, share: float = 1.0, start_steps: int = 400, start_batch: int = 256, batch: int = 1024, rate: float = 0.04, tokenizer: str = TOKENIZER, id_col: str = "doc_id", text_col: str = "text", **shape) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row
     per input row. Counts words and trains before the result is read; ``shape`` is
     that of the model (attention.new_model)."""
@@ -315,24 +344,26 @@ def score_texts(docs: DataFrame, mod: int = 7, share: float = 1.0, start_steps:
     chunks, size = chunk_count(d, ~F.col("held_out"))
     buckets = max(1, chunks // 4)
     ranks = spark.sparkContext.broadcast(read_ranks(tokenizer))
-    d = d.withColumn("chunk", F.pmod(F.xxhash64("_id", "_text"), F.lit(chunks)))
-    by_chunk = d.groupBy("chunk")
-    totals = graph.written(by_chunk.applyInArrow(_send(buckets, ranks), WORDS).groupBy("bucket").applyInArrow(_add, TOTALS))
+    drawn = lambda seed: F.xxhash64("_id", "_text", F.lit(seed))
+    d = d.withColumns({"chunk": F.pmod(F.xxhash64("_id", "_text"), F.lit(chunks)), "u": F.pmod(drawn(77), F.lit(DRAWS)), "v": F.pmod(drawn(78), F.lit(1 << 62))})
+    sent = graph.written(d.groupBy("chunk").applyInArrow(_send(buckets, ranks), f"{WORDS}, {TEXTS}"))
+    texts = sent.filter("bucket IS NULL").select("chunk", "flat", "size", "codes", "n_tokens", "_id", "held_out", "u", "v")
+    graph.free(spark)
+    totals = graph.written(sent.filter("bucket IS NOT NULL").select("bucket", "chunk", "h", "c", "ids").groupBy("bucket").applyInArrow(_add, TOTALS))
     sums = totals.agg(F.coalesce(F.sum("n_sum"), F.lit(0)).alias("n"), F.coalesce(F.sum("v_sum"), F.lit(0)).alias("v")).first()
     merged = totals.filter("ids IS NOT NULL").select("ids").mapInArrow(_merge_ids, "ids binary").coalesce(FAN).mapInArrow(_merge_ids, "ids binary")
     counts = sum((grow(pa.scalar(bytes(r["ids"]))) for r in merged.collect()), np.zeros(VOCAB, np.int64))
     model = new_model(counts, END, **shape)
     if size:
         first = min(1.0, START_BYTES / size)
-        parts = max(1, round(max(first, share) * size / PART_BYTES))
-        u = F.pmod(F.xxhash64("_id", "_text", F.lit(77)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        part = F.pmod(F.xxhash64("_id", "_text", F.lit(78)), F.lit(parts))
-        # read again rather than written: a copy of all training texts would double what the disks hold
-        learned = d.filter(~F.col("held_out") & (u < max(first, share))).select("_id", "_text", part.alias("part"), (u < first).alias("first"))
-        model = train_parts(learned.filter("first").withColumn("part", F.lit(0).cast("bigint")), 1, model, ranks, 0, rate, batch, start_steps)
+        share = max(first, share)
+        parts = max(1, round(share * size / PART_BYTES))
+        graph.free(spark)  # the shuffled texts and words go from the disks (see graph.written)
+        learned = lambda share, parts: texts.mapInArrow(_learned(share, parts), "_id long, part long, ids binary")
+        model = train_parts(learned(first, 1), 1, model, 0, rate, start_batch, start_steps)
         for k in range(ROUNDS):
-            model = train_parts(learned, parts, model, ranks, k + 1, rate, batch)
-        spark.sparkContext._jvm.System.gc()  # the shuffled training texts go from the disks (see graph.written)
+            model = train_parts(learned(share, parts), parts, model, k + 1, rate, batch)
+        graph.free(spark)  # the shuffled training texts go from the disks, too
     shared = spark.sparkContext.broadcast(model)
-    out = by_chunk.cogroup(totals.select("chunk", "bucket", "c").groupBy("chunk")).applyInArrow(_score(buckets, ranks, shared, sums["n"], sums["v"]), "_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    out = texts.groupBy("chunk").cogroup(totals.select("chunk", "bucket", "c").groupBy("chunk")).applyInArrow(_score(shared, sums["n"], sums["v"]), "_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("_id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(sums["n"]).cast("bigint").alias("train_tokens"), "base_score", "score")

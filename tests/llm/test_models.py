@@ -143,6 +143,49 @@ def test_training_sees_every_id_once(monkeypatch):
     assert sorted(seen) == sorted(np.concatenate(texts).tolist())
 
 
+def test_gradients_in_steps_add_up(monkeypatch):
+    model, _ = small_model()
+    many = at.runs(texts_of((1, 16, 17, 130, 64, 500)), model.lay)
+    monkeypatch.setattr(at, "STEP", 1 << 20)
+    loss, g = at.gradients(model, *many)
+    monkeypatch.setattr(at, "STEP", at.OWN * at.RUN * 2)
+    loss2, g2 = at.gradients(model, *many)
+    assert abs(loss - loss2) < 1e-5 and g.keys() == g2.keys() == model.p.keys() and all(np.allclose(g[k], g2[k], atol=1e-6) for k in g)
+
+
+@pytest.mark.parametrize("buckets", [1, 5])
+def test_lm_keeps_texts_as_ids(buckets):
+    """What is kept of a chunk gives its texts' ids and, in order of bucket, its counts."""
+    class Ranks:
+        value = lm.read_ranks(lm.TOKENIZER)
+
+    texts = [None, "", "The the THE cat", "Zzyzx, " * 3, "x\u00e9 \u4e2d\u6587 cat", "z" * 5000]
+    held = [False, True, False, False, True, False]
+    n = len(texts)
+    t = pa.table({"_id": pa.array([5, None, 7, 8, 9, 10], pa.int64()), "_text": pa.array(texts, pa.string()), "held_out": held, "u": list(range(n)), "v": list(range(10, 10 + n))})
+    out = lm._send(buckets, Ranks)((pa.scalar(3),), t)
+    words, kept = out.filter(pa.array([x is not None for x in out.column("bucket").to_pylist()])), out.slice(out.num_rows - 1)
+    enc, low = lm.encoder(Ranks.value), bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+    split = [(x or "").encode().translate(low).split() for x in texts]
+    want = [[i for w in ws for i in enc.encode_ordinary(" " + w.decode())] + [lm.END] for ws in split]
+    c = lm.Encoded(kept)
+    ids, offs = c.texts(0, n)
+    assert [ids[a:b].tolist() for a, b in zip(offs[:-1], offs[1:])] == want and list(c.blocks(4)) == [(0, 2), (2, 3), (3, 4), (4, 5), (5, 6)]
+    count = Counter(w for ws, h in zip(split, held) if not h for w in [*ws, None])
+    by_bucket = np.concatenate([lm.grow(x) for x in words.sort_by("bucket").column("c")])
+    assert [by_bucket[x].tolist() for x in np.split(c.codes, c.offs[1:-1])] == [[count[w] for w in [*ws, None]] for ws in split]
+    assert kept.column("_id").to_pylist() == [[5, None, 7, 8, 9, 10]]
+    (batch,) = kept.to_batches()
+    learned = [r for b in lm._learned(4 / lm.DRAWS, 4)([batch]) for r in b.to_pylist()]  # u below 4, not held out
+    assert [(r["_id"], r["part"], np.frombuffer(r["ids"], lm.ID).tolist()) for r in learned] == [(5, 2, want[0]), (7, 0, want[2]), (8, 1, want[3])]
+
+
+def test_lm_shrinks_whole_numbers():
+    for kind in (np.int64, np.int32, np.uint16):
+        for x in ([], [7], [0, 65535, 3]):
+            assert lm.grow(pa.scalar(lm.shrink(np.array(x, np.int64), kind)), kind).tolist() == [np.array(v).astype(kind) for v in x]
+
+
 def test_lm_counts_pass_32_bits():
     big = np.array([3_000_000_000, 0, 5], np.int64)
     assert lm.grow(pa.scalar(lm.shrink(big))).tolist() == big.tolist()
